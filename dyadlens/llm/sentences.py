@@ -55,6 +55,8 @@ SPEECH = re.compile(
 SPEECH_CJK = re.compile(r"\s*(?:と|って|、|，|[^\s。！？」』”]{0,8}(?:说|問|问|道|喊|答|叫|笑|言|低语|回答))")
 #: Words that begin a sentence in small letters, in informal writing.
 STARTERS = re.compile(r"(?:so|tl;dr|honestly|lol|idk|imo|imho|btw|edit|update|anyone|anybody|we|i|my|you|he|she|they|it|this|that|there|also|ok|okay|yes|no|yeah|nope|thanks|please|what|why|how|who|when|where|is (?:it|this|that|he|she|there|anyone)|are (?:we|you|they|there)|am i|do (?:i|we|you|they)|does|did|has any\w*|have you|can (?:i|we|you|any\w*)|should (?:i|we)|would you|the|a|an|our|your|his|her|their|sorry|maybe|just|still|anyway|well|but|and then|[\w.-]+_\w+|\w+\.(?:csv|log|json|parquet|yaml|py|md|txt))(?![\w'’])", re.I)
+#: The same where an abbreviation that may end a sentence stands before: only what can't go on with one.
+PLAIN_STARTERS = re.compile(r"(?:[\w.-]+\.(?:csv|log|json|parquet|yaml|py|md|txt)\b|tl;dr|honestly\.|lol\b|slot\s[A-Z]\b|is\sit\s\w|so\smy\s\w|am\si\s\w|anyone\selse|has any\w*)", re.I)
 _LIST = re.compile(r"[ \t]*(?:[-*•‣◦▪–—·+](?=[ \t])|\d{1,3}[.)](?=[ \t])|[A-Za-z]\)(?=[ \t])|\(\w{1,3}\)(?=[ \t])|[०-९]{1,2}[.)]|[٠-٩۰-۹]{1,2}[.)\-])[ \t]*")
 _MARKED = re.compile(r"[ \t]*#{1,6}[ \t]")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ]|$)")
@@ -163,7 +165,7 @@ def _ends_at_stop(text: str, start: int, stop: int, after: int, end: int, quoted
     if nxt >= end:
         return True
     c = text[nxt]
-    small = c.islower()
+    small = c.islower() and not text[nxt + 1 : nxt + 2].isupper()
     opened = any(x in "\"“„«‹「『¿¡—" for x in text[after:nxt])
     first = stop
     while first > start and text[first - 1] in ENDS:
@@ -199,6 +201,8 @@ def _ends_at_stop(text: str, start: int, stop: int, after: int, end: int, quoted
         if kind == "month":
             return not (digit or small) and words > 3
         if kind == "soft":
+            if small and PLAIN_STARTERS.match(text, nxt):
+                return True
             if digit or small:
                 return False
             lead = text[start : start + 8].lstrip("\"'“ ")
