@@ -144,29 +144,39 @@ def unify(column: Column | str) -> Column:
 
 
 def renderings(vignettes: DataFrame) -> DataFrame:
-    """(r_id, r_variant, r_text, r_form): each rendering once, with its form. Repeated items count once; null ones drop."""
+    """(r_id, r_variant, r_text): each rendering once. Repeated items count once; null ones drop."""
     long = vignettes.where("id is not null").select(F.col("id").alias("r_id"), F.explode("variants").alias("r_variant", "r_text"))
-    long = long.where("r_text is not null").groupBy("r_id", "r_variant").agg(F.min("r_text").alias("r_text"))
-    return long.withColumn("r_form", unify("r_text"))
+    return long.where("r_text is not null").groupBy("r_id", "r_variant").agg(F.min("r_text").alias("r_text"))
+
+
+def hot_ids(df: DataFrame, column: str, share: float = 0.005) -> list:
+    """Values that hold more than `share` of the rows: at most 1 / share of them, whatever the input."""
+    counted = df.groupBy(column).agg(F.count("*").alias("n"))
+    total = df.count()
+    return [r[0] for r in counted.where(F.col("n") > share * total).collect() if r[0] is not None]
 
 
 def same_look(df: DataFrame, text: str, key: str, vignettes: DataFrame, passage: bool, salts: int = 16) -> DataFrame:
     """Distinct `key` of rows whose `text` differs from its rendering (or any passage of it) yet has the same form.
 
-    The item id may be hot, so rows are salted and the renderings (the small side, six short texts an item) repeated
-    per salt; nothing is broadcast by hand, since renderings grow with the data. Python sees only texts that differ.
+    Rows of hot items (200 at most) are salted, and only their renderings repeated per salt; nothing is broadcast by
+    hand, since renderings grow with the data. Python sees only texts that differ.
     """
     left = df.select(F.col(key).alias("k"), F.col("vignette_id").alias("i"), F.col("variant").alias("v"), F.col(text).alias("t"))
     left = left.where("t is not null and trim(t) <> '' and k is not null")
-    left = left.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
-    right = renderings(vignettes).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = renderings(vignettes)
+    hot = hot_ids(df, "vignette_id")
+    salt, every = F.lit(0), F.array(F.lit(0))
+    if hot:
+        salt = F.when(F.col("i").isin(hot), F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int")).otherwise(salt)
+        every = F.when(F.col("r_id").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(every)
+    left, right = left.withColumn("s", salt), right.withColumn("r_s", F.explode(every))
     differs = F.col("t") != F.col("r_text")
     if passage:
-        differs &= ~F.col("r_text").contains(F.col("t"))
-    j = left.join(right, (F.col("i") == F.col("r_id")) & (F.col("v") == F.col("r_variant")) & (left["s"] == right["s"]) & differs)
-    form = unify("t")
-    same = F.col("r_form").contains(form) & F.col("t").rlike(r"\p{L}|\p{N}") if passage else F.col("r_form") == form
-    return j.where(same).select(F.col("k").alias(key)).distinct()
+        differs &= ~F.col("r_text").contains(F.col("t")) & F.col("t").rlike(r"\p{L}|\p{N}")
+    j = left.join(right, (F.col("i") == F.col("r_id")) & (F.col("v") == F.col("r_variant")) & (F.col("s") == F.col("r_s")) & differs)
+    form, whole = unify("t"), unify("r_text")
+    return j.where(whole.contains(form) if passage else whole == form).select(F.col("k").alias(key)).distinct()
 
 
 def forms_of(df: DataFrame, *columns: str) -> DataFrame:
