@@ -138,6 +138,10 @@ def _one_look(texts):  # noqa: ANN001, ANN202
     return texts.map(f, na_action="ignore")
 
 
+#: For forms taken after a join: the optimiser must not move them below it, where they would run over every text.
+_late_look = F.pandas_udf(lambda texts: texts.map(transducer(), na_action="ignore"), StringType()).asNondeterministic()
+
+
 def unify(column: Column | str) -> Column:
     """The consistent form of a string column, in Arrow batches."""
     return _one_look(column if isinstance(column, Column) else F.col(column))
@@ -175,7 +179,7 @@ def same_look(df: DataFrame, text: str, key: str, vignettes: DataFrame, passage:
     if passage:
         differs &= ~F.col("r_text").contains(F.col("t")) & F.col("t").rlike(r"\p{L}|\p{N}")
     j = left.join(right, (F.col("i") == F.col("r_id")) & (F.col("v") == F.col("r_variant")) & (F.col("s") == F.col("r_s")) & differs)
-    form, whole = unify("t"), unify("r_text")
+    form, whole = _late_look("t"), _late_look("r_text")
     return j.where(whole.contains(form) if passage else whole == form).select(F.col("k").alias(key)).distinct()
 
 
