@@ -6,7 +6,6 @@ from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.jsonx import extract_object
 from .answers import ends_whole
@@ -104,11 +103,15 @@ def _restored(pairs: frozenset, words: frozenset, begun: frozenset) -> Endings:
     return e
 
 
+def sample_of(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About `rows` rows, whatever the input's size and however its keys are spread; all of a smaller input."""
+    n = df.count()
+    return df if n <= rows else df.sample(fraction=rows / n, seed=seed)
+
+
 def endings_of(raw: DataFrame, sample_rows: int = 20_000) -> Endings:
-    """From the rows of the smallest key hash, at most `sample_rows`; only their responses' texts go to the driver."""
-    rows = raw.select("cache_key", "response_text").where("response_text is not null")
-    got = rows.orderBy(F.xxhash64("cache_key"), "cache_key").limit(sample_rows).select("response_text").collect()
-    return Endings(actions(r[0] for r in got))
+    """From about `sample_rows` rows; only their responses' texts go to the driver."""
+    return Endings(actions(r[0] for r in sample_of(raw.select("response_text"), sample_rows).collect()))
 
 
 def actions(texts: Iterable[str]) -> Iterable[str]:

@@ -189,7 +189,7 @@ def _kernel(cols: dict[str, list], endings: Endings) -> Iterator[tuple]:
 def broken_pairs(raw: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """(cache_key, first, defects) of each defective pair, a key once. One pass over the texts; only verdicts are shuffled.
 
-    How whole values end is learned from at most `sample_rows` rows (see endings.py); every row is judged.
+    How whole values end is learned from about `sample_rows` rows (see endings.py); every row is judged.
     """
     df = raw.select("cache_key", "user_prompt", "response_text", "finish_reason").where("cache_key is not null")
     out = map_rows(df, _kernel, "cache_key string, first string, defects array<string>", endings_of(raw, sample_rows))
