@@ -172,21 +172,21 @@ class Mapper:
     def _peel(self, text: str) -> list[str]:
         """The text, and the text without a phrase before and after it."""
         words = text.split()
-        starts, ends = [0], [len(words)]
+        starts, ends = [0], {len(words), *(i for i in range(2, len(words)) if words[i] in OPENERS)}
         for lead in LEADS:
             n = len(lead.split())
             for m in (n, n + 1, n - 1):
                 if 0 < m < len(words) and near(" ".join(words[:m]), lead):
                     starts.append(m)
                     break
-        for trail in TRAILS:
-            n = len(trail.split())
-            for m in (n, n + 1, n - 1):
-                if 0 < m < len(words) and near(" ".join(words[-m:]), trail):
-                    ends.append(len(words) - m)
-                    break
-        ends += [i for i in range(2, len(words)) if words[i] in OPENERS]
-        return [" ".join(words[a:b]) for b in sorted(set(ends), reverse=True) for a in sorted(set(starts), reverse=True) if a < b]
+        for end in tuple(ends):
+            for trail in TRAILS:
+                n = len(trail.split())
+                for m in (n, n + 1, n - 1):
+                    if 0 < m < end and near(" ".join(words[end - m : end]), trail):
+                        ends.add(end - m)
+                        break
+        return [" ".join(words[a:b]) for b in sorted(ends, reverse=True) for a in sorted(set(starts), reverse=True) if a < b]
 
     def matches(self, value: str) -> list[tuple[int, str]]:
         """(distance, code) of all entries within the allowed distance, nearest first."""
@@ -208,6 +208,16 @@ class Mapper:
                 best = got
         if best:
             return best
+        if tries and len(tries[0]) >= 14:  # many slips in the whole; or the first letters of a word after it
+            t = tries[0]
+            if len(t) <= self.longest + 8 and (got := self.trie.search(t, len(t) * 22 // 100)):
+                return got
+            words = t.split()
+            for m in (1, 2):
+                t = " ".join(words[:-m])
+                for short in [t, *(t[: -len(x) - 1] for x in TRAILS if t.endswith(" " + x))]:
+                    if len(short) >= 14 and (got := self.trie.search(short, 2)):
+                        return got
         for t in tries:
             if len(t) >= 4 and (len(t) >= 8 or " " not in t):
                 got = self.trie.search(t, allowed(len(t)) if len(t) > 10 else 0, prefix=True)
