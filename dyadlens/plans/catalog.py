@@ -1,28 +1,673 @@
-"""Queries and their SQL by name."""
+"""Queries over the driver's tables and the SQL that says the same, by operator."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import compaction
+from ..functions import expressions as X
+from ..operators import cells as C
+from ..operators import compaction, design, runlog, scoring, stats, validation
+from ..schemas import CATEGORIES
 from ..session import shared_dir, table
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query by its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- shared frames ---------------------------------------------------------------------------------------------------
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "scored")
+
+
+def _good(s: SparkSession, d: str) -> DataFrame:
+    return scoring.analysable(_scored(s, d))
+
+
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    return C.cell_means(_good(s, d), ["fault_scroller", "fault_partner", "severity"], extra=("model_id",))
+
+
+def _gaps(s: SparkSession, d: str) -> DataFrame:
+    return C.paired_gaps(_cells(s, d), "fault_scroller")
+
+
+def _lines(s: SparkSession, d: str, by: C.Design) -> DataFrame:
+    df = table(s, d, "lineitem").select(by.item, "l_returnflag", "l_linestatus", "l_quantity", (F.col("l_linenumber") % 2).alias("slot"))
+    return C.cell_means(df, ["l_quantity"], by)
+
+
+def _diffs(s: SparkSession, d: str) -> DataFrame:
+    return C.category_diffs(C.proportions(_good(s, d), "action_category", CATEGORIES), CATEGORIES)
+
+
+GOOD = "good AS (SELECT * FROM scored WHERE coalesce(parse_ok, false) AND coalesce(missing_keys, '') = '' AND fault_scroller IS NOT NULL AND fault_partner IS NOT NULL)"
+CELLS = f"{GOOD}, cells AS (SELECT model_slot, model_id, vignette_id, gender, culture, avg(fault_scroller) AS fault_scroller, stddev_pop(fault_scroller) AS fault_scroller_sd, avg(fault_partner) AS fault_partner, stddev_pop(fault_partner) AS fault_partner_sd, avg(severity) AS severity, stddev_pop(severity) AS severity_sd, count(*) AS n_runs FROM good GROUP BY ALL)"
+
+
+def _wide(cells: str, slot: str, item: str, factor: str, frame: str, metric: str, levels: tuple[str, ...], frames: tuple[str, str]) -> str:
+    cols = ", ".join(f"avg({metric}) FILTER (WHERE {factor} = '{lv}' AND {frame} = '{fr}') AS {n}_{x}" for n, lv in zip(("first", "second", "third"), levels) for x, fr in zip("ab", frames))
+    return f"wide AS (SELECT {slot}, {item}, {cols} FROM {cells} WHERE {metric} IS NOT NULL GROUP BY ALL)"
+
+
+_M2 = "CASE WHEN {0}_a IS NOT NULL AND {0}_b IS NOT NULL THEN ({0}_a + {0}_b) / 2 ELSE coalesce({0}_a, {0}_b) END"
+
+
+def _gaps_sql(slot: str, item: str) -> str:
+    f, s, t = (_M2.format(n) for n in ("first", "second", "third"))
+    ga, gb = "first_a - second_a", "first_b - second_b"
+    return f"gaps AS (SELECT {slot}, {item}, round({f}, 12) AS first, round({s}, 12) AS second, round({t}, 12) AS third, round(({f}) - ({s}), 12) AS gap, round({ga}, 12) AS gap_a, round({gb}, 12) AS gap_b, round(({ga}) - ({gb}), 12) AS gap_frame_diff FROM wide)"
+
+
+WIDE = CELLS + ", " + _wide("cells", "model_slot", "vignette_id", "gender", "culture", "fault_scroller", ("male", "female", "neutral"), ("north_american", "south_asian"))
+GAPS = WIDE + ", " + _gaps_sql("model_slot", "vignette_id")
+
+
+def _lines_sql(item: str) -> str:
+    cells = f"cells AS (SELECT l_linenumber % 2 AS slot, {item}, l_returnflag, l_linestatus, avg(l_quantity) AS l_quantity, stddev_pop(l_quantity) AS l_quantity_sd, count(*) AS n_runs FROM lineitem GROUP BY ALL)"
+    return cells + ", " + _wide("cells", "slot", item, "l_returnflag", "l_linestatus", "l_quantity", ("A", "R", "N"), ("O", "F")) + ", " + _gaps_sql("slot", item)
+
+
+def _signed_rank_sql(ctes: str, frame: str, value: str, by: str) -> str:
+    return f"""WITH {ctes}, v AS (SELECT {by}, {value} AS v FROM {frame} WHERE {value} IS NOT NULL), nz AS (SELECT {by}, v, abs(v) AS a FROM v WHERE v <> 0),
+    r AS (SELECT {by}, v, rank() OVER (PARTITION BY {by} ORDER BY a) + (count(*) OVER (PARTITION BY {by}, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {by}, a) AS t FROM nz),
+    s AS (SELECT {by}, count(*) AS n_nonzero, sum(r) FILTER (WHERE v > 0) AS wp, sum(r) FILTER (WHERE v < 0) AS wm, sum(t * t - 1.0) AS ties FROM r GROUP BY ALL),
+    b AS (SELECT {by}, count(*) AS n, round(avg(v), 9) AS mean, round(median(v), 9) AS median FROM v GROUP BY ALL)
+    SELECT b.{by}, n, coalesce(n_nonzero, 0)::BIGINT AS n_nonzero, least(coalesce(wp, 0), coalesce(wm, 0))::DOUBLE AS w, coalesce(wp, 0)::DOUBLE AS w_plus, coalesce(ties, 0)::DOUBLE AS ties,
+      round((least(coalesce(wp, 0), coalesce(wm, 0))::DOUBLE - n_nonzero::DOUBLE * (n_nonzero + 1) / 4) / sqrt(n_nonzero::DOUBLE * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24 - ties::DOUBLE / 48), 9) AS z, mean, median
+    FROM b LEFT JOIN s ON b.{by} = s.{by}"""
+
+
+# ---- problem 2 -------------------------------------------------------------------------------------------------------
+_HELD = "held AS (SELECT file_id, body->>'$.cache_key' AS k FROM (SELECT file_id, CASE WHEN json_valid(regexp_replace(body, '^﻿', '')) THEN regexp_replace(body, '^﻿', '') END AS body FROM raw_files) WHERE body IS NOT NULL)"
+
+
+@query(f"WITH {_HELD} SELECT a.file_id AS file_a, b.file_id AS file_b FROM held a JOIN held b ON a.k = b.k AND a.file_id < b.file_id")
+def p2_found(s: SparkSession, d: str) -> DataFrame:
     """Pairs of files that hold the same complete record."""
-    return compaction.same_record_pairs(table(spark, d, "raw_files"))
+    return compaction.same_record_pairs(table(s, d, "raw_files"))
 
 
-def p2_compact(spark: SparkSession, d: str) -> DataFrame:
+@query()
+def p2_compact(s: SparkSession, d: str) -> DataFrame:
     """The compacted files, written below the shared folder."""
-    return compaction.compact(table(spark, d, "raw_files"), shared_dir(spark, "compacted"))
+    return compaction.compact(table(s, d, "raw_files"), shared_dir(s, "compacted"))
+
+
+@query(f"WITH {_HELD} SELECT k AS cache_key, count(*) AS n_files FROM held GROUP BY k")
+def p2_copies(s: SparkSession, d: str) -> DataFrame:
+    """How many files hold each record."""
+    return compaction.complete_records(table(s, d, "raw_files")).groupBy("cache_key").agg(F.count("*").alias("n_files"))
+
+
+# ---- filters and projections -----------------------------------------------------------------------------------------
+@query(f"WITH {GOOD} SELECT cache_key, fault_scroller, fault_partner FROM good")
+def f3_analysable(s: SparkSession, d: str) -> DataFrame:
+    """Rows that enter the analysis."""
+    return _good(s, d).select("cache_key", "fault_scroller", "fault_partner")
+
+
+@query("SELECT cache_key, model_slot FROM scored WHERE upper(model_slot) IN ('A', 'C')")
+def f2_slots(s: SparkSession, d: str) -> DataFrame:
+    """Rows of named slots."""
+    return design.of_slots(_scored(s, d), ["a", "C"]).select("cache_key", "model_slot")
+
+
+@query("SELECT cache_key, vignette_id FROM scored WHERE upper(vignette_id) LIKE 'D%'")
+def f4_distress(s: SparkSession, d: str) -> DataFrame:
+    """Rows of items with a distress cue."""
+    return _scored(s, d).where(X.distress_cue(F.col("vignette_id"))).select("cache_key", "vignette_id")
+
+
+@query("SELECT cache_key, quote_match_mode FROM scored WHERE quote_match_mode <> 'empty'")
+def f5_quoted(s: SparkSession, d: str) -> DataFrame:
+    """Rows with a quote."""
+    return _scored(s, d).where("quote_match_mode <> 'empty'").select("cache_key", "quote_match_mode")
+
+
+@query("SELECT cache_key FROM scored WHERE coalesce(parse_ok, false) AND coalesce(missing_keys, '') = ''")
+def f6_scorable(s: SparkSession, d: str) -> DataFrame:
+    """Rows that may be sampled."""
+    return scoring.scorable(_scored(s, d)).select("cache_key")
+
+
+_CONTROL = "k AS (SELECT DISTINCT id AS vignette_id FROM vignettes WHERE id LIKE 'C%'), chk AS (SELECT s.*, CASE WHEN fault_scroller IS NULL OR fault_partner IS NULL THEN NULL ELSE fault_scroller > fault_partner AND fault_scroller >= 7 END AS pass FROM scored s JOIN k USING (vignette_id))"
+
+
+@query(f"WITH {_CONTROL} SELECT vignette_id, model_slot, gender, culture, run_index, fault_scroller, fault_partner, pass FROM chk")
+def n4_control_checks(s: SparkSession, d: str) -> DataFrame:
+    """Control items with their verdict."""
+    return validation.control_checks(_scored(s, d), table(s, d, "vignettes", "id").where(F.col("id").startswith("C")))
+
+
+@query(f"WITH {_CONTROL} SELECT model_slot, count(*) AS n, round(avg(pass::INT::DOUBLE), 6) AS pass_rate FROM chk WHERE pass IS NOT NULL AND model_slot IS NOT NULL GROUP BY ROLLUP (model_slot) HAVING count(*) > 0")
+def a8_control_summary(s: SparkSession, d: str) -> DataFrame:
+    """Pass rates of controls by slot and overall."""
+    return validation.control_summary(n4_control_checks(s, d))
+
+
+# ---- text ------------------------------------------------------------------------------------------------------------
+@query()
+def f1_score(s: SparkSession, d: str) -> DataFrame:
+    """Every raw response scored."""
+    return scoring.score(table(s, d, "raw"))
+
+
+@query("SELECT parse_status, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'fenced' WHEN 2 THEN 'embedded' WHEN 3 THEN 'repaired' ELSE 'unparseable' END AS parse_status FROM events WHERE props IS NOT NULL) GROUP BY ALL")
+def j1_extract(s: SparkSession, d: str) -> DataFrame:
+    """Extraction statuses of events' properties, wrapped in five ways whose status is known."""
+    p = F.col("props")
+    near = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(",}"))
+    ways = F.when(F.col("w") == 0, p).when(F.col("w") == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(F.col("w") == 2, F.concat(F.lit("Sure: "), p, F.lit(" as asked."))).when(F.col("w") == 3, near).otherwise(F.lit('{"k": 1'))
+    df = table(s, d, "events", "event_id", "props").where("props is not null").withColumn("w", F.col("event_id") % 5)
+    return scoring.score_summary(scoring.extraction_status(df.select(ways.alias("t")), "t"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f]+', ' ', 'g')) AS normal FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x5f\\x61-\\x7f]*', 's')")
+def x1_normalise(s: SparkSession, d: str) -> DataFrame:
+    """Normalised text of documents in ASCII, where SQL can say the same."""
+    df = table(s, d, "documents", "doc_id", "text").where("text is not null and text rlike '^[\\\\x00-\\\\x5f\\\\x61-\\\\x7f]*$'")
+    return df.select("doc_id", X.normalise("text").alias("normal"))
+
+
+@query()
+def x2_check_quote(s: SparkSession, d: str) -> DataFrame:
+    """How each quote of a scored row stands in its rendering."""
+    v = table(s, d, "vignettes", "id", "variants").select(F.col("id").alias("vignette_id"), F.explode("variants").alias("variant", "source"))
+    j = _scored(s, d).select("cache_key", "vignette_id", "variant", "evidence_quote").join(v, ["vignette_id", "variant"])
+    mode = X.quote_mode(F.col("evidence_quote"), X.normalise("evidence_quote"), X.normalise("source"))
+    return j.select("cache_key", mode.alias("quote_match_mode"))
+
+
+_RULES_SQL = "CASE " + " ".join("WHEN regexp_matches(t, '" + "|".join(ps).replace("'", "''") + f"') THEN '{c}'" for c, ps in X.ACTION_RULES.items()) + " ELSE 'unclassified' END"
+
+
+@query(f"SELECT {_RULES_SQL} AS category, count(*) AS n FROM (SELECT lower(recommended_action) AS t FROM scored WHERE recommended_action IS NOT NULL AND regexp_full_match(recommended_action, '[\\x20-\\x5f\\x61-\\x7e]*') AND NOT contains(recommended_action, '  ')) GROUP BY ALL")
+def x3_classify(s: SparkSession, d: str) -> DataFrame:
+    """Categories of recommended actions in ASCII."""
+    df = _scored(s, d).where("recommended_action is not null and recommended_action rlike '^[\\\\x20-\\\\x5f\\\\x61-\\\\x7e]*$' and not contains(recommended_action, '  ')")
+    return df.groupBy(X.classify(X.normalise("recommended_action")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT cache_key, length(coalesce(response_text, ''))::INT AS response_chars FROM raw")
+def x4_length(s: SparkSession, d: str) -> DataFrame:
+    """Code points of responses."""
+    return table(s, d, "raw", "cache_key", "response_text").select("cache_key", F.char_length(F.coalesce("response_text", F.lit(""))).alias("response_chars"))
+
+
+@query("SELECT doc_id, substring(regexp_replace(source || ' ' || lang, '[^A-Za-z0-9_-]', '_', 'g'), 1, 12) AS slug FROM documents")
+def x6_slug(s: SparkSession, d: str) -> DataFrame:
+    """File-safe names."""
+    return table(s, d, "documents", "doc_id", "source", "lang").select("doc_id", X.slug(F.concat("source", F.lit(" "), "lang"), 12).alias("slug"))
+
+
+@query("SELECT cache_key, substring(k, 1, 8) || '-' || substring(k, 9, 4) || '-' || substring(k, 13, 4) || '-' || substring(k, 17, 4) || '-' || substring(k, 21, 12) AS page FROM (SELECT cache_key, lower(substring(cache_key, 33, 32)) AS k FROM scored WHERE cache_key IS NOT NULL)")
+def x8_page_id(s: SparkSession, d: str) -> DataFrame:
+    """The last 32 hexadecimal digits of keys as ids."""
+    return _scored(s, d).where("cache_key is not null").select("cache_key", X.page_id(F.col("cache_key")).alias("page"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'Failed' WHEN event_id % 4 = 1 THEN 'Running' WHEN event_id % 4 = 2 THEN 'Partial' ELSE 'Success' END AS status FROM events")
+def x9_status(s: SparkSession, d: str) -> DataFrame:
+    """Status from notes, by precedence."""
+    m = F.col("event_id") % 4
+    note = F.when(m == 0, "day 3 (in_progress) slotA=PARTIAL_SUCCESS slotB=FAILURE").when(m == 1, "run (in_progress) slotB=PARTIAL_SUCCESS").when(m == 2, "slotA=PARTIAL_SUCCESS (success)").otherwise("slotA=SUCCESS (success)")
+    return table(s, d, "events", "event_id").select("event_id", X.note_status(note).alias("status"))
+
+
+@query("SELECT cache_key, sha256(model_id || chr(0) || coalesce(reasoning_effort, '') || chr(0) || coalesce(reasoning_format, '') || chr(0) || run_index::VARCHAR || chr(0) || system_prompt || chr(0) || user_prompt) AS computed FROM raw")
+def m1_cache_key(s: SparkSession, d: str) -> DataFrame:
+    """The content-addressed key of each record."""
+    df = table(s, d, "raw")
+    return df.select("cache_key", X.cache_key(*(F.col(c) for c in ("model_id", "reasoning_effort", "reasoning_format", "run_index", "system_prompt", "user_prompt"))).alias("computed"))
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 7.0 WHEN 3 THEN 5.0 WHEN 6 THEN 8.5 END::DOUBLE AS score FROM events")
+def c1_score(s: SparkSession, d: str) -> DataFrame:
+    """Ratings from texts."""
+    m = F.col("event_id") % 7
+    raw = F.when(m == 0, "7/10").when(m == 1, "-3").when(m == 2, "high").when(m == 3, "5-10").when(m == 4, "11").when(m == 6, "8.5")
+    return table(s, d, "events", "event_id").select("event_id", X.score_of(F.lit("string"), raw).alias("score"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN NULL ELSE false END AS flag FROM events")
+def c2_flag(s: SparkSession, d: str) -> DataFrame:
+    """Truth values from texts and numbers."""
+    m = F.col("event_id") % 5
+    kind = F.when(m == 2, "number").otherwise("string")
+    raw = F.when(m == 0, " Yes ").when(m == 1, "no").when(m == 2, "2").when(m == 3, "maybe").otherwise("0")
+    return table(s, d, "events", "event_id").select("event_id", X.flag_of(kind, raw).alias("flag"))
+
+
+# ---- design ----------------------------------------------------------------------------------------------------------
+@query("SELECT v.id AS vignette_id, sl.slot AS model_slot, g.g AS gender, c.c AS culture, r.r::INT AS run_index, v.variants[g.g || '_' || c.c] AS vignette_text FROM vignettes v, (VALUES ('A'), ('B')) sl(slot), (VALUES ('male'), ('female'), ('neutral')) g(g), (VALUES ('north_american'), ('south_asian')) c(c), range(1, 6) r(r)")
+def n1_grid(s: SparkSession, d: str) -> DataFrame:
+    """The crossed design with its renderings."""
+    g = design.grid(table(s, d, "vignettes"), [("A", "fernwood/sorrel-110b"), ("B", "tidepool/kelp-24b")], 5)
+    return g.select("vignette_id", "model_slot", "gender", "culture", "run_index", "vignette_text")
+
+
+_PLAN = "plan AS (SELECT v.id AS vignette_id, sl.slot AS model_slot, g.g AS gender, c.c AS culture, r.r::INT AS run_index FROM vignettes v, (VALUES ('A'), ('B')) sl(slot), (VALUES ('male'), ('female'), ('neutral')) g(g), (VALUES ('north_american'), ('south_asian')) c(c), range(1, 6) r(r))"
+
+
+@query(f"WITH {_PLAN} SELECT * FROM plan ANTI JOIN raw USING (vignette_id, model_slot, gender, culture, run_index)")
+def n3_pending(s: SparkSession, d: str) -> DataFrame:
+    """Planned tasks without a record."""
+    keys = ["vignette_id", "model_slot", "gender", "culture", "run_index"]
+    return design.pending(n1_grid(s, d).select(*keys), table(s, d, "raw", *keys), keys)
+
+
+# ---- cells and contrasts ---------------------------------------------------------------------------------------------
+@query(f"WITH {CELLS} SELECT model_slot, model_id, vignette_id, gender, culture, round(fault_scroller, 6) AS fault_scroller, round(fault_scroller_sd, 6) AS fault_scroller_sd, round(severity, 6) AS severity, n_runs FROM cells")
+def a1_cell_means(s: SparkSession, d: str) -> DataFrame:
+    """Repeats collapsed into cells."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return _cells(s, d).select("model_slot", "model_id", "vignette_id", "gender", "culture", r("fault_scroller"), r("fault_scroller_sd"), r("severity"), "n_runs")
+
+
+@query(f"WITH {CELLS}, a AS (SELECT model_slot, count(*) AS n, min(model_id) AS model_id, round(avg(fault_scroller), 6) AS mean_scroller, round(avg(fault_partner), 6) AS mean_partner, round(avg(severity), 6) AS mean_severity, count(severity) AS n_severity FROM good WHERE model_slot IS NOT NULL GROUP BY ALL), b AS (SELECT model_slot, round(median(fault_scroller_sd), 6) AS instability FROM cells WHERE model_slot IS NOT NULL GROUP BY ALL) SELECT * FROM a JOIN b USING (model_slot)")
+def a2_quality(s: SparkSession, d: str) -> DataFrame:
+    """The quality block of each slot."""
+    return C.quality(_good(s, d), _cells(s, d))
+
+
+@query(f"WITH {WIDE} SELECT model_slot, vignette_id, {', '.join(f'round({n}_{x}, 6) AS {n}_{x}' for n in ('first', 'second', 'third') for x in 'ab')} FROM wide")
+def r1_wide_cells(s: SparkSession, d: str) -> DataFrame:
+    """Cells side by side."""
+    w = C.wide_cells(_cells(s, d), "fault_scroller")
+    return w.select("model_slot", "vignette_id", *(F.round(f"{n}_{x}", 6).alias(f"{n}_{x}") for n in ("first", "second", "third") for x in "ab"))
+
+
+_R6 = ", ".join(f"round({c}, 6) AS {c}" for c in ("first", "second", "third", "gap", "gap_a", "gap_b", "gap_frame_diff"))
+_R6C = ", ".join(f"round({c}, 6) AS {c}" for c in ("first", "second", "gap", "gap_a", "gap_b", "gap_frame_diff"))
+
+
+def _round6(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *(F.round(c, 6).alias(c) for c in df.columns if c not in keys))
+
+
+@query(f"WITH {GAPS} SELECT model_slot, vignette_id, {_R6} FROM gaps")
+def r2_paired_gaps(s: SparkSession, d: str) -> DataFrame:
+    """Available-case contrasts."""
+    return _round6(_gaps(s, d), "model_slot", "vignette_id")
+
+
+@query(f"WITH {GAPS} SELECT model_slot, vignette_id, {_R6C} FROM gaps WHERE gap_a IS NOT NULL AND gap_b IS NOT NULL")
+def r3_complete_gaps(s: SparkSession, d: str) -> DataFrame:
+    """Complete-case contrasts."""
+    return _round6(C.complete_gaps(_cells(s, d), "fault_scroller"), "model_slot", "vignette_id")
+
+
+@query(f"WITH {_lines_sql('l_partkey')} SELECT slot, l_partkey, {_R6} FROM gaps")
+def r2_line_gaps(s: SparkSession, d: str) -> DataFrame:
+    """Available-case contrasts over line items by part."""
+    return _round6(C.paired_gaps(_lines(s, d, C.LINES_BY_PART), "l_quantity", C.LINES_BY_PART), "slot", "l_partkey")
+
+
+@query(f"WITH {_lines_sql('l_partkey')} SELECT slot, l_partkey, {_R6C} FROM gaps WHERE gap_a IS NOT NULL AND gap_b IS NOT NULL")
+def r3_line_gaps(s: SparkSession, d: str) -> DataFrame:
+    """Complete-case contrasts over line items by part."""
+    return _round6(C.complete_gaps(_lines(s, d, C.LINES_BY_PART), "l_quantity", C.LINES_BY_PART), "slot", "l_partkey")
+
+
+def _completeness_sql(ctes: str, slot: str, item: str, factor: str, frame: str, levels: tuple[str, ...], frames: tuple[str, str]) -> str:
+    have = " AND ".join(f"bool_or({factor} = '{lv}' AND {frame} = '{fr}')" for lv in levels for fr in frames)
+    return f"WITH {ctes}, per AS (SELECT {slot}, {item}, coalesce({have}, false) AS w FROM cells GROUP BY ALL) SELECT {slot}, count(*) FILTER (WHERE w) AS n_included, count(*) AS n_total, count(*) FILTER (WHERE NOT w) AS n_excluded FROM per GROUP BY ALL"
+
+
+@query(_completeness_sql(CELLS, "model_slot", "vignette_id", "gender", "culture", ("male", "female"), ("north_american", "south_asian")))
+def a9_completeness(s: SparkSession, d: str) -> DataFrame:
+    """Items with all four cells."""
+    return C.completeness(_cells(s, d))
+
+
+@query(_completeness_sql(CELLS, "model_slot", "vignette_id", "gender", "culture", ("male", "female", "neutral"), ("north_american", "south_asian")))
+def a10_completeness(s: SparkSession, d: str) -> DataFrame:
+    """Items with all six cells."""
+    return C.completeness(_cells(s, d), levels=("male", "female", "neutral"))
+
+
+@query(_completeness_sql(_lines_sql("l_partkey"), "slot", "l_partkey", "l_returnflag", "l_linestatus", ("A", "R"), ("O", "F")))
+def a9_line_completeness(s: SparkSession, d: str) -> DataFrame:
+    """Parts with all four cells."""
+    return C.completeness(_lines(s, d, C.LINES_BY_PART), C.LINES_BY_PART)
+
+
+_SHARES = GOOD + ", shares AS (SELECT model_slot, vignette_id, gender, culture, count(*) AS n_runs, " + ", ".join(f"avg((coalesce(action_category, '') = '{c}')::INT::DOUBLE) AS {c}" for c in CATEGORIES) + " FROM good GROUP BY ALL)"
+_HAVE6 = " AND ".join(f"bool_or(gender = '{g}' AND culture = '{c}')" for g in ("male", "female", "neutral") for c in ("north_american", "south_asian"))
+_DIFFS = _SHARES + f", diffs AS (SELECT model_slot, vignette_id, {', '.join(f'''round((sum({c}) FILTER (WHERE culture = 'north_american' AND gender IN ('male', 'female', 'neutral')) - sum({c}) FILTER (WHERE culture = 'south_asian' AND gender IN ('male', 'female', 'neutral'))) / 3, 12) AS diff_{c}''' for c in CATEGORIES)} FROM shares GROUP BY ALL HAVING {_HAVE6})"
+
+
+@query(f"WITH {_SHARES} SELECT model_slot, vignette_id, gender, culture, n_runs, {', '.join(f'round({c}, 6) AS {c}' for c in CATEGORIES)} FROM shares")
+def a3_proportions(s: SparkSession, d: str) -> DataFrame:
+    """Shares of categories per cell."""
+    p = C.proportions(_good(s, d), "action_category", CATEGORIES)
+    return _round6(p, "model_slot", "vignette_id", "gender", "culture", "n_runs")
+
+
+@query(f"WITH {_DIFFS} SELECT model_slot, vignette_id, {', '.join(f'round(diff_{c}, 6) AS diff_{c}' for c in CATEGORIES)} FROM diffs")
+def r4_category_diffs(s: SparkSession, d: str) -> DataFrame:
+    """Category contrasts between frames."""
+    return _round6(_diffs(s, d), "model_slot", "vignette_id")
+
+
+@query(f"WITH {GOOD} SELECT model_slot, gender, count(*) AS n, count(*) FILTER (WHERE coalesce(distress_flagged, false)) AS flagged, round(avg(coalesce(distress_flagged, false)::INT::DOUBLE), 6) AS recall FROM good WHERE upper(vignette_id) LIKE 'D%' AND model_slot IS NOT NULL AND gender IS NOT NULL GROUP BY ALL")
+def tr_recall(s: SparkSession, d: str) -> DataFrame:
+    """Distress recall."""
+    return C.recall(_good(s, d))
+
+
+def _hall(where: str, by: str = "", cte: str = GOOD, frame: str = "good") -> str:
+    g = f"{by}, " if by else ""
+    return f"WITH {cte} SELECT {g}count(*) AS n_quoted, count(*) FILTER (WHERE coalesce(quote_verbatim, false)) AS n_grounded, round(1 - avg(coalesce(quote_verbatim, false)::INT::DOUBLE), 6) AS hallucination_rate FROM {frame} WHERE {where}" + (f" GROUP BY {by}" if by else "")
+
+
+@query(_hall("coalesce(parse_ok, false) AND coalesce(missing_keys, '') = '' AND quote_match_mode <> 'empty'", frame="scored"))
+def tg_scorer(s: SparkSession, d: str) -> DataFrame:
+    """Hallucination rate, scorer's denominator."""
+    return scoring.hallucination_summary(_scored(s, d))
+
+
+@query(_hall("model_slot IS NOT NULL AND (quote_match_mode IS NULL OR quote_match_mode <> 'empty')", "model_slot"))
+def tg_report(s: SparkSession, d: str) -> DataFrame:
+    """Hallucination rate, report's denominator."""
+    return scoring.hallucination_report(_scored(s, d))
+
+
+@query(_hall("model_slot IS NOT NULL AND (quote_match_mode IS NULL OR quote_match_mode <> 'empty')", "model_slot, gender, culture"))
+def tg_by_condition(s: SparkSession, d: str) -> DataFrame:
+    """Hallucination rate per condition, as documented."""
+    return scoring.hallucination_report(_scored(s, d), "model_slot", "gender", "culture")
+
+
+@query(_hall("coalesce(quote_match_mode, '') NOT IN ('', 'empty')", frame="scored"))
+def tg_dashboard(s: SparkSession, d: str) -> DataFrame:
+    """Hallucination rate, dashboard's denominator."""
+    return scoring.hallucination_dashboard(_scored(s, d))
+
+
+@query("SELECT model_slot, count(*) AS n, round(1 - avg(coalesce(parse_ok, false)::INT::DOUBLE), 6) AS refusal_rate FROM scored WHERE model_slot IS NOT NULL GROUP BY ALL")
+def refusal_rate(s: SparkSession, d: str) -> DataFrame:
+    """Unparsed answers by slot."""
+    return scoring.refusal_rate(_scored(s, d))
+
+
+@query("SELECT model_slot, count(*) AS n, round(1 - avg((coalesce(parse_ok, false) AND coalesce(missing_keys, '') = '')::INT::DOUBLE), 6) AS refusal_rate FROM scored WHERE model_slot IS NOT NULL GROUP BY ALL")
+def refusal_rate_documented(s: SparkSession, d: str) -> DataFrame:
+    """Unparsed or incomplete answers by slot, as documented."""
+    return scoring.refusal_rate(_scored(s, d), documented=True)
+
+
+@query("SELECT parse_status, count(*) AS n FROM scored GROUP BY ALL")
+def a7_statuses(s: SparkSession, d: str) -> DataFrame:
+    """How answers were read."""
+    return scoring.score_summary(_scored(s, d))
+
+
+# ---- statistics ------------------------------------------------------------------------------------------------------
+@query(_signed_rank_sql(GAPS, "gaps", "gap", "model_slot"))
+def h1_signed_rank(s: SparkSession, d: str) -> DataFrame:
+    """The signed-rank statistic of the fault gap by slot."""
+    return stats.signed_rank(_gaps(s, d), "gap", ["model_slot"])
+
+
+@query(_signed_rank_sql(GAPS, "gaps", "gap_frame_diff", "model_slot"))
+def h2_signed_rank(s: SparkSession, d: str) -> DataFrame:
+    """The signed-rank statistic of the gap's difference between frames."""
+    return stats.signed_rank(_gaps(s, d), "gap_frame_diff", ["model_slot"])
+
+
+@query(_signed_rank_sql(_lines_sql("l_partkey"), "gaps", "gap", "slot"))
+def tw_lines_by_part(s: SparkSession, d: str) -> DataFrame:
+    """The signed-rank statistic over parts."""
+    return stats.signed_rank(C.paired_gaps(_lines(s, d, C.LINES_BY_PART), "l_quantity", C.LINES_BY_PART), "gap", ["slot"])
+
+
+@query(_signed_rank_sql(_lines_sql("l_suppkey"), "gaps", "gap", "slot"))
+def tw_lines_by_supplier(s: SparkSession, d: str) -> DataFrame:
+    """The signed-rank statistic over suppliers."""
+    return stats.signed_rank(C.paired_gaps(_lines(s, d, C.LINES_BY_SUPPLIER), "l_quantity", C.LINES_BY_SUPPLIER), "gap", ["slot"])
+
+
+@query(_signed_rank_sql(CELLS + ", " + _wide("cells", "model_slot", "vignette_id", "gender", "culture", "severity", ("male", "female", "neutral"), ("north_american", "south_asian")) + ", " + _gaps_sql("model_slot", "vignette_id"), "gaps", "gap", "model_slot"))
+def severity_gap(s: SparkSession, d: str) -> DataFrame:
+    """The severity gap, a documented metric."""
+    return stats.signed_rank(C.paired_gaps(_cells(s, d), "severity"), "gap", ["model_slot"])
+
+
+def _cliff_sql(ctes: str, frame: str, by: str, a: str, b: str) -> str:
+    return f"""WITH {ctes}, x AS (SELECT {by}, {a} AS v, 1 AS s FROM {frame} WHERE {a} IS NOT NULL UNION ALL SELECT {by}, {b}, 0 FROM {frame} WHERE {b} IS NOT NULL),
+    r AS (SELECT {by}, s, rank() OVER (PARTITION BY {by} ORDER BY v) + (count(*) OVER (PARTITION BY {by}, v) - 1) / 2.0 AS r FROM x)
+    SELECT {by}, count(*) FILTER (WHERE s = 1) AS n_a, count(*) FILTER (WHERE s = 0) AS n_b,
+      round(2 * (sum(r) FILTER (WHERE s = 1) - count(*) FILTER (WHERE s = 1) * (count(*) FILTER (WHERE s = 1) + 1) / 2.0)::DOUBLE / (count(*) FILTER (WHERE s = 1) * count(*) FILTER (WHERE s = 0)) - 1, 9) AS delta FROM r GROUP BY ALL"""
+
+
+@query(_cliff_sql(GAPS, "gaps", "model_slot", "first", "second"))
+def tc_cliffs_delta(s: SparkSession, d: str) -> DataFrame:
+    """Cliff's delta between the first two levels."""
+    return stats.cliffs_delta(_gaps(s, d), "first", "second", ["model_slot"])
+
+
+@query(_cliff_sql(_lines_sql("l_partkey"), "gaps", "slot", "first", "second"))
+def tc_lines(s: SparkSession, d: str) -> DataFrame:
+    """Cliff's delta over parts."""
+    return stats.cliffs_delta(C.paired_gaps(_lines(s, d, C.LINES_BY_PART), "l_quantity", C.LINES_BY_PART), "first", "second", ["slot"])
+
+
+def _sign_sql(ctes: str, frame: str, value: str, by: str) -> str:
+    p, m = f"count(*) FILTER (WHERE {value} > 0)", f"count(*) FILTER (WHERE {value} < 0)"
+    return f"WITH {ctes} SELECT {by}, {p} AS n_positive, {m} AS n_negative, count(*) FILTER (WHERE {value} = 0) AS n_tied, count(*) AS n_total, {p} + {m} AS n_nontied, round(({p} - {m})::DOUBLE / nullif({p} + {m}, 0), 9) AS statistic FROM {frame} WHERE {value} IS NOT NULL GROUP BY ALL"
+
+
+@query(_sign_sql(GAPS, "gaps", "gap", "model_slot"))
+def ts_signs(s: SparkSession, d: str) -> DataFrame:
+    """Signs of the fault gap."""
+    return stats.sign_statistic(_gaps(s, d), "gap", ["model_slot"])
+
+
+@query(_sign_sql(_lines_sql("l_partkey"), "gaps", "gap", "slot"))
+def ts_lines(s: SparkSession, d: str) -> DataFrame:
+    """Signs of gaps over parts."""
+    return stats.sign_statistic(C.paired_gaps(_lines(s, d, C.LINES_BY_PART), "l_quantity", C.LINES_BY_PART), "gap", ["slot"])
+
+
+@query("WITH t AS (SELECT l_linestatus AS family, l_shipmode_like AS test, round(avg(l_tax) * 0.3, 9) AS p FROM (SELECT *, l_suppkey % 6 AS l_shipmode_like FROM lineitem) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, test) AS k, count(*) OVER (PARTITION BY family) AS m FROM t), a AS (SELECT *, max(least(1.0, (m - k + 1) * p)) OVER (PARTITION BY family ORDER BY k) AS p_holm FROM r) SELECT family, test, p, round(p_holm, 9) AS p_holm, p_holm < 0.05 AS reject FROM a")
+def th_holm(s: SparkSession, d: str) -> DataFrame:
+    """Step-down correction of small p's made of line items, by line status."""
+    t = table(s, d, "lineitem").groupBy(F.col("l_linestatus").alias("family"), (F.col("l_suppkey") % 6).alias("test")).agg(F.round(F.avg("l_tax") * 0.3, 9).alias("p"))
+    return stats.holm(t, "p", ["family"], "test").withColumn("p_holm", F.round("p_holm", 9))
+
+
+def _chi_sql(ctes: str, frame: str, row: str, col: str, by: str, yates: bool) -> str:
+    gap = "greatest(abs(n - e) - 0.5, 0)" if yates else "abs(n - e)"
+    g = f"{by}, " if by else ""
+    part = f"PARTITION BY {g}" if by else "PARTITION BY "
+    on = f"a.{by} = b.{by} AND " if by else ""
+    join = f"(SELECT DISTINCT {g}r FROM t) a JOIN (SELECT DISTINCT {g}c FROM t) b ON {f'a.{by} = b.{by}' if by else 'true'}"
+    pick = f"a.{by}, " if by else ""
+    full = "" if not by else f"PARTITION BY {by}"
+    return f"""WITH {ctes}t AS (SELECT {g}{row} AS r, {col} AS c, count(*) AS n FROM {frame} WHERE {row} IS NOT NULL AND {col} IS NOT NULL GROUP BY ALL),
+    grid AS (SELECT {pick}a.r, b.c FROM {join}), f AS (SELECT grid.*, coalesce(t.n, 0) AS n FROM grid LEFT JOIN t ON {f'grid.{by} = t.{by} AND ' if by else ''}grid.r = t.r AND grid.c = t.c),
+    w AS (SELECT *, sum(n) OVER ({part}r)::DOUBLE * sum(n) OVER ({part}c) / sum(n) OVER ({full}) AS e FROM f)
+    SELECT {g}round(sum({gap} * {gap} / e), 6) AS chi2, ((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1))::BIGINT AS dof, sum(n)::BIGINT AS n, count(*) FILTER (WHERE e < 5) AS small_cells FROM w {f'GROUP BY {by}' if by else ''}"""
+
+
+@query(_chi_sql(GOOD + ", cl AS (SELECT * FROM good WHERE action_category IN ('" + "', '".join(CATEGORIES) + "')), ", "cl", "action_category", "culture", "model_slot", False))
+def tx_actions(s: SparkSession, d: str) -> DataFrame:
+    """Chi-square of categories against frames by slot."""
+    return stats.chi_square(_good(s, d).where(F.col("action_category").isin(*CATEGORIES)), "action_category", "culture", ["model_slot"])
+
+
+@query(_chi_sql("", "orders", "o_orderpriority", "o_orderstatus", "", False))
+def tx_orders(s: SparkSession, d: str) -> DataFrame:
+    """Chi-square of priority against status."""
+    return stats.chi_square(table(s, d, "orders"), "o_orderpriority", "o_orderstatus", [])
+
+
+@query(_chi_sql(GOOD + ", x AS (SELECT model_slot, coalesce(distress_flagged, false) AS flagged, culture FROM good WHERE upper(vignette_id) LIKE 'D%'), ", "x", "flagged", "culture", "model_slot", True))
+def tx_flags(s: SparkSession, d: str) -> DataFrame:
+    """Chi-square of the flag against frames: two by two, with Yates' correction."""
+    g = _good(s, d).where(X.distress_cue(F.col("vignette_id"))).withColumn("flagged", F.coalesce("distress_flagged", F.lit(False)))
+    return stats.chi_square(g, "flagged", "culture", ["model_slot"])
+
+
+@query(f"WITH {_DIFFS} SELECT model_slot, count(*) AS n, round({' + '.join(f'avg(diff_{c}) * avg(diff_{c})' for c in CATEGORIES)}, 9) AS statistic FROM diffs GROUP BY ALL")
+def to_omnibus(s: SparkSession, d: str) -> DataFrame:
+    """The omnibus statistic."""
+    return stats.omnibus(_diffs(s, d), CATEGORIES, ["model_slot"])
+
+
+@query(f"WITH {GAPS}, sp AS (SELECT model_slot, greatest(1.0, max(abs(gap))) AS s FROM gaps WHERE gap IS NOT NULL GROUP BY ALL), b AS (SELECT g.model_slot, s, least(floor((gap + s) / (2 * s / 24)), 23)::INT AS bin FROM gaps g JOIN sp USING (model_slot) WHERE gap IS NOT NULL) SELECT model_slot, bin, round(bin * (2 * s / 24) - s, 6) AS lo, round((bin + 1) * (2 * s / 24) - s, 6) AS hi, count(*) AS n FROM b GROUP BY model_slot, bin, s")
+def a15_histogram(s: SparkSession, d: str) -> DataFrame:
+    """The histogram of gaps."""
+    return stats.histogram(_gaps(s, d), "gap", ["model_slot"])
+
+
+@query()
+def tw_test(s: SparkSession, d: str) -> DataFrame:
+    """The signed-rank test with p, corrected over both hypotheses and all slots."""
+    g = _gaps(s, d)
+    tests = [stats.signed_rank_test(g, c, ["model_slot"]).withColumn("hypothesis", F.lit(h)) for h, c in (("H1", "gap"), ("H2", "gap_frame_diff"))]
+    both = tests[0].unionByName(tests[1]).withColumn("test", F.concat("model_slot", "hypothesis")).withColumn("family", F.lit("primary"))
+    return stats.holm(both, "p", ["family"], "test")
+
+
+@query()
+def tb_bootstrap(s: SparkSession, d: str) -> DataFrame:
+    """The percentile interval of the mean gap, drawn as by NumPy."""
+    return stats.bootstrap_ci(_gaps(s, d), "gap", ["model_slot"], "vignette_id", seed=validation.SEED)
+
+
+@query()
+def tb_poisson(s: SparkSession, d: str) -> DataFrame:
+    """The interval by Poisson resampling."""
+    return stats.poisson_ci(_gaps(s, d), "gap", ["model_slot"], "vignette_id")
+
+
+@query()
+def tp_permutation(s: SparkSession, d: str) -> DataFrame:
+    """The sign-flip test of category contrasts."""
+    return stats.permutation_test(_diffs(s, d), CATEGORIES, ["model_slot"], "vignette_id", resamples=2000)
+
+
+@query()
+def tx_test(s: SparkSession, d: str) -> DataFrame:
+    """The chi-square test of categories with p."""
+    return stats.chi_square_test(_good(s, d).where(F.col("action_category").isin(*CATEGORIES)), "action_category", "culture", ["model_slot"])
+
+
+@query("WITH a AS (SELECT model_slot, action_category, culture FROM scored WHERE model_slot IS NOT NULL) SELECT model_slot, action_category, count(*) FILTER (WHERE culture = 'north_american') AS north_american, count(*) FILTER (WHERE culture = 'south_asian') AS south_asian FROM a WHERE action_category IS NOT NULL AND culture IS NOT NULL GROUP BY ALL")
+def a5_crosstab(s: SparkSession, d: str) -> DataFrame:
+    """Categories against frames as a table."""
+    kept = _scored(s, d).where("model_slot is not null and action_category is not null and culture is not null")
+    return kept.groupBy("model_slot", "action_category").pivot("culture", ["north_american", "south_asian"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("SELECT model_slot, count(DISTINCT vignette_id) AS n_items, count(DISTINCT cache_key) AS n_keys FROM scored GROUP BY ALL")
+def a6_distinct(s: SparkSession, d: str) -> DataFrame:
+    """Distinct items and records by slot."""
+    return _scored(s, d).groupBy("model_slot").agg(F.count_distinct("vignette_id").alias("n_items"), F.count_distinct("cache_key").alias("n_keys"))
+
+
+# ---- agreement, samples, log -----------------------------------------------------------------------------------------
+_ML = "a AS (SELECT sample_id, max(trim(action_category)) AS coder_a FROM manual_validation_50_coder_a WHERE sample_id IS NOT NULL GROUP BY 1), b AS (SELECT sample_id, max(trim(action_category)) AS coder_b FROM manual_validation_50_coder_b WHERE sample_id IS NOT NULL GROUP BY 1), k AS (SELECT sample_id, max(trim(automated_action_category)) AS automated FROM manual_validation_50_key WHERE sample_id IS NOT NULL GROUP BY 1), m AS (SELECT * FROM a JOIN b USING (sample_id) JOIN k USING (sample_id))"
+
+
+def _matched(s: SparkSession, d: str) -> DataFrame:
+    return validation.matched_labels(*(table(s, d, f"manual_validation_50_{t}") for t in ("coder_a", "coder_b", "key")))
+
+
+_DOM = "('" + "', '".join(CATEGORIES) + "')"
+
+
+@query(f"WITH {_ML}, i AS (SELECT * FROM m WHERE coder_a IN {_DOM} AND coder_b IN {_DOM}), d AS (SELECT unnest(['" + "', '".join(CATEGORIES) + "']) AS row) SELECT d.row, " + ", ".join(f"count(*) FILTER (WHERE coder_b = '{c}') AS {c}" for c in CATEGORIES) + " FROM d LEFT JOIN i ON i.coder_a = d.row GROUP BY d.row")
+def a13_confusion(s: SparkSession, d: str) -> DataFrame:
+    """Coder A against coder B over the fixed domain."""
+    return stats.confusion(_matched(s, d), "coder_a", "coder_b", CATEGORIES)
+
+
+def _kappa_sql(a: str, b: str) -> str:
+    pe = " + ".join(f"(count(*) FILTER (WHERE {a} = '{c}'))::DOUBLE * (count(*) FILTER (WHERE {b} = '{c}'))" for c in CATEGORIES)
+    return f"WITH {_ML}, k2 AS (SELECT count(*) AS n, count(*) FILTER (WHERE {a} = {b}) AS exact, ({pe}) / (count(*)::DOUBLE * count(*)) AS pe FROM m WHERE {a} IN {_DOM} AND {b} IN {_DOM}) SELECT n, exact, CASE WHEN n > 0 THEN CASE WHEN pe >= 1 THEN 1.0 ELSE round((exact::DOUBLE / n - pe) / (1 - pe), 9) END END AS kappa FROM k2"
+
+
+@query(_kappa_sql("coder_a", "coder_b"))
+def tk_kappa_coders(s: SparkSession, d: str) -> DataFrame:
+    """Agreement of the coders."""
+    return stats.kappa(_matched(s, d), "coder_a", "coder_b", CATEGORIES)
+
+
+@query(_kappa_sql("coder_a", "automated"))
+def tk_kappa_automated(s: SparkSession, d: str) -> DataFrame:
+    """Agreement of coder A with the classifier."""
+    return stats.kappa(_matched(s, d), "coder_a", "automated", CATEGORIES)
+
+
+_LAB = "trim(coalesce(action_category, ''))"
+
+
+@query(f"SELECT 'repeated' AS problem, sample_id, count(*) AS n FROM manual_validation_50_coder_a GROUP BY sample_id HAVING count(*) > 1 UNION ALL SELECT 'blank', sample_id, count(*) FROM manual_validation_50_coder_a WHERE {_LAB} = '' GROUP BY sample_id UNION ALL SELECT 'unknown', sample_id, count(*) FROM manual_validation_50_coder_a WHERE {_LAB} <> '' AND {_LAB} NOT IN {_DOM} GROUP BY sample_id")
+def f11_worksheet(s: SparkSession, d: str) -> DataFrame:
+    """Problems of a worksheet."""
+    return validation.worksheet_problems(table(s, d, "manual_validation_50_coder_a"))
+
+
+_QUOTA = "sl AS (SELECT model_slot, row_number() OVER (ORDER BY model_slot) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT model_slot FROM ok WHERE model_slot IS NOT NULL)), q AS (SELECT model_slot, 50 // m + (i <= 50 % m)::INT AS quota FROM sl)"
+
+
+@query(f"WITH ok AS (SELECT * FROM scored WHERE coalesce(parse_ok, false) AND coalesce(missing_keys, '') = ''), {_QUOTA}, r AS (SELECT model_slot, cache_key, row_number() OVER (PARTITION BY model_slot ORDER BY sha256('{validation.SEED}' || cache_key), cache_key) AS r FROM (SELECT DISTINCT model_slot, cache_key FROM ok WHERE model_slot IS NOT NULL)) SELECT printf('MV%03d', row_number() OVER (ORDER BY model_slot, cache_key)) AS sample_id, model_slot, cache_key FROM r JOIN q USING (model_slot) WHERE r <= quota")
+def q1_hashed_sample(s: SparkSession, d: str) -> DataFrame:
+    """An exact stratified sample by seeded hash."""
+    return validation.hashed_sample(scoring.scorable(_scored(s, d))).select("sample_id", "model_slot", "cache_key")
+
+
+@query("WITH o AS (SELECT cache_key, model_slot, arg_min(attempts, (collected_at, attempts)) AS attempts, min(collected_at) AS collected_at FROM raw WHERE cache_key IS NOT NULL GROUP BY ALL), g AS (SELECT model_slot, count(*) AS n, sum(attempts)::BIGINT AS attempts, strftime(collected_at, '%Y-%m-%d') AS day FROM o WHERE model_slot IS NOT NULL AND collected_at IS NOT NULL GROUP BY model_slot, strftime(collected_at, '%Y-%m-%d')) SELECT model_slot, day, n, attempts, attempts >= 175 AS capped FROM g")
+def a14_daily_attempts(s: SparkSession, d: str) -> DataFrame:
+    """Attempts by slot and day against the cap."""
+    return runlog.daily_attempts(runlog.once(table(s, d, "raw"))).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT model_slot, e.outcome AS outcome, e.http_status AS http_status, count(*) AS n FROM (SELECT model_slot, unnest(retry_events) AS e FROM raw) GROUP BY ALL")
+def retry_telemetry(s: SparkSession, d: str) -> DataFrame:
+    """Retries by cause."""
+    return runlog.retry_telemetry(table(s, d, "raw"))
+
+
+@query("WITH c AS (SELECT o_custkey % 40 AS run, count(*) FILTER (WHERE o_orderstatus = 'F') AS written, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, o_custkey % 3 AS capped FROM orders GROUP BY o_custkey % 40, o_custkey % 3) SELECT run, capped, written, failed, CASE WHEN written + failed = 0 THEN CASE WHEN capped > 0 THEN 'CAPPED_CLEAN' ELSE 'SUCCESS' END WHEN written = 0 OR (written + failed >= 5 AND failed >= 0.5 * (written + failed)) THEN 'FAILURE' WHEN failed > 0 THEN 'PARTIAL_SUCCESS' WHEN capped > 0 THEN 'CAPPED_CLEAN' ELSE 'SUCCESS' END AS status FROM c")
+def run_status(s: SparkSession, d: str) -> DataFrame:
+    """A run's status from its counts, orders standing for cells."""
+    n = lambda st: F.sum((F.col("o_orderstatus") == st).cast("long"))
+    c = table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("run"), (F.col("o_custkey") % 3).alias("capped")).agg(n("F").alias("written"), n("P").alias("failed"))
+    return c.withColumn("status", runlog.run_status(F.col("written"), F.col("failed"), F.col("capped")))
+
+
+@query("SELECT doc_id::VARCHAR AS path, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def k10_manifest(s: SparkSession, d: str) -> DataFrame:
+    """Digests of contents."""
+    df = table(s, d, "documents", "doc_id", "text").where("text is not null")
+    return validation.manifest(df.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content")))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_compact": p2_compact}
+def queries() -> dict[str, Query]:
+    """All queries by name."""
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Their SQL, where there is one."""
+    return dict(_SQL)
