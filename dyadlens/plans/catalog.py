@@ -168,6 +168,16 @@ def f1_score(s: SparkSession, d: str) -> DataFrame:
     return scoring.score(table(s, d, "raw"))
 
 
+_GIVEN = ("cache_key", "distress_cue", "parse_status", "parse_ok", "missing_keys", "fault_scroller", "fault_partner", "fault_total", "severity", "recommended_action", "evidence_quote", "quote_verbatim", "quote_match_mode", "distress_flagged", "response_chars")
+
+
+@query(f"SELECT DISTINCT {', '.join(_GIVEN)} FROM scored")
+def f1_score_given(s: SparkSession, d: str) -> DataFrame:
+    """Raw responses scored, for the records of the given scored table, which must come out the same."""
+    keys = table(s, d, "scored", "cache_key").distinct()
+    return scoring.score(table(s, d, "raw")).select(*_GIVEN).join(keys, "cache_key", "left_semi").distinct()
+
+
 @query("SELECT parse_status, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'fenced' WHEN 2 THEN 'embedded' WHEN 3 THEN 'repaired' ELSE 'unparseable' END AS parse_status FROM events WHERE props IS NOT NULL) GROUP BY ALL")
 def j1_extract(s: SparkSession, d: str) -> DataFrame:
     """Extraction statuses of events' properties, wrapped in five ways whose status is known."""
