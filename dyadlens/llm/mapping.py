@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,9 +167,28 @@ class Mapper:
             if len(words) < 3:
                 paths.append(("".join(words), code))
         self.trie = Trie(paths)
+        # letter counts of all paths: their difference bounds the distance from below, so hopeless searches are left out
+        self._letters = {c: i for i, c in enumerate(sorted({c for q, _ in paths for c in q}))}
+        self._counts = np.array([self._count(q) for q, _ in paths] or [[0]], dtype=np.int16)
         self.longest = max((len(p) for p, _ in paths), default=0)
         self.known: dict[str, str] = {}
 
+    def _count(self, text: str) -> list[int]:
+        n = [0] * (len(self._letters) + 1)
+        for c in text:
+            n[self._letters.get(c, -1)] += 1
+        return n
+
+    def _search(self, text: str, k: int, prefix: bool = False) -> list[tuple[int, str]]:
+        gap = self._counts - np.array(self._count(text), dtype=np.int16)
+        least = -np.minimum(gap, 0).sum(1)
+        if not prefix:
+            least = np.maximum(least, np.maximum(gap, 0).sum(1))
+        low = int(least.min())
+        if low > k:
+            return []
+        return self.trie.search(text, k, prefix)
+
     def _peel(self, text: str) -> list[str]:
         """The text, and the text without a phrase before and after it."""
         words = text.split()
@@ -200,27 +220,28 @@ class Mapper:
             glued = t.replace(" ", "")
             if len(t) > self.longest + allowed(len(t)) or best and best[0][0] == 0:
                 continue
-            for k in sorted({min(2, allowed(len(t))), min(4, allowed(len(t))), allowed(len(t))}):
-                if got := self.trie.search(t, k):
+            # widened step by step: most slips are one or two
+            for k in sorted({min(k, allowed(len(t))) for k in (1, 2, 4, 99)}):
+                if got := self._search(t, k):
                     best = min(best or got, got)
                     break
-            if not best and len(glued) < 16 and glued != t and (got := self.trie.search(glued, min(2, allowed(len(glued))))):
+            if not best and len(glued) < 16 and glued != t and (got := self._search(glued, min(2, allowed(len(glued))))):
                 best = got
         if best:
             return best
         if tries and len(tries[0]) >= 14:  # many slips in the whole; or the first letters of a word after it
             t = tries[0]
-            if len(t) <= self.longest + 8 and (got := self.trie.search(t, len(t) * 22 // 100)):
+            if len(t) <= self.longest + 8 and (got := self._search(t, len(t) * 22 // 100)):
                 return got
             words = t.split()
             for m in (1, 2):
                 t = " ".join(words[:-m])
                 for short in [t, *(t[: -len(x) - 1] for x in TRAILS if t.endswith(" " + x))]:
-                    if len(short) >= 14 and (got := self.trie.search(short, 2)):
+                    if len(short) >= 14 and (got := self._search(short, 2)):
                         return got
         for t in tries:
             if len(t) >= 4 and (len(t) >= 8 or " " not in t):
-                got = self.trie.search(t, allowed(len(t)) if len(t) > 10 else 0, prefix=True)
+                got = self._search(t, allowed(len(t)) if len(t) > 10 else 0, prefix=True)
                 if got and len({c for d, c in got if d == got[0][0]}) == 1:
                     return got[:1]
         return []
