@@ -128,6 +128,8 @@ def passages(text: str, items: Items, least: int = 12) -> Iterator[tuple]:
     if len(doc) < RUN:
         return
     stream = "".join(doc)
+    if next(items.automaton.iter(stream), None) is None:
+        return
     begins, n = [], 0
     for w in doc:
         begins.append(n)

@@ -65,6 +65,11 @@ _SPACE = re.compile(r"\s+")
 _NEXT_WORD = re.compile(r"\s*[\"'“”„«»‹›(\[{¿¡—–\-*_`「『]*")
 
 
+_PAIRED = re.compile("[" + re.escape("".join({*OPEN, *OPEN.values(), '"'})) + "]")
+_MARK = re.compile("[" + re.escape("".join({*OPEN, *OPEN.values(), '"', *ENDS})) + "]")
+_MARK_OR_SPACE = re.compile(_MARK.pattern + r"|\s")
+
+
 def _trie() -> dict:
     root: dict = {}
     for kind, words in ABBREVIATIONS.items():
@@ -135,8 +140,8 @@ def _pairs(text: str, a: int, b: int) -> dict[int, int]:
     """opening -> closing place of quotations and brackets that close within the paragraph."""
     found: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
-    for i in range(a, b):
-        c = text[i]
+    for m in _PAIRED.finditer(text, a, b):
+        i, c = m.start(), m.group()
         if stack and c == stack[-1][0]:
             found[stack.pop()[1]] = i
         elif c == '"':
@@ -239,7 +244,9 @@ def _cut_paragraph(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     if m:
         i = m.end()
     thai = bool(_THAI.search(text, a, b))
-    while i < b:
+    marks = _MARK_OR_SPACE if thai else _MARK
+    while (m := marks.search(text, i, b)) is not None:
+        i = m.start()
         c = text[i]
         if i in closing:
             depth += 1
