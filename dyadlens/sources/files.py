@@ -27,7 +27,7 @@ def items(spark: SparkSession, path: str) -> DataFrame:
 
 def responses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """S3: (records, unreadable files) of a folder of JSON documents; names other than *.json are passed over."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").load(folder).select(F.col("_metadata.file_path").alias("path"), "value")
     parsed = text.withColumn("whole", F.try_parse_json("value").isNotNull())
     rec = parsed.where("whole").select(F.from_json("value", RAW).alias("r"), "path").orderBy("path").select("r.*")
     return rec, parsed.where("not whole").select("path")
