@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import medians
+
 
 @dataclass(frozen=True)
 class Design:
@@ -95,8 +97,8 @@ def quality(good: DataFrame, cells: DataFrame, metric: str = "fault_scroller", d
         F.count("*").alias("n"), F.min("model_id").alias("model_id"), F.round(F.avg(metric), 6).alias("mean_scroller"), F.round(F.avg("fault_partner"), 6).alias("mean_partner"),
         F.round(F.avg("severity"), 6).alias("mean_severity"), F.count("severity").alias("n_severity"),
     )
-    by_cells = cells.where(F.col(d.slot).isNotNull()).groupBy(d.slot).agg(F.round(F.median(f"{metric}_sd"), 6).alias("instability"))
-    return by_rows.join(by_cells, d.slot)
+    by_cells = medians(cells.where(F.col(d.slot).isNotNull()), f"{metric}_sd", [d.slot]).select(d.slot, F.round("median", 6).alias("instability"))
+    return by_rows.join(by_cells, d.slot, "left")
 
 
 def proportions(df: DataFrame, column: str, categories: tuple[str, ...], d: Design = AUDIT) -> DataFrame:
