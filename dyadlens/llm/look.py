@@ -29,8 +29,6 @@ LATIN_EXTRA = {"ı": "i", "ɑ": "a", "ɡ": "g"}
 #: Blocks whose compatibility forms differ in width or joining only: full and half width, ligatures, mathematical letters.
 BLOCKS = ((0xFF01, 0xFFEE), (0xFB00, 0xFB06), (0x1D400, 0x1D7FF))
 
-_WORD_SCRIPTS = {"CYRILLIC": CYRILLIC, "GREEK": GREEK}
-
 
 class Conflict(ValueError):
     """Two rules disagree, or a rule's output would be mapped again."""
@@ -64,7 +62,7 @@ def build_table() -> dict[str, str]:
     for cp in (*range(0x00C0, 0x0250), *range(0x0370, 0x0400), *range(0x0400, 0x0530), *range(0x1E00, 0x1F00)):
         c = chr(cp)
         parts = unicodedata.normalize("NFD", c)
-        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c:
+        if len(parts) > 1 and parts[0].isalpha() and unicodedata.normalize("NFC", parts) == c:
             add(parts, c)
     for key, form in table.items():
         if any(x in table for x in form) or form in table:
@@ -72,12 +70,24 @@ def build_table() -> dict[str, str]:
     return table
 
 
+def _accented(forms: dict[str, str], lo: int, hi: int) -> dict[str, str]:
+    """The look-alikes' accented forms: as the letters they are mistaken for with the same accent, where there is one."""
+    out = {}
+    for cp in range(lo, hi):
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if len(parts) > 1 and parts[0] in forms and len(made := unicodedata.normalize("NFC", forms[parts[0]] + parts[1:])) == 1:
+            out[chr(cp)] = made
+    return out
+
+
 class Transducer:
     """Longest match over clusters (a base with its marks), then look-alikes by the word's script."""
 
     def __init__(self) -> None:
         self.table = build_table()
-        alike = [*CYRILLIC, *GREEK, *LATIN_EXTRA]
+        self._scripts = {name: forms | _accented(forms, lo, hi) for name, forms, lo, hi in (("CYRILLIC", CYRILLIC, 0x0400, 0x0530), ("GREEK", GREEK, 0x0370, 0x0400))}
+        self._forms = {**self._scripts["CYRILLIC"], **self._scripts["GREEK"], **LATIN_EXTRA}
+        alike = [*self._forms]
         if clash := set(alike) & set(self.table):
             raise Conflict(f"both mapped and look-alikes: {clash}")
         singles = "".join(re.escape(k) for k in self.table if len(k) == 1)
@@ -87,31 +97,24 @@ class Transducer:
         self._find = re.compile(rf"[^\W\d_]{drop}(?:[{marks}]{drop})+|[{singles}]")
         self._alike = re.compile("[" + "".join(map(re.escape, alike)) + "]")
         self._word = re.compile(r"(?:[^\W\d_][̀-ͯऀ-෿]*)+")
-        self._forms = {**CYRILLIC, **GREEK, **LATIN_EXTRA}
         self._one = str.maketrans({k: v for k, v in self.table.items() if len(k) == 1})
 
     def _cluster(self, m: re.Match) -> str:
         got = m.group()
         if len(got) == 1:
             return self.table.get(got, got)
-        plain = got.translate(self._one)
-        if len(plain) > 1:
-            base = self._forms.get(plain[0], plain[0])
-            if len(joined := unicodedata.normalize("NFC", base + plain[1:])) < len(plain) and base != plain[0]:
-                return joined
-            return unicodedata.normalize("NFC", plain)
-        return plain
+        return unicodedata.normalize("NFC", got.translate(self._one))
 
     def _by_script(self, m: re.Match) -> str:
         word = m.group()
         if word.isascii():
             return word
-        for script, forms in _WORD_SCRIPTS.items():
+        for script, forms in self._scripts.items():
             own = [c for c in word if unicodedata.name(c, "").startswith(script)]
             if own and any(c not in forms for c in own):  # truly of that script: mend Latin letters in it instead
-                back = {v: k for k, v in forms.items()}
+                back = {v: k for k, v in reversed(forms.items())}
                 return "".join(back.get(c, c) for c in word) if len(own) < len(word) else word
-        return "".join(self._forms.get(c, c) for c in word)
+        return unicodedata.normalize("NFC", "".join(self._forms.get(c, c) for c in word))
 
     def __call__(self, text: str | None) -> str | None:
         if text is None or text.isascii():
