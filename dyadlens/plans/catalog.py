@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import cells as C
 from ..operators import compaction, design, runlog, scoring, stats, validation
-from ..schemas import CATEGORIES
+from ..schemas import CATEGORIES, SCORED
 from ..session import shared_dir, table
+from ..streaming import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -673,6 +675,82 @@ def k10_manifest(s: SparkSession, d: str) -> DataFrame:
     return validation.manifest(df.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content")))
 
 
+@query(_signed_rank_sql(GAPS, "gaps", "gap_a", "model_slot"))
+def te_first_frame(s: SparkSession, d: str) -> DataFrame:
+    """The signed-rank statistic of the gap within the first frame."""
+    return stats.signed_rank(_gaps(s, d), "gap_a", ["model_slot"])
+
+
+@query(_signed_rank_sql(GAPS, "gaps", "gap_b", "model_slot"))
+def te_second_frame(s: SparkSession, d: str) -> DataFrame:
+    """The signed-rank statistic of the gap within the second frame."""
+    return stats.signed_rank(_gaps(s, d), "gap_b", ["model_slot"])
+
+
+@query(f"WITH {GAPS}, v AS (SELECT model_slot, third FROM gaps WHERE third IS NOT NULL) SELECT model_slot, count(*) AS n, round(median(third), 9) AS median FROM v GROUP BY ALL")
+def a11_median(s: SparkSession, d: str) -> DataFrame:
+    """The exact median of the third level's means, without a group in one task."""
+    return stats.medians(_gaps(s, d), "third", ["model_slot"]).withColumn("median", F.round("median", 9))
+
+
+@query(f"WITH {_DIFFS} SELECT model_slot, vignette_id, round(diff_seek_help + 2 * diff_boundary + 3 * diff_accommodate + 4 * diff_negotiate + 5 * diff_unclassified, 6) AS weighted FROM diffs")
+def r5_matrix(s: SparkSession, d: str) -> DataFrame:
+    """Rows of the contrast matrix, each multiplied with (1, 2, 3, 4, 5)."""
+    m = C.matrix_rows(_diffs(s, d), CATEGORIES)
+    weighted = F.aggregate(F.transform("values", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return m.select("model_slot", "vignette_id", F.round(weighted, 6).alias("weighted"))
+
+
+@query(f"WITH {GAPS} SELECT model_slot, vignette_id, CASE WHEN gap IS NULL THEN 'n/a' WHEN abs(gap) < 0.147 THEN 'negligible' WHEN abs(gap) < 0.33 THEN 'small' WHEN abs(gap) < 0.474 THEN 'medium' ELSE 'large' END AS size FROM gaps")
+def m4_magnitude(s: SparkSession, d: str) -> DataFrame:
+    """Sizes by the effect thresholds."""
+    return _gaps(s, d).select("model_slot", "vignette_id", X.magnitude(F.col("gap")).alias("size"))
+
+
+@query("WITH c AS (SELECT vignette_id, count(DISTINCT cache_key) AS cached FROM raw GROUP BY ALL) SELECT vignette_id, cached, CASE WHEN cached = 0 THEN 'Ready for production' WHEN cached < 60 THEN 'Collecting' ELSE 'Collection complete / analysis' END AS stage, round(cached / 60.0 * 100, 6)::DOUBLE AS percent FROM c")
+def m9_stage(s: SparkSession, d: str) -> DataFrame:
+    """The stage of each item's collection."""
+    c = table(s, d, "raw", "vignette_id", "cache_key").groupBy("vignette_id").agg(F.count_distinct("cache_key").alias("cached"))
+    return c.withColumn("stage", X.stage_of(F.col("cached"), F.lit(60), F.lit(True))).withColumn("percent", F.round(X.percent(F.col("cached"), F.lit(60)), 6))
+
+
+@query(f"WITH {_PLAN}, todo AS (SELECT * FROM plan ANTI JOIN raw USING (vignette_id, model_slot, gender, culture, run_index)) SELECT model_slot, vignette_id, gender, culture, run_index FROM todo ORDER BY model_slot, vignette_id, CASE gender WHEN 'male' THEN 0 WHEN 'female' THEN 1 ELSE 2 END, culture, run_index LIMIT 20")
+def o3_first_pending(s: SparkSession, d: str) -> DataFrame:
+    """The next twenty tasks in the plan's order."""
+    keys = ["vignette_id", "model_slot", "gender", "culture", "run_index"]
+    plan = design.grid(table(s, d, "vignettes"), [("A", "fernwood/sorrel-110b"), ("B", "tidepool/kelp-24b")], 5)
+    todo = design.pending(plan.select(*keys, "slot_no", "gender_no", "culture_no"), table(s, d, "raw", *keys), keys)
+    return design.first_pending(todo, 20).select("model_slot", "vignette_id", "gender", "culture", "run_index")
+
+
+@query()
+def q1_seeded_sample(s: SparkSession, d: str) -> DataFrame:
+    """The stratified sample drawn by one sequential generator."""
+    return validation.seeded_sample(scoring.scorable(_scored(s, d)).dropDuplicates(["cache_key"]), most_rows=10_000_000)
+
+
+@query(f"WITH ok AS (SELECT * FROM scored WHERE coalesce(parse_ok, false) AND coalesce(missing_keys, '') = ''), {_QUOTA}, r AS (SELECT model_slot, cache_key, row_number() OVER (PARTITION BY model_slot ORDER BY sha256('{validation.SEED}' || cache_key), cache_key) AS r FROM (SELECT DISTINCT model_slot, cache_key FROM ok WHERE model_slot IS NOT NULL)), p AS (SELECT printf('MV%03d', row_number() OVER (ORDER BY model_slot, cache_key)) AS sample_id, model_slot, cache_key FROM r JOIN q USING (model_slot) WHERE r <= quota) SELECT DISTINCT sample_id, p.cache_key, s.action_category AS automated_action_category FROM p JOIN ok s USING (model_slot, cache_key)")
+def k4_worksheet_key(s: SparkSession, d: str) -> DataFrame:
+    """What the blinded worksheets hide."""
+    return validation.worksheets(validation.hashed_sample(scoring.scorable(_scored(s, d))))[1]
+
+
+@query("SELECT model_slot, strftime(collected_at, '%Y-%m-%d') AS day, count(*) AS n, sum(attempts)::BIGINT AS attempts FROM raw WHERE collected_at IS NOT NULL GROUP BY model_slot, strftime(collected_at, '%Y-%m-%d')")
+def st_daily_counts(s: SparkSession, d: str) -> DataFrame:
+    """Daily counts by a stream that reads what is there and stops."""
+    name = f"daily_{uuid.uuid4().hex}"
+    pipeline.count_available(pipeline.raw_stream(s, f"{d}/raw.parque[t]", "parquet"), name, shared_dir(s, "stream")).awaitTermination()
+    return s.table(name).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"SELECT DISTINCT {', '.join(_GIVEN)} FROM scored")
+def st_score(s: SparkSession, d: str) -> DataFrame:
+    """Raw responses scored by a stream, for the records of the given scored table."""
+    into = shared_dir(s, "scored")
+    pipeline.score_available(pipeline.raw_stream(s, f"{d}/raw.parque[t]", "parquet"), into, shared_dir(s, "stream")).awaitTermination()
+    return s.read.schema(SCORED).parquet(into).select(*_GIVEN).join(table(s, d, "scored", "cache_key").distinct(), "cache_key", "left_semi").distinct()
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return dict(_QUERIES)
