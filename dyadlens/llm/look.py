@@ -95,6 +95,8 @@ class Transducer:
         drop = "[" + re.escape(INVISIBLE) + "]*"
         # a base letter with its marks is taken before a single character, so the longest match wins
         self._find = re.compile(rf"[^\W\d_]{drop}(?:[{marks}]{drop})+|[{singles}]")
+        self._single = re.compile(f"[{singles}]")
+        self._mark = re.compile(f"[{marks}]")
         self._alike = re.compile("[" + "".join(map(re.escape, alike)) + "]")
         self._word = re.compile(r"(?:[^\W\d_][̀-ͯऀ-෿]*)+")
         self._one = str.maketrans({k: v for k, v in self.table.items() if len(k) == 1})
@@ -119,7 +121,13 @@ class Transducer:
     def __call__(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
-        out = self._find.sub(self._cluster, text)
+        # which of the passes a text needs is told by one search each; most need none
+        if self._mark.search(text):
+            out = self._find.sub(self._cluster, text)
+        elif self._single.search(text):
+            out = self._single.sub(lambda m: self.table[m.group()], text)
+        else:
+            out = text
         if self._alike.search(out):
             out = self._word.sub(self._by_script, out)
         return out
