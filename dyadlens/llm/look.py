@@ -80,6 +80,10 @@ def _accented(forms: dict[str, str], lo: int, hi: int) -> dict[str, str]:
     return out
 
 
+def _in_word(c: str) -> bool:
+    return c.isalpha() or "̀" <= c <= "ͯ" or "ऀ" <= c <= "෿"
+
+
 class Transducer:
     """Longest match over clusters (a base with its marks), then look-alikes by the word's script."""
 
@@ -98,7 +102,6 @@ class Transducer:
         self._single = re.compile(f"[{singles}]")
         self._mark = re.compile(f"[{marks}]")
         self._alike = re.compile("[" + "".join(map(re.escape, alike)) + "]")
-        self._word = re.compile(r"(?:[^\W\d_][̀-ͯऀ-෿]*)+")
         self._one = str.maketrans({k: v for k, v in self.table.items() if len(k) == 1})
 
     def _cluster(self, m: re.Match) -> str:
@@ -107,10 +110,7 @@ class Transducer:
             return self.table.get(got, got)
         return unicodedata.normalize("NFC", got.translate(self._one))
 
-    def _by_script(self, m: re.Match) -> str:
-        word = m.group()
-        if word.isascii():
-            return word
+    def _by_script(self, word: str) -> str:
         for script, forms in self._scripts.items():
             own = [c for c in word if unicodedata.name(c, "").startswith(script)]
             if own and any(c not in forms for c in own):  # truly of that script: mend Latin letters in it instead
@@ -128,9 +128,22 @@ class Transducer:
             out = self._single.sub(lambda m: self.table[m.group()], text)
         else:
             out = text
-        if self._alike.search(out):
-            out = self._word.sub(self._by_script, out)
-        return out
+        return self._words_mended(out) if self._alike.search(out) else out
+
+    def _words_mended(self, text: str) -> str:
+        """The text with each word that holds a look-alike read by its script; other words aren't touched."""
+        done, at = [], 0
+        for m in self._alike.finditer(text):
+            a, b = m.span()
+            if a < at:
+                continue
+            while a > at and _in_word(text[a - 1]):
+                a -= 1
+            while b < len(text) and _in_word(text[b]):
+                b += 1
+            done += (text[at:a], self._by_script(text[a:b]))
+            at = b
+        return "".join(done) + text[at:]
 
 
 @lru_cache(1)
