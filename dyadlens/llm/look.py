@@ -94,11 +94,13 @@ class Transducer:
         alike = [*self._forms]
         if clash := set(alike) & set(self.table):
             raise Conflict(f"both mapped and look-alikes: {clash}")
-        singles = "".join(re.escape(k) for k in self.table if len(k) == 1)
+        # classes of the basic plane alone compile to a table; one with other planes would be searched item by item
+        singles = "".join(re.escape(k) for k in self.table if len(k) == 1 and k <= "\uffff")
         marks = "̀-ͯ"
         drop = "[" + re.escape(INVISIBLE) + "]*"
         # a base letter with its marks is taken before a single character, so the longest match wins
         self._find = re.compile(rf"[^\W\d_]{drop}(?:[{marks}]{drop})+|[{singles}]")
+        self._high = re.compile("[\U0001d400-\U0001d7ff]")
         self._single = re.compile(f"[{singles}]")
         self._mark = re.compile(f"[{marks}]")
         self._alike = re.compile("[" + "".join(map(re.escape, alike)) + "]")
@@ -121,6 +123,8 @@ class Transducer:
     def __call__(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
+        if self._high.search(text):
+            text = self._high.sub(lambda m: self.table.get(m.group(), m.group()), text)
         # which of the passes a text needs is told by one search each; most need none
         if self._mark.search(text):
             out = self._find.sub(self._cluster, text)
