@@ -1,40 +1,45 @@
-"""How whole values end: learned from a bounded sample, used to check candidates for a cut value (problems 1 and 3)."""
+"""How whole values end: counted over all distinct responses, used to check candidates for a cut value (problems 1 and 3)."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.jsonx import extract_object
+from ..session import map_rows
 from .answers import ends_whole
 from .mapping import OPENERS, TRAILS, allowed, distance, near, plain
 
 
 class Endings:
-    """Last word pairs of values that end whole, and the words of the sample.
+    """Last word pairs of values that end whole, and the words of all values.
 
-    A pair counts if its value has an end mark, or if it stands `often` times (8 of 20,000 rows by default): a value
-    that is cut ends in a pair of its own.
+    A pair counts if its value has an end mark, or if it stands `often` times: a value that is cut ends in a pair of
+    its own. Both bounds grow with the input (see endings_of).
     """
 
     def __init__(self, values: Iterable[str], often: int = 8) -> None:
-        marked: set[str] = set()
-        bare: Counter = Counter()
-        words: Counter = Counter()
+        seen: Counter = Counter()
         for v in values:
-            w = self._peel(plain(v).split())
-            if not w:
-                continue
-            words.update(w)
-            pair = " ".join(w[-2:])
-            if v.rstrip()[-1] in ".!?":
-                marked.add(pair)
-            else:
-                bare[pair] += 1
-        self.pairs = frozenset(marked | {p for p, n in bare.items() if n >= often})
-        self.words = frozenset(w for w, n in words.items() if n >= often)
+            for kind, item in parts_of(v):
+                seen[kind, item] += 1
+        self._take((kind, item) for (kind, item), n in seen.items() if kind == "marked" or n >= often)
+
+    @classmethod
+    def of(cls, counted: Iterable[tuple[str, str]]) -> Endings:
+        """From (kind, item) of all that reach their bound."""
+        e = cls(())
+        e._take(counted)
+        return e
+
+    def _take(self, counted: Iterable[tuple[str, str]]) -> None:
+        pairs, words = set(), set()
+        for kind, item in counted:
+            (words if kind == "word" else pairs).add(item)
+        self.pairs, self.words = frozenset(pairs), frozenset(words)
         self.begun = frozenset(w[:i] for w in self.words for i in range(1, len(w))) - self.words
         self._memo: dict[str, bool] = {}
         self._cuts: dict[str, bool] = {}
@@ -43,14 +48,6 @@ class Endings:
     def __reduce__(self) -> tuple:
         return _restored, (self.pairs, self.words, self.begun)
 
-    @staticmethod
-    def _peel(words: list[str]) -> list[str]:
-        for t in TRAILS:
-            n = len(t.split())
-            if len(words) > n and near(" ".join(words[-n:]), t):
-                return words[:-n]
-        return words
-
     def _known(self, pair: str) -> bool:
         if pair in self.pairs:
             return True
@@ -70,7 +67,7 @@ class Endings:
             if ends_whole(value):
                 got = "."
             else:
-                w = self._peel(plain(value).split())
+                w = _peel(plain(value).split())
                 got = f"{self._known(' '.join(w[-2:]))}{w[-1] in self.begun if w else ''}{any(x in OPENERS for x in w[2:])}"
             if len(self._signs) < 1 << 16:
                 self._signs[value] = got
@@ -87,7 +84,7 @@ class Endings:
     def _cut(self, value: str) -> bool:
         if not value.strip() or ends_whole(value) or not value[-1:].isascii():
             return False
-        w = self._peel(plain(value).split())
+        w = _peel(plain(value).split())
         if len(w) < 2:
             return False
         known = self._known(" ".join(w[-2:]))
@@ -109,9 +106,47 @@ def sample_of(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     return df if n <= rows else df.sample(fraction=rows / n, seed=seed)
 
 
-def endings_of(raw: DataFrame, sample_rows: int = 20_000) -> Endings:
-    """From about `sample_rows` rows; only their responses' texts go to the driver."""
-    return Endings(actions(r[0] for r in sample_of(raw.select("response_text"), sample_rows).collect()))
+def endings_of(texts: DataFrame, often: int = 8, per: int = 20_000) -> Endings:
+    """Counted over every response of the frame's one column, equal ones once, whatever their keys.
+
+    A pair or word must stand in `often` of `per` distinct responses (`often` at least), a pair with an end mark in one
+    of `per` (one at least); so what goes to the driver is bounded. Only hashes and values are shuffled.
+    """
+    t = texts.toDF("t").where("t is not null").select(F.xxhash64("t").alias("h"), "t")
+    scale = max(1.0, t.select("h").distinct().count() / per)
+    values = map_rows(t, _values, "h long, v string").distinct().groupBy("v").agg(F.count("*").alias("n"))
+    seen = map_rows(values, _parts, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    bound = F.when(F.col("kind") == "marked", F.lit(scale)).otherwise(F.lit(often * scale))
+    return Endings.of((r["kind"], r["item"]) for r in seen.where(F.col("n") >= bound).select("kind", "item").collect())
+
+
+def _values(cols: dict[str, list]) -> Iterator[tuple]:
+    for h, t in zip(cols["h"], cols["t"]):
+        for v in actions([t]):
+            yield h, v
+
+
+def _parts(cols: dict[str, list]) -> Iterator[tuple]:
+    for v, n in zip(cols["v"], cols["n"]):
+        for kind, item in parts_of(v):
+            yield kind, item, n
+
+
+def _peel(words: list[str]) -> list[str]:
+    for t in TRAILS:
+        n = len(t.split())
+        if len(words) > n and near(" ".join(words[-n:]), t):
+            return words[:-n]
+    return words
+
+
+def parts_of(value: str) -> Iterator[tuple[str, str]]:
+    """(kind, item) to count of a value: its words, and its last pair as `marked` or `bare`."""
+    w = _peel(plain(value).split())
+    if w:
+        yield "marked" if value.rstrip()[-1] in ".!?" else "bare", " ".join(w[-2:])
+        for x in w:
+            yield "word", x
 
 
 def actions(texts: Iterable[str]) -> Iterable[str]:

@@ -186,11 +186,11 @@ def _kernel(cols: dict[str, list], endings: Endings) -> Iterator[tuple]:
             yield key, kinds[0], kinds
 
 
-def broken_pairs(raw: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """(cache_key, first, defects) of each defective pair, a key once. One pass over the texts; only verdicts are shuffled.
+def broken_pairs(raw: DataFrame) -> DataFrame:
+    """(cache_key, first, defects) of each defective pair, a key once. Only verdicts are shuffled.
 
-    How whole values end is learned from about `sample_rows` rows (see endings.py); every row is judged.
+    How whole values end is counted over all rows before (see endings.py).
     """
     df = raw.select("cache_key", "user_prompt", "response_text", "finish_reason").where("cache_key is not null")
-    out = map_rows(df, _kernel, "cache_key string, first string, defects array<string>", endings_of(raw, sample_rows))
+    out = map_rows(df, _kernel, "cache_key string, first string, defects array<string>", endings_of(raw.select("response_text")))
     return out.groupBy("cache_key").agg(F.min(F.struct("first", "defects")).alias("x")).select("cache_key", "x.*")
