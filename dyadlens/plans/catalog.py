@@ -192,8 +192,8 @@ def j1_extract(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f]+', ' ', 'g')) AS normal FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x5f\\x61-\\x7f]*', 's')")
 def x1_normalise(s: SparkSession, d: str) -> DataFrame:
-    """Normalised text of documents in ASCII, where SQL can say the same."""
-    df = table(s, d, "documents", "doc_id", "text").where("text is not null and text rlike '^[\\\\x00-\\\\x5f\\\\x61-\\\\x7f]*$'")
+    """Normalised text of all documents; the SQL says it of those in ASCII without a backtick only."""
+    df = table(s, d, "documents", "doc_id", "text").where("text is not null")
     return df.select("doc_id", X.normalise("text").alias("normal"))
 
 
@@ -211,8 +211,8 @@ _RULES_SQL = "CASE " + " ".join("WHEN regexp_matches(t, '" + "|".join(ps).replac
 
 @query(f"SELECT {_RULES_SQL} AS category, count(*) AS n FROM (SELECT lower(recommended_action) AS t FROM scored WHERE recommended_action IS NOT NULL AND regexp_full_match(recommended_action, '[\\x20-\\x5f\\x61-\\x7e]*') AND NOT contains(recommended_action, '  ')) GROUP BY ALL")
 def x3_classify(s: SparkSession, d: str) -> DataFrame:
-    """Categories of recommended actions in ASCII."""
-    df = _scored(s, d).where("recommended_action is not null and recommended_action rlike '^[\\\\x20-\\\\x5f\\\\x61-\\\\x7e]*$' and not contains(recommended_action, '  ')")
+    """Categories of all recommended actions; the SQL counts those in ASCII with single spaces only."""
+    df = _scored(s, d).where("recommended_action is not null")
     return df.groupBy(X.classify(X.normalise("recommended_action")).alias("category")).agg(F.count("*").alias("n"))
 
 
