@@ -22,7 +22,7 @@ from .endings import Endings, endings_of
 from .language import not_english
 from .look import one_look
 
-#: The order in which kinds take precedence.
+#: The kinds there are, in order of precedence; an abrupt ending comes last.
 KINDS = ("empty", "truncated", "refusal", "copied", "other_language")
 #: Phrases that decline, by language; matched in the lower-cased consistent form.
 REFUSALS = {
@@ -50,6 +50,7 @@ REFUSALS = {
 _REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps))
 _RATED = re.compile(r"\d+ (?:of|out of|/) ?\d+|\d+/10|\bnext step\b")
 _WORDS = re.compile(r"\w+")
+_ENTRY = re.compile(r'"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)', re.DOTALL)
 #: What is written where nothing is said.
 BLANKS = frozenset("null none nil n/a na answer response output json object result undefined nan empty tbd".split())
 
@@ -85,51 +86,74 @@ def _copied(text: str, prompt: str, size: int, share: float) -> bool:
 
 
 def defects(prompt: str | None, response: str | None, finish: str | None, run_words: int = 5, share: float = 0.6, endings: Endings | None = None) -> list[str]:
-    """Every kind of defect of a pair, in order of precedence; none for a usable one."""
+    """Every kind of defect of a pair, each by its own rule; none for a usable one.
+
+    The first is the pair's kind: empty, left open, refusal, copied, other language, abrupt ending, in this order.
+    """
     if response is None or not response.strip():
         return ["empty"]
     if _plain(prompt or "", response, endings):
         return []
     a = read_answer(response)
     if _empty(response, a):
-        return ["empty"]
+        prose = " ".join((a.lead, a.trail)).strip() if a.object is not None else ""
+        beside = set(defects(prompt, prose, finish, run_words, share, endings)) - {"empty", "truncated"}
+        cut = ["truncated"] if a.object is not None and a.trail and not ends_whole(a.trail) else []
+        return ["empty", *(k for k in KINDS if k in beside), *cut]
     found = []
     if a.open:
         found.append("truncated")
-    o = a.object
-    rated = o is not None and any(is_number(o.get(k)) for k in ("fault_scroller", "fault_partner", "severity"))
-    if o is not None:
-        keys = [k for k in VALUES if isinstance(o.get(k), str)]
-        said = " ".join(a.strings[k] for k in keys) if keys else " ".join(a.strings.values())
+    o, strings = a.object, a.strings
+    rated = o is not None and any(is_number(o.get(k)) for k in RATINGS)
+    if a.open:
+        strings, rated = _readable(response)
+    boxed = o is not None or a.open
+    if boxed:
+        keys = [k for k in VALUES if k in strings]
+        said = " ".join(strings[k] for k in keys) if keys else " ".join(strings.values())
     else:
-        said = "" if a.open else " ".join((a.lead, a.trail)).strip()
+        said = " ".join((a.lead, a.trail)).strip()
     low = one_look(said).lower()
     if said and not rated:
-        judged = bool(_RATED.search(low))
-        if not (judged and o is None) and _REFUSAL.search(low) and (o is None or len(low) < 400):
-            if not _copied(said, prompt or "", run_words, share):
+        judged = not boxed and bool(_RATED.search(low))
+        echo = _copied(said, prompt or "", run_words, share)
+        declines = [] if judged or boxed and len(low) >= 400 else [m.group() for m in _REFUSAL.finditer(low)]
+        if declines and not echo:
+            found.append("refusal")
+        if prompt:
+            if boxed:
+                texts = [v for v in strings.values() if _said(v)]
+                own = " ".join(_WORDS.findall(prompt.lower()))
+                template = o is not None and bool(texts) and all(" ".join(_WORDS.findall(t.lower())) in own for t in texts)
+            if boxed and (template or echo) or not boxed and (_copied(said, prompt, run_words, 0.9) if judged else echo):
+                found.append("copied")
+        if declines and echo:  # phrases of the prompt's are no refusal
+            story = one_look(prompt or "").lower()
+            if any(m not in story for m in declines):
                 found.append("refusal")
-        if "refusal" not in found and prompt:
-            if o is None:
-                if not judged and _copied(said, prompt, run_words, share) or judged and _copied(said, prompt, run_words, 0.9):
-                    found.append("copied")
-            else:
-                texts = [v for v in a.strings.values() if _said(v)]
-                ratings = [v for k, v in o.items() if k in ("fault_scroller", "fault_partner", "severity")]
-                template = bool(texts) and all(" ".join(_WORDS.findall(t.lower())) in " ".join(_WORDS.findall(prompt.lower())) for t in texts)
-                if not any(is_number(v) for v in ratings) and (template or _copied(said, prompt, run_words, share)):
-                    found.append("copied")
     elif o is not None and rated is False and o and prompt and all(isinstance(v, str) for v in o.values()):
         found.append("copied")
-    if not {"refusal", "copied"} & set(found):
-        judgement = a.strings.get("recommended_action", "") if o is not None and any(k in o for k in VALUES) else said
-        if judgement and not_english(one_look(judgement)):
-            found.append("other_language")
-    if not found and _broken(a, prompt or "", endings):
+    asked = any(k in (strings if a.open else o or ()) for k in VALUES)
+    judgement = strings.get("recommended_action", "") if asked else said
+    if judgement and not_english(one_look(judgement)):
+        found.append("other_language")
+    if not a.open and _broken(a, prompt or "", endings):
         found.append("truncated")
-    if o is not None and not found and not rated and not any(k in o for k in VALUES) and a.strings:
+    if o is not None and not rated and not asked and a.strings and not {"refusal", "copied", "other_language"} & set(found):
         found.append("refusal")  # an object that speaks but gives none of the values asked for
-    return sorted(set(found), key=KINDS.index)
+    return found
+
+
+def _readable(text: str) -> tuple[dict[str, str], bool]:
+    """What an object left open still holds: its texts by key, the last one maybe in part, and whether it is rated."""
+    rest = text[text.find("{") :]
+    strings = {}
+    for k, v in _ENTRY.findall(rest):
+        try:
+            strings[k] = json.loads(f'"{v}"', strict=False)
+        except ValueError:
+            strings[k] = v
+    return strings, any(re.search(rf'"{k}"\s*:\s*"?[^",}}]*\d', rest) for k in RATINGS)
 
 
 def _plain(prompt: str, response: str, endings: Endings | None) -> bool:
