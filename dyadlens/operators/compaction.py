@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RAW
+from ..session import shared_dir
+
+#: Where the compacted files hold the ids of a record's files, if asked to.
+SOURCES = "source_files"
 
 
 class Mismatch(RuntimeError):
@@ -31,41 +35,50 @@ def complete_records(files: DataFrame) -> DataFrame:
     return got.where("closed and cache_key is not null and cache_key <> ''").select("file_id", "modified_at", "cache_key", "body")
 
 
-def same_record_pairs(files: DataFrame) -> DataFrame:
-    """(file_a, file_b), file_a < file_b: files that hold the same record. Only ids and keys are shuffled."""
-    held = complete_records(files).select(F.col("file_id").cast("long").alias("f"), F.xxhash64("cache_key").alias("h"), "cache_key")
-    shared = held.groupBy("cache_key").agg(F.count("*").alias("n")).where("n > 1").select("cache_key")
-    held = held.join(shared, "cache_key", "left_semi")
-    a, b = held.select("cache_key", F.col("f").alias("file_a")), held.select("cache_key", F.col("f").alias("file_b"))
-    return a.join(b, "cache_key").where("file_a < file_b").select("file_a", "file_b")
+def same_record_pairs(files: DataFrame, into: str | None = None) -> DataFrame:
+    """(file_a, file_b), file_a < file_b: files that hold the same record, read from the compacted folder.
+
+    The files are compacted into `into` (default: a fresh shared folder) with the ids of the files of each record.
+    """
+    into = into or shared_dir(files.sparkSession, "compacted")
+    compact(files, into, keep_files=True)
+    held = files.sparkSession.read.schema(f"{SOURCES} array<bigint>").parquet(into).where(F.size(SOURCES) > 1)
+    a = held.select(SOURCES, F.explode(SOURCES).alias("file_a"))
+    return a.select("file_a", F.explode(F.filter(SOURCES, lambda b: b > F.col("file_a"))).alias("file_b"))
 
 
-def distinct_records(files: DataFrame) -> DataFrame:
-    """(cache_key, file_id, body): the copy modified last of each record; partial maxima shrink hot keys before the shuffle."""
-    last = complete_records(files).groupBy("cache_key").agg(F.max(F.struct("modified_at", "file_id", "body")).alias("x"))
-    return last.select("cache_key", "x.file_id", "x.body")
+def distinct_records(files: DataFrame, keep_files: bool = False) -> DataFrame:
+    """(cache_key, file_id, body): the copy modified last of each record; partial maxima shrink hot keys before the shuffle.
+
+    With `keep_files` also the ids of all files that hold it, in order.
+    """
+    ids = [F.array_sort(F.collect_set(F.col("file_id").cast("long"))).alias(SOURCES)] if keep_files else []
+    last = complete_records(files).groupBy("cache_key").agg(F.max(F.struct("modified_at", "file_id", "body")).alias("x"), *ids)
+    return last.select("cache_key", "x.file_id", "x.body", *([SOURCES] if keep_files else []))
 
 
-def compact(files: DataFrame, into: str, target_bytes: int = 128 << 20, cluster_by: tuple[str, ...] = ("cache_key",)) -> DataFrame:
+def compact(files: DataFrame, into: str, target_bytes: int = 128 << 20, cluster_by: tuple[str, ...] = ("cache_key",), keep_files: bool = False) -> DataFrame:
     """Write the records into the folder `into` and return (file, n_records, first_key, last_key) of each written file.
 
     Written to `<into>.staging` first; raises Mismatch, and leaves `into` as it was, unless the staged files hold
-    every key of the input exactly once.
+    every key of the input exactly once and, with `keep_files`, as a column `source_files`, the id of every file read.
     """
     spark = files.sparkSession
-    facts = complete_records(files).agg(F.countDistinct("cache_key").alias("keys"), F.sum(F.length("body")).alias("bytes")).first()
+    facts = complete_records(files).agg(F.countDistinct("cache_key").alias("keys"), F.sum(F.length("body")).alias("bytes"), F.count("file_id").alias("files")).first()
     keys, size = facts["keys"] or 0, facts["bytes"] or 0
     parts = max(1, -(-size // target_bytes))
-    rec = distinct_records(files).select(F.from_json("body", RAW).alias("r"), F.length("body").alias("body_chars"))
-    rec = rec.select("r.*")
+    sources = [SOURCES] if keep_files else []
+    rec = distinct_records(files, keep_files).select(F.from_json("body", RAW).alias("r"), *sources)
+    rec = rec.select("r.*", *sources)
     # boundaries are sampled by the range exchange; cluster keys that tie are spread by the record key
     order = [*cluster_by, *(c for c in ("cache_key",) if c not in cluster_by)]
     staging = f"{into}.staging"
     rec.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(staging)
-    staged = spark.read.schema(RAW).parquet(staging)
-    got = staged.agg(F.count("*").alias("n"), F.countDistinct("cache_key").alias("keys")).first()
-    if (got["n"], got["keys"]) != (keys, keys):
-        raise Mismatch(f"{keys} records read, {got['n']} written with {got['keys']} keys")
+    staged = spark.read.schema(rec.schema).parquet(staging)
+    held = F.sum(F.size(SOURCES)) if keep_files else F.lit(facts["files"])
+    got = staged.agg(F.count("*").alias("n"), F.countDistinct("cache_key").alias("keys"), held.alias("files")).first()
+    if (got["n"], got["keys"], got["files"] or 0) != (keys, keys, facts["files"]):
+        raise Mismatch(f"{keys} records of {facts['files']} files read, {got['n']} of {got['files']} written with {got['keys']} keys")
     swap(spark, staging, into)
     done = spark.read.schema(RAW).parquet(into)
     named = done.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "cache_key")
