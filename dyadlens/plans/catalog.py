@@ -568,13 +568,13 @@ def tb_bootstrap(s: SparkSession, d: str) -> DataFrame:
 @query()
 def tb_poisson(s: SparkSession, d: str) -> DataFrame:
     """The interval by Poisson resampling."""
-    return stats.poisson_ci(_gaps(s, d), "gap", ["model_slot"], "vignette_id")
+    return stats.poisson_ci(_gaps(s, d), "gap", ["model_slot"], "vignette_id", resamples=10_000)
 
 
 @query()
 def tp_permutation(s: SparkSession, d: str) -> DataFrame:
     """The sign-flip test of category contrasts."""
-    return stats.permutation_test(_diffs(s, d), CATEGORIES, ["model_slot"], "vignette_id", resamples=2000)
+    return stats.permutation_test(_diffs(s, d), CATEGORIES, ["model_slot"], "vignette_id", resamples=10_000)
 
 
 @query()
