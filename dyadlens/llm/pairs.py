@@ -117,7 +117,12 @@ def defects(prompt: str | None, response: str | None, finish: str | None, run_wo
     if said and not rated:
         judged = not boxed and bool(_RATED.search(low))
         echo = _copied(said, prompt or "", run_words, share)
-        declines = [] if judged or boxed and len(low) >= 400 else [m.group() for m in _REFUSAL.finditer(low)]
+        story = one_look(prompt or "").lower()
+        quote = strings.get("evidence_quote", "") if boxed else ""
+        rest = " ".join(v for k, v in strings.items() if k != "evidence_quote" and (not keys or k in keys)) if quote else said
+        declines = [] if judged else [m.group() for m in _REFUSAL.finditer(one_look(rest).lower())]
+        if quote:  # the story's own phrases in a quote are no refusal
+            declines += [w for m in _REFUSAL.finditer(one_look(quote).lower()) if (w := m.group()) not in story]
         if declines and not echo:
             found.append("refusal")
         if prompt:
@@ -128,7 +133,6 @@ def defects(prompt: str | None, response: str | None, finish: str | None, run_wo
             if boxed and (template or echo) or not boxed and (_copied(said, prompt, run_words, 0.9) if judged else echo):
                 found.append("copied")
         if declines and echo:  # phrases of the prompt's are no refusal
-            story = one_look(prompt or "").lower()
             if any(m not in story for m in declines):
                 found.append("refusal")
     elif o is not None and rated is False and o and prompt and all(isinstance(v, str) for v in o.values()):
