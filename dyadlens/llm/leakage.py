@@ -86,8 +86,11 @@ class Items:
         self.empty = not at
 
 
-def _extend(doc: list[str], item: list[str], i: int, j: int, step: int) -> list[tuple[int, int]]:
-    """Matched places beyond (i, j) in one direction, over altered, added and dropped words; stops where they outweigh."""
+def _extend(doc: list[str], item: list[str], i: int, j: int, step: int) -> tuple[list[tuple[int, int]], int]:
+    """Matched places beyond (i, j) in one direction, over altered, added and dropped words; stops where they outweigh.
+
+    Also how many of them lie before the altered words begin to outweigh.
+    """
     got: list[tuple[int, int]] = []
     credit, best, kept = 6.0, 0.0, 0
     score = 0.0
@@ -114,14 +117,14 @@ def _extend(doc: list[str], item: list[str], i: int, j: int, step: int) -> list[
         if score < best - credit:
             break
         i, j = x - step, y - step
-    return got[:kept]
+    return got, kept
 
 
 _SKIPS = sorted(((a, b) for a in range(4) for b in range(4) if a or b), key=lambda s: (max(s), abs(s[0] - s[1])))
 
 
 def passages(text: str, items: Items, least: int = 12) -> Iterator[tuple]:
-    """(item, start_char, end_char, words, same, own, own_same) of the longest alignment with each item that is hit."""
+    """(item, start_char, end_char, words, same, own, own_same) of every alignment with each item that is hit."""
     if items.empty:
         return
     doc, places = words_of(text)
@@ -135,7 +138,6 @@ def passages(text: str, items: Items, least: int = 12) -> Iterator[tuple]:
         begins.append(n)
         n += len(w)
     done: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    best: dict[int, tuple] = {}
     for end, (size, where) in items.automaton.iter(stream):
         at = bisect_right(begins, end - size + 1) - 1
         for item, k in where:
@@ -149,25 +151,31 @@ def passages(text: str, items: Items, least: int = 12) -> Iterator[tuple]:
                     continue
             else:
                 i, j = at, k
-            pairs = _extend(doc, w, i, j, -1)[::-1] + [(i, j)] + _extend(doc, w, i, j, 1)
-            (i0, j0), (i1, j1) = pairs[0], pairs[-1]
+            (back, near_back), (on, near_on) = _extend(doc, w, i, j, -1), _extend(doc, w, i, j, 1)
+
+            def row_of(m: int, n: int) -> tuple:
+                pairs = back[:m][::-1] + [(i, j)] + on[:n]
+                (i0, j0), (i1, j1) = pairs[0], pairs[-1]
+                span, mine = j1 - j0 + 1, own[j0 : j1 + 1]
+                return item, places[i0][0], places[i1][1], max(span, i1 - i0 + 1), len(pairs), sum(mine), sum(own[y] for _, y in pairs)
+
+            row = row_of(near_back, near_on)
+            i0, i1 = (back[near_back - 1] if near_back else (i, j))[0], (on[near_on - 1] if near_on else (i, j))[0]
             done[item].append((i0, i1, i - j))
-            span = j1 - j0 + 1
-            mine = sum(own[j0 : j1 + 1])
-            row = (item, places[i0][0], places[i1][1], max(span, i1 - i0 + 1), len(pairs), mine, sum(own[y] for _, y in pairs))
-            if span >= 3 and (item not in best or (row[6], row[4]) > (best[item][6], best[item][4])):
-                best[item] = row
-    yield from best.values()
+            if 1 + len(back) + len(on) >= 0.75 * least and not leaked(row, least):  # altered words lie near an end: the longest passage that passes with them
+                wider = [r for m in range(near_back, len(back) + 1) for n in range(near_on, len(on) + 1) if leaked(r := row_of(m, n), least)]
+                row = max(wider, key=lambda r: r[3], default=row)
+            if row[3] >= 3:
+                yield row
 
 
 def leaked(row: tuple, least: int = 12) -> bool:
     """The exact check: long enough, mostly the same, and the item's own words among the same ones.
 
-    An alignment skips no more than a fifth of its words (its ends are trimmed to where the texts meet, so a passage of
-    which a quarter is altered keeps that much inside); one near the least length, where frames weigh more, 15 %.
+    Up to a quarter of an alignment's words may be altered; the item's own words keep shared frames apart.
     """
     _, _, _, words, same, own, own_same = row
-    return words >= least and same >= (0.8 if words >= 18 else 0.85) * words and own_same >= max(2, 0.6 * own)
+    return words >= least and same >= 0.75 * words and own_same >= max(2, 0.6 * own)
 
 
 def explained(rows: list[tuple]) -> list[tuple]:
@@ -175,7 +183,7 @@ def explained(rows: list[tuple]) -> list[tuple]:
     kept: list[tuple] = []
     for row in sorted(rows, key=lambda r: (-r[4], -r[6], r[0])):
         a, b = row[1], row[2]
-        if sum(max(0, min(b, k[2]) - max(a, k[1])) for k in kept) < 0.5 * (b - a):
+        if sum(max(0, min(b, k[2]) - max(a, k[1])) for k in kept if k[0] != row[0]) < 0.5 * (b - a):
             kept.append(row)
     return kept
 
@@ -189,9 +197,12 @@ def _kernel(cols: dict[str, list], listed: tuple, least: int) -> Iterator[tuple]
         _built[listed] = Items(list(listed), least)
     for doc, text in zip(cols["doc_id"], cols["text"]):
         if text and not text.isspace():
+            best: dict[int, tuple] = {}
             for row in explained([r for r in passages(text, _built[listed], least) if r[3] >= least]):
-                if leaked(row, least):
-                    yield doc, *row
+                if leaked(row, least) and (row[0] not in best or (row[6], row[4]) > (best[row[0]][6], best[row[0]][4])):
+                    best[row[0]] = row
+            for row in best.values():
+                yield doc, *row
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = 12, most_items: int = 20_000) -> DataFrame:
