@@ -209,7 +209,7 @@ class Mapper:
         return [" ".join(words[a:b]) for b in sorted(ends, reverse=True) for a in sorted(set(starts), reverse=True) if a < b]
 
     def matches(self, value: str) -> list[tuple[int, str]]:
-        """(distance, code) of all entries within the allowed distance, nearest first."""
+        """(distance, code) of the nearest entries; the search stops at the distance at which one is found."""
         text = plain(value)
         tries = self._peel(text)
         for t in tries:
@@ -256,6 +256,16 @@ class Mapper:
         return got
 
 
+    def candidates(self, value: str) -> list[tuple[int, str]]:
+        """(distance, code) of all entries within the allowed distance of any reading of the value, nearest first."""
+        found = {c: d for d, c in reversed(self.matches(value))}
+        for t in self._peel(plain(value)):
+            if len(t) <= self.longest + allowed(len(t)):
+                for d, c in self._search(t, allowed(len(t))):
+                    found[c] = min(d, found.get(c, d))
+        return sorted((d, c) for c, d in found.items())
+
+
 def near(text: str, phrase: str) -> bool:
     """Within the allowed distance of a phrase."""
     if text == phrase:
@@ -312,6 +322,25 @@ def mapped_values(scored: DataFrame, canonical: DataFrame) -> DataFrame:
     return map_rows(df, _kernel, "field string, cache_key string, value string, code string, exact boolean", entries)
 
 
+def _candidates(cols: dict[str, list], entries: tuple) -> Iterator[tuple]:
+    by_field = mappers(list(entries))
+    for field, value in zip(cols["field"], cols["value"]):
+        for d, code in by_field[field].candidates(value):
+            yield field, value, code, d
+
+
+def candidates(scored: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(field, value, code, distance): for each distinct value all entries within the allowed distance."""
+    entries = reference_list(canonical)
+    values = [scored.select(F.lit(f).alias("field"), F.col(f).alias("value")) for f in sorted({f for f, _, _ in entries})]
+    if not values:
+        return scored.sparkSession.createDataFrame([], "field string, value string, code string, distance long")
+    both = values[0]
+    for v in values[1:]:
+        both = both.unionByName(v)
+    return map_rows(both.where("value rlike '\\\\S'").distinct(), _candidates, "field string, value string, code string, distance long", entries)
+
+
 def unmatched(scored: DataFrame, canonical: DataFrame) -> DataFrame:
     """(field, value, n): the report of values with no entry, by how often they stand."""
     found = mapped_values(scored, canonical).where(F.col("code") == NONE)

@@ -61,6 +61,11 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapping.unmatched(table(spark, d, "scored"), table(spark, d, "canonical_values"))
 
 
+def p5_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All entries within the allowed distance of each value."""
+    return mapping.candidates(table(spark, d, "scored"), table(spark, d, "canonical_values"))
+
+
 def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
     labels = consensus.given_labels({who: (table(spark, d, t), c) for who, (t, c) in SHEETS.items()})
     return consensus.Consensus(labels, list(SHEETS))
@@ -118,4 +123,4 @@ def p9_units(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them by name."""
-    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_share, p4_found, p4_forms, p5_found, p5_unmatched, p6_found, p6_consensus, p6_reliability, p6_agreement, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_units)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_share, p4_found, p4_forms, p5_found, p5_unmatched, p5_candidates, p6_found, p6_consensus, p6_reliability, p6_agreement, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_units)}
