@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import extract_object
 from ..session import map_rows
 from .answers import ends_whole
-from .mapping import OPENERS, TRAILS, allowed, distance, near, plain
+from .mapping import OPENERS, TRAILS, Trie, near, plain
 
 
 class Endings:
@@ -41,6 +41,8 @@ class Endings:
             (words if kind == "word" else pairs).add(item)
         self.pairs, self.words = frozenset(pairs), frozenset(words)
         self.begun = frozenset(w[:i] for w in self.words for i in range(1, len(w))) - self.words
+        self._trie: Trie | None = None
+        self._nears: dict[str, list[str]] = {}
         self._memo: dict[str, bool] = {}
         self._cuts: dict[str, bool] = {}
         self._signs: dict[str, str] = {}
@@ -52,23 +54,33 @@ class Endings:
         if pair in self.pairs:
             return True
         if (got := self._memo.get(pair)) is None:
-            k = allowed(len(pair))
-            got = any(abs(len(p) - len(pair)) <= k and distance(p, pair) <= k for p in self.pairs)
-            if not got and min(map(len, pair.split())) > 4:  # a slip in either word
-                a, _, b = pair.partition(" ")
-                got = any(distance(x, a) <= 3 and distance(y, b) <= 3 for x, _, y in (p.partition(" ") for p in self.pairs) if min(len(x), len(y)) > 4)
+            a, _, b = pair.partition(" ")
+            # a word that others begin with is no slip of one of them
+            got = bool(b) and b not in self.begun and any(f"{x} {y}" in self.pairs for x in self._near(a) for y in self._near(b))
             if len(self._memo) < 1 << 16:
                 self._memo[pair] = got
         return got
 
+    def _near(self, word: str) -> list[str]:
+        """Words of known pairs that the word may be a slip of: none below four letters, two or four edits above."""
+        if (got := self._nears.get(word)) is None:
+            if self._trie is None:
+                self._trie = Trie((w, w) for w in {w for p in self.pairs for w in p.split()})
+            got = [w for _, w in self._trie.search(word, 0 if len(word) < 4 else 2 if len(word) < 8 else 4)]
+            if len(self._nears) < 1 << 16:
+                self._nears[word] = got
+        return got
+
     def sign(self, value: str) -> str:
-        """How a value ends, for the classifier: end mark, known pair, begun word, joined clause."""
+        """How a value ends, for the classifier: "." for an end mark, else whether it ends in a known pair, in a word that
+        others begin with, in a known word, and whether a clause was joined to it."""
         if (got := self._signs.get(value)) is None:
             if ends_whole(value):
                 got = "."
             else:
                 w = _peel(plain(value).split())
-                got = f"{self._known(' '.join(w[-2:]))}{w[-1] in self.begun if w else ''}{any(x in OPENERS for x in w[2:])}"
+                last = w[-1] if w else ""
+                got = f"{self._known(' '.join(w[-2:])):d}{last in self.begun:d}{last in self.words:d}{any(x in OPENERS for x in w[2:]):d}"
             if len(self._signs) < 1 << 16:
                 self._signs[value] = got
         return got
@@ -100,26 +112,28 @@ def _restored(pairs: frozenset, words: frozenset, begun: frozenset) -> Endings:
     return e
 
 
-def sample_of(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
-    """About `rows` rows, whatever the input's size and however its keys are spread; all of a smaller input."""
-    n = df.count()
-    return df if n <= rows else df.sample(fraction=rows / n, seed=seed)
-
-
-def endings_of(texts: DataFrame, often: int = 8, per: int = 20_000) -> Endings:
+def endings_of(texts: DataFrame, often: int = 8, per: int = 20_000, distinct: int | None = None) -> Endings:
     """Counted over every response of the frame's one column, equal ones once, whatever their keys.
 
+    distinct: how many distinct responses there are, if that is known.
+
     A pair or word must stand in `often` of `per` distinct responses (`often` at least), a pair with an end mark in one
     of `per` (one at least); so what goes to the driver is bounded. Only hashes and values are shuffled.
     """
     t = texts.toDF("t").where("t is not null").select(F.xxhash64("t").alias("h"), "t")
-    scale = max(1.0, t.select("h").distinct().count() / per)
+    scale = max(1.0, (distinct_texts(texts) if distinct is None else distinct) / per)
     values = map_rows(t, _values, "h long, v string").distinct().groupBy("v").agg(F.count("*").alias("n"))
     seen = map_rows(values, _parts, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
     bound = F.when(F.col("kind") == "marked", F.lit(scale)).otherwise(F.lit(often * scale))
     return Endings.of((r["kind"], r["item"]) for r in seen.where(F.col("n") >= bound).select("kind", "item").collect())
 
 
+def distinct_texts(texts: DataFrame) -> int:
+    """How many distinct texts a one-column frame holds; only hashes are shuffled."""
+    t = texts.toDF("t").where("t is not null")
+    return t.select(F.xxhash64("t").alias("h")).distinct().count()
+
+
 def _values(cols: dict[str, list]) -> Iterator[tuple]:
     for h, t in zip(cols["h"], cols["t"]):
         for v in actions([t]):

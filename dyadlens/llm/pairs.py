@@ -186,25 +186,33 @@ def _broken(a: Answer, story: str, endings: Endings | None) -> bool:
     return endings is not None and any(endings.cut(v) for k, v in a.strings.items() if k != "evidence_quote" and k in VALUES)
 
 
-def quote_cut(quote: str, story: str) -> bool:
-    """The quote is found in the story and stops before its sentence does by more than the closing mark."""
+def quote_place(quote: str, story: str) -> str:
+    """Where a quote stops in its story: `end` of a sentence, before its `mark` alone, inside it at a `word` or in the
+    `mid`dle of one; `other` if it is not found (`short` and `open` ones among these apart) and `none` without a story."""
     bare = quote.strip()
     if len(bare) < 2 or not story:
-        return False
+        return "none"
     if bare[-1] in ".!?" and bare in story:
-        return False
+        return "end"
     q, s = one_look(bare).casefold(), one_look(story).casefold()
     for bare in (q, q.strip("\"'")):
         at = s.find(bare) if bare else -1
-        if at >= 0:
+        rest = ""
+        while at >= 0:
             rest = s[at + len(bare) :]
-            while at >= 0:
-                rest = s[at + len(bare) :]
-                if not rest or bare[-1] in ".!?\"'" and rest[0] in " \n" or re.match(r"[.!?]+[\"']?(?:\s|$)", rest):
-                    return False
-                at = s.find(bare, at + 1)
-            return True
-    return len(q.split()) > 2 and not ends_whole(q)  # not in the story: a paraphrase, or one that stops
+            if not rest or bare[-1] in ".!?\"'" and rest[0] in " \n":
+                return "end"
+            if re.match(r"[.!?]+[\"']?(?:\s|$)", rest):
+                return "mark"
+            at = s.find(bare, at + 1)
+        if rest:
+            return "mid" if rest[0].isalnum() and bare[-1].isalnum() else "word"
+    return "short" if len(q.split()) < 3 else "other" if ends_whole(q) else "open"
+
+
+def quote_cut(quote: str, story: str) -> bool:
+    """The quote stops before its sentence does by more than the closing mark; one that isn't found, without an end mark."""
+    return quote_place(quote, story) in ("word", "mid", "open")
 
 
 def _kernel(cols: dict[str, list], endings: Endings) -> Iterator[tuple]:

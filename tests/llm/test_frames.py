@@ -24,11 +24,14 @@ def whole(quote="Dana packed lunch."):
 
 def test_pairs_and_cuts(spark):
     rows = [{"cache_key": "a", "response_text": whole()}, {"cache_key": "b", "response_text": whole()[:50]}, {"cache_key": "b", "response_text": whole()[:50], "usage": None}, {"cache_key": "c", "response_text": None}, {"cache_key": None, "response_text": ""}, {"cache_key": "d", "response_text": whole("A banner said 1,002 peo"), "finish_reason": "length"}]
+    # intact ones to learn from
+    quotes = ("Dana packed lunch.", "Noël kept reading.", "A banner said 1,002 people were viewing the same page.")
+    rows += [{"cache_key": f"w{i}", "response_text": whole(quotes[i % 3]) + ("\n\nThat is all." if i % 5 == 0 else ""), "finish_reason": (None, "stop", "length")[i % 2 + (i % 4 == 3)]} for i in range(24)]
     df = raw(spark, rows * 3)
     assert {tuple(r)[:2] for r in pairs.broken_pairs(df).collect()} == {("b", "truncated"), ("c", "empty"), ("d", "truncated")}
     assert {r.cache_key for r in cutoff.cut_responses(df).collect()} == {"b", "d"}
     share = cutoff.cut_share(df).first()
-    assert (share.n, share.n_cut, share.share) == (4, 2, 0.5)
+    assert (share.n, share.n_cut, share.share) == (28, 2, round(2 / 28, 6))
     assert pairs.broken_pairs(raw(spark, [])).count() == 0 == cutoff.cut_responses(raw(spark, [])).count()
 
 

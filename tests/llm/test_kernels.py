@@ -58,12 +58,30 @@ def test_cut_classifier_held_out():
     acts = ["Talk openly about unmet needs", "Set a nightly phone curfew", "Read the articles together", "Buy a separate alarm clock"]
     rows = [(answer(rng.choice(acts), rng.choice(["Dana packed lunch.", "A banner said 1,002 people were viewing the same page."]), rng.randint(0, 10)), "stop", 100, STORY) for _ in range(900)]
     endings = Endings([a for a in acts for _ in range(20)])
-    w, limits = cutoff.train(rows[:600], endings)
-    score = lambda k, t: sum(w[f] for f in cutoff.features(k, t, "stop<", endings))
+    w, limits = cutoff.train([e for r in rows[:600] for e in cutoff.examples(*r, endings)])
+    score = lambda k, t: sum(w[f] for f in cutoff.features(k, t, "stop<", endings, STORY))
     cuts = [r[0][: rng.randrange(20, len(r[0]) - 2)] for r in rows[600:]]
     assert np.mean([score("open", c) >= limits["open"] for c in cuts]) > 0.97
     cols = lambda ts: dict(k=[str(i) for i in range(len(ts))], slot=["A"] * len(ts), t=ts, f=["stop"] * len(ts), n=[100] * len(ts), story=[STORY] * len(ts))
-    assert [r[3] for r in cutoff._kernel(cols([rows[700][0], cuts[0], None, ""]), w, limits, endings)] == [False, True, False, False]
+    texts = [rows[700][0], cuts[0], None, "", answer(quote="A banner said 1,002 peop"), answer() + "\n\nI kept the quotation exa"]
+    assert [r[3] for r in cutoff._kernel(cols(texts), w, limits, endings)] == [False, True, False, False, True, True]
+    # without its weights the operator finds nothing: they decide, no rule does
+    assert not any(r[3] for r in cutoff._kernel(cols(texts), 0 * w, limits, endings))
+    # with those of closing marks and places turned round, whole pieces come out instead
+    assert [r[3] for r in cutoff._kernel(cols(texts[:1]), -w, limits, endings)] == [True]
+
+
+def test_length_to_limit_is_a_feature():
+    endings = Endings([])
+    same = lambda a, b: cutoff.features(*a, endings, "") == cutoff.features(*b, endings, "")
+    assert not same(("remark", "x" * 40, "stop<"), ("remark", "x" * 41, "stop<")) and same(("remark", "x" * 42, "stop<"), ("remark", "x" * 43, "stop<"))
+    assert [cutoff.limit_of("stop", n)[-1] for n in (None, 1024, 1000, 900, 600, 9000)] == list("?=~+<>")
+
+
+def test_places_of_quotes():
+    story = 'Dana packed lunch. Lou said "no" and left the room.'
+    for quote, place in (("Dana packed lunch.", "end"), ("Dana packed lunch", "mark"), ("Dana pack", "mid"), ("Dana packed", "word"), ("Somebody else went out.", "other"), ("Somebody else went ou", "open"), ("No way", "short"), ("", "none")):
+        assert pairs.quote_place(quote, story) == place
 
 
 def test_endings():
