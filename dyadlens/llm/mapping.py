@@ -1,85 +1,39 @@
 """Problem 5: freely typed values mapped to a canonical list.
 
-A trie of the reference labels and their alias paths (other wordings, the label's words turned round, the label without
-its small words) is walked by a Levenshtein automaton in bit-vector form; all entries within a distance that grows with
-the value's length are returned, nearest first. Phrases around the advice are taken off within the same distance.
-
-A value that ends as the beginning of one entry alone counts as that entry. Null and blank values give no row; values
-that match nothing give 'none'. Ties between entries go to the smaller distance, then the code. Case, underscores,
-spaces, widths and look-alikes don't count. Texts of any length are read; one longer than any path can't match whole.
+Two tries, each searched by a Levenshtein automaton. The first holds the words of the reference entries and, as alias
+paths to the same meanings, words and phrases of English that mean the same (wording.py) and those of an alias list, if
+one is given; its automaton (in bit-vector form) works on letters and brings slips back to words. The second holds each
+entry as its meanings in a fixed order, so that word order doesn't count; its automaton works on words, which may be
+left out or added. A third, of the whole labels without spaces, catches what is glued or broken off. All entries within
+a distance that grows with the length are returned, nearest first. The list of aliases is empty unless the caller gives
+one: no entry has wordings of its own in this package.
+
+A value is read whole, and without what stands before a verb of advising ("they could ...") and behind a joined clause
+or a dash. One that ends as the beginning of one entry alone counts as that entry. Null and blank values give no row;
+values that match nothing, texts in another script among them, give 'none'. Ties between entries go to the smaller
+distance, then the code. Case, underscores, spaces, widths and look-alikes don't count. Texts of any length are read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_rows
 from .look import one_look
+from .wording import LIGHT, SAME, SMALL, stem
 
-#: Other wordings of entries, by code.
-ALIASES: dict[str, list[str]] = {
-    "seek_help": ["seek help", "help seeking", "seeking help", "get help"],
-    "boundary": ["boundaries", "set boundary", "set boundaries", "set a boundary", "setting boundaries"],
-    "accommodate": ["accommodating", "accommodation"],
-    "negotiate": ["negotiating", "negotiation", "negotiateed"],
-    "unclassified": ["not classified", "un classified", "unclassifiable"],
-    "A01": ["couples therapy appointment", "arrange an appointment with a therapist for couples"],
-    "A02": ["ask the family physician about the lost sleep"],
-    "A03": ["ring a helpline if worrying becomes too heavy"],
-    "A04": ["sign up to a support circle for anxiety about the news"],
-    "A05": ["have an elder from the community act as mediator"],
-    "A06": ["talk to a counselor who specialises in grief"],
-    "A07": ["get referred through the wellbeing office at work"],
-    "A08": ["get screened for mental health concerns", "screening for mental-health problems"],
-    "A09": ["take a web-based course for couples"],
-    "A10": ["have the debts looked over by a financial advisor"],
-    "A11": ["phones sleep in the hallway, not in the bedroom", "plug the phones in away from the bedroom at night"],
-    "A12": ["no screens at the table during dinner"],
-    "A13": ["uninstall news apps for four weeks", "remove every news app till next month"],
-    "A14": ["fix a curfew for phones every night"],
-    "A15": ["switch push alerts off", "silence the pop-up notifications"],
-    "A16": ["limit apps with a timer per day", "put a timer on apps each day"],
-    "A17": ["when visitors come, devices go in the drawer"],
-    "A18": ["make the screen gray scale"],
-    "A19": ["no office e-mail on a Sunday"],
-    "A20": ["get a stand-alone alarm clock", "stop using the phone as an alarm; get a real clock"],
-    "A21": ["once a week, calmly check in", "check in with each other calmly every week"],
-    "A22": ["put a joint agreement in writing"],
-    "A23": ["alternate who picks the plan for the evening"],
-    "A24": ["have an open talk on the needs that go unmet"],
-    "A25": ["quiet time in exchange for housework", "trade chores around the house against quiet time"],
-    "A26": ["schedule an outing every two weeks", "go out together every second week"],
-    "A27": ["pick an agreed signal for pausing an argument"],
-    "A28": ["bring up the move with the two families"],
-    "A29": ["go over the home budget as a pair", "look at what the household spends, as a couple"],
-    "A30": ["practice hearing each other out with no interruptions"],
-    "A31": ["after work, let the partner have room", "leave the partner some room once work is over"],
-    "A32": ["stay patient till exams finish"],
-    "A33": ["allow short check-ins with far-off relatives"],
-    "A34": ["be empathetic about the hunt for a job"],
-    "A35": ["no more remarks about screen time", "quit remarking on time spent on screens"],
-    "A36": ["make tea, then sit quietly next to the other"],
-    "A37": ["say nothing about minor delays"],
-    "A38": ["say thanks for small efforts", "express thanks for the little efforts of the other"],
-    "A39": ["go through those articles as a couple"],
-    "A40": ["don't raise it at night; wait for the morning", "hold the issue back till the morning"],
-}
-#: Phrases before and after an advice.
-LEADS = (
-    "both partners ought to", "the couple should", "they could", "they should", "it may help to", "i'd suggest they", "next step", "first of all",
-    "they can't solve this in one night so they should", "since neither can decline forever", "the couple could", "the partners should", "as a next step",
-)
-TRAILS = ("please", "that would be a start")
-#: Words left out of the short path of a label.
-SMALL = frozenset("a an the to with for on of and".split())
-#: Words that may begin a clause after the advice.
+#: Verbs after which an advice begins, courtesies, and words that may begin a clause after it.
+ADVISING = frozenset("should could can may might must shall ought suggest help step all".split())
+TRAILS = ("please", "thanks", "thank you")
 OPENERS = frozenset("so and starting even before when until because if but while after that".split())
+#: The share of an entry's weight that may be missing, and what an added word weighs.
+MISSING, ADDED = 0.46, 0.35
 NONE = "none"
 
 
@@ -152,99 +106,203 @@ class Trie:
         return sorted((d, code) for code, d in found.items())
 
 
+class Words:
+    """The trie of words: meanings by the letters that lead to them."""
+
+    def __init__(self, labels: Iterable[str]) -> None:
+        self.phrases: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        self.same: dict[str, str] = {}
+        surfaces = {w for label in labels for w in label.split()}
+        for group in SAME:
+            phrases = [plain(p).split() for p in group.split(",")]
+            name = stem(phrases[0][0]) if len(phrases[0]) == 1 else "_".join(phrases[0])
+            for words in phrases:
+                if len(words) == 1:
+                    self.same.setdefault(stem(words[0]), name)
+                else:
+                    self.phrases.setdefault(stem(words[0]), []).append((tuple(map(stem, words)), name))
+                surfaces.update(words)
+        for found in self.phrases.values():
+            found.sort(key=lambda p: -len(p[0]))
+        self.small, self.light = {stem(w) for w in SMALL | ADVISING} | SMALL | ADVISING, {stem(w) for w in LIGHT}
+        self.surfaces = surfaces | SMALL | ADVISING | LIGHT
+        self.known = {stem(w) for w in self.surfaces}
+        self.trie = Trie((w, stem(w)) for w in self.surfaces if len(w) > 3)
+        self.stems = Trie((w, w) for w in self.known if len(w) > 3)
+        self._memo: dict[str, tuple[str, ...]] = {}
+
+    def weight(self, meaning: str) -> float:
+        """Of a word: verbs that stand for each other weigh less."""
+        return 0.4 if meaning in self.light else 1.0
+
+    def mended(self, word: str) -> tuple[str, ...]:
+        """The stem of a word, or those of the nearest ones that it may be a slip of."""
+        if (got := self._memo.get(word)) is None:
+            got = self._mended(word)
+            if len(self._memo) < 1 << 16:
+                self._memo[word] = got
+        return got
+
+    def _mended(self, word: str) -> tuple[str, ...]:
+        own = stem(word)
+        if word in self.surfaces or len(word) < 4 or not word.isalpha():
+            return (own,)
+        swapped = sorted({stem(w) for i in range(len(word) - 1) if (w := word[:i] + word[i + 1] + word[i] + word[i + 2 :]) in self.surfaces})
+        if swapped or own in self.known:
+            return (*swapped, own) if swapped else (own,)
+        for trie, w in ((self.trie, word), *((self.trie, word[: -len(e)]) for e in ("ed", "ing", "s") if word.endswith(e)), (self.stems, own)):
+            if near := trie.search(w, allowed(len(w))):
+                return tuple(sorted({x for d, x in near if d == near[0][0]}))
+        return (own,)
+
+    def begun(self, word: str) -> set[str]:
+        """The stems of the words that begin with a broken-off one."""
+        return {w for _, w in self.trie.search(word, 0, prefix=True)} if len(word) > 1 else set()
+
+    def variants(self, words: list[str]) -> Iterator[list[str]]:
+        """The words' stems, each word by its first; then those that another stem of one word gives."""
+        options = [self.mended(w) for w in words]
+        first = [o[0] for o in options]
+        yield first
+        for i, o in enumerate(options):
+            for other in o[1:]:
+                yield [*first[:i], other, *first[i + 1 :]]
+
+    def meanings(self, words: list[str], stems: list[str]) -> list[str]:
+        """Longest phrases first, then words; small words drop."""
+        out, i = [], 0
+        while i < len(stems):
+            if stems[i] in ("un", "non", "not") and i + 1 < len(stems) and (joined := stem("un" + words[i + 1])) in self.known:
+                out.append(self.same.get(joined, joined))
+                i += 2
+                continue
+            for phrase, name in self.phrases.get(stems[i], ()):
+                if tuple(stems[i : i + len(phrase)]) == phrase:
+                    out.append(name)
+                    i += len(phrase)
+                    break
+            else:
+                if words[i] not in SMALL and stems[i] not in self.small:
+                    out.append(self.same.get(stems[i], stems[i]))
+                i += 1
+        return out
+
+
 class Mapper:
-    """Entries of one field. entries: (code, label)."""
+    """Entries of one field. entries: (code, label); aliases: (code, other wording), none by default."""
 
-    def __init__(self, entries: Iterable[tuple[str, str]]) -> None:
+    def __init__(self, entries: Iterable[tuple[str, str]], aliases: Iterable[tuple[str, str]] = ()) -> None:
+        entries = list(entries)
         self.labels = {label for _, label in entries}
-        paths: list[tuple[str, str]] = []
-        for code, label in entries:
-            words = plain(label).split()
-            paths += [(" ".join(words[i:] + words[:i]), code) for i in range(len(words))]
-            if len(short := [w for w in words if w not in SMALL]) > 1:
-                paths.append((" ".join(short), code))
-            paths += [(plain(a), code) for a in ALIASES.get(code, ())]
-            if len(words) < 3:
-                paths.append(("".join(words), code))
-        self.trie = Trie(paths)
-        # letter counts of all paths: their difference bounds the distance from below, so hopeless searches are left out
-        self._letters = {c: i for i, c in enumerate(sorted({c for q, _ in paths for c in q}))}
-        self._counts = np.array([self._count(q) for q, _ in paths] or [[0]], dtype=np.int16)
-        self.longest = max((len(p) for p, _ in paths), default=0)
+        wordings = [(code, plain(t)) for code, t in (*entries, *aliases)]
+        self.words = Words(t for _, t in wordings)
+        self.whole: dict[str, set[str]] = {}
+        for code, t in wordings:
+            self.whole.setdefault(t, set()).add(code)
+        self.glued = Trie((t.replace(" ", ""), code) for code, t in wordings)
+        self.most_words = 4 * max((len(t.split()) for _, t in wordings), default=0) + 4
+        self.longest = max((len(t) for _, t in wordings), default=0)
+        self.advising = {stem(w) for w in ADVISING}
+        self.root: dict = {}
+        for code, t in wordings:
+            node, meant = self.root, sorted(set(self.words.meanings(t.split(), [stem(w) for w in t.split()])))
+            for m in meant:
+                node = node.setdefault(m, {})
+            if meant:
+                node.setdefault("", []).append((code, sum(map(self.words.weight, meant))))
+        self._limits(self.root)
         self.known: dict[str, str] = {}
 
-    def _count(self, text: str) -> list[int]:
-        n = [0] * (len(self._letters) + 1)
-        for c in text:
-            n[self._letters.get(c, -1)] += 1
-        return n
-
-    def _search(self, text: str, k: int, prefix: bool = False) -> list[tuple[int, str]]:
-        gap = self._counts - np.array(self._count(text), dtype=np.int16)
-        least = -np.minimum(gap, 0).sum(1)
-        if not prefix:
-            least = np.maximum(least, np.maximum(gap, 0).sum(1))
-        low = int(least.min())
-        if low > k:
-            return []
-        return self.trie.search(text, k, prefix)
-
-    def _peel(self, text: str) -> list[str]:
-        """The text, and the text without a phrase before and after it."""
-        words = text.split()
-        starts, ends = [0], {len(words), *(i for i in range(2, len(words)) if words[i] in OPENERS)}
-        for lead in LEADS:
-            n = len(lead.split())
-            for m in (n, n + 1, n - 1):
-                if 0 < m < len(words) and near(" ".join(words[:m]), lead):
-                    starts.append(m)
-                    break
-        for end in tuple(ends):
-            for trail in TRAILS:
-                n = len(trail.split())
-                for m in (n, n + 1, n - 1):
-                    if 0 < m < end and near(" ".join(words[end - m : end]), trail):
-                        ends.add(end - m)
-                        break
-        return [" ".join(words[a:b]) for b in sorted(ends, reverse=True) for a in sorted(set(starts), reverse=True) if a < b]
-
-    def matches(self, value: str) -> list[tuple[int, str]]:
-        """(distance, code) of the nearest entries; the search stops at the distance at which one is found."""
-        text = plain(value)
-        tries = self._peel(text)
-        for t in tries:
-            if t in self.trie.whole:
-                return sorted((0, c) for c in self.trie.whole[t])
-        best: list[tuple[int, str]] = []
-        for t in tries:
-            glued = t.replace(" ", "")
-            if len(t) > self.longest + allowed(len(t)) or best and best[0][0] == 0:
-                continue
-            # widened step by step: most slips are one or two
-            for k in sorted({min(k, allowed(len(t))) for k in (1, 2, 4, 99)}):
-                if got := self._search(t, k):
-                    best = min(best or got, got)
-                    break
-            if not best and len(glued) < 16 and glued != t and (got := self._search(glued, min(2, allowed(len(glued))))):
-                best = got
-        if best:
-            return best
-        if tries and len(tries[0]) >= 14:  # many slips in the whole; or the first letters of a word after it
-            t = tries[0]
-            if len(t) <= self.longest + 8 and (got := self._search(t, len(t) * 22 // 100)):
-                return got
-            words = t.split()
-            for m in (1, 2):
-                t = " ".join(words[:-m])
-                for short in [t, *(t[: -len(x) - 1] for x in TRAILS if t.endswith(" " + x))]:
-                    if len(short) >= 14 and (got := self._search(short, 2)):
-                        return got
-        for t in tries:
-            if len(t) >= 4 and (len(t) >= 8 or " " not in t):
-                got = self._search(t, allowed(len(t)) if len(t) > 10 else 0, prefix=True)
-                if got and len({c for d, c in got if d == got[0][0]}) == 1:
-                    return got[:1]
-        return []
+    def _limits(self, node: dict) -> float:
+        """Notes at each node the largest weight of an entry below it, which bounds the search."""
+        most = max((w for _, w in node.get("", ())), default=0.0)
+        for m, child in node.items():
+            if m:
+                most = max(most, self._limits(child))
+        node[None] = most
+        return most
+
+    def nearest(self, meant: Iterable[str]) -> dict[str, float]:
+        """code -> distance (the share of the entry's weight) of all entries within MISSING: the automaton over words."""
+        value = sorted(set(meant))
+        if not value:
+            return {}
+        weight, found = self.words.weight, {}
+        left = [0.0] * (len(value) + 1)  # what the rest of the value weighs, if no entry has it
+        for i in range(len(value) - 1, -1, -1):
+            left[i] = left[i + 1] + ADDED * weight(value[i])
+        stack = [(self.root, 0, 0.0)]
+        while stack:
+            node, at, cost = stack.pop()
+            for code, whole in node.get("", ()):
+                share = (cost + left[at]) / whole
+                if share <= MISSING and share < found.get(code, 9.0):
+                    found[code] = share
+            for m, child in node.items():
+                if not m:
+                    continue
+                i, c = at, cost
+                while i < len(value) and value[i] < m:
+                    c += ADDED * weight(value[i])
+                    i += 1
+                if i < len(value) and value[i] == m:
+                    i += 1
+                else:
+                    c += weight(m)
+                if c <= MISSING * child[None]:
+                    stack.append((child, i, c))
+        return found
+
+    def readings(self, value: str) -> list[list[str]]:
+        """The value's words whole, and without what stands before an advice and behind it.
+
+        A reading of more than `most_words` words, four times the longest entry's, lies beyond the distance of all.
+        """
+        words = plain(value).split()
+        n = len(words)
+        starts = {0, *(i + 1 + (words[i + 1 : i + 2] in (["to"], ["they"])) for i in range(n) if self.words.mended(words[i])[0] in self.advising)}
+        ends = {n, *(i for i in range(1, n) if words[i] in OPENERS)}
+        if (dash := re.search(r"\s[-–—]\s", value)) and (before := len(plain(value[: dash.start()]).split())):
+            ends.add(before)
+        for t in TRAILS:
+            k = len(t.split())
+            ends |= {e - k for e in ends if e > k and near(" ".join(words[e - k : e]), t)}
+        begins, stops = sorted(starts), sorted(ends)
+        out = []
+        for a in begins:  # only stops within reach, so that long texts take linear time
+            reach = bisect_right(stops, a + self.most_words)
+            out += [words[a:b] for b in reversed(stops[bisect_right(stops, a, 0, reach) : reach])]
+        return out
+
+    def matches(self, value: str) -> list[tuple[float, str]]:
+        """(distance, code) of all entries within the allowed distance of any reading of the value, nearest first."""
+        found: dict[str, float] = {}
+        readings = self.readings(value)
+        for words in readings:
+            for code in self.whole.get(" ".join(words), ()):
+                found[code] = 0.0
+        open_end = bool(value.rstrip()) and value.rstrip()[-1].isalnum()
+        for words in readings:
+            for stems in self.words.variants(words):
+                meant = self.words.meanings(words, stems)
+                for code, d in self.nearest(meant).items():
+                    found[code] = min(d, found.get(code, d))
+                if open_end and meant and meant[-1] not in self.words.known:  # a last word that breaks off
+                    for full in self.words.begun(words[-1]):
+                        for code, d in self.nearest([*meant[:-1], self.words.same.get(full, full)]).items():
+                            found[code] = min(d, found.get(code, d))
+        if not found:
+            for words in readings:
+                t = "".join(words)
+                if t and len(t) <= self.longest + allowed(len(t)):
+                    for d, code in self.glued.search(t, allowed(len(t))):
+                        found[code] = min(d / len(t), found.get(code, 1.0))
+        if not found and open_end:
+            for words in readings:
+                t = "".join(words)
+                if 4 <= len(t) <= self.longest and (got := self.glued.search(t, allowed(len(t)) // 2, prefix=True)) and len({c for d, c in got if d == got[0][0]}) == 1:
+                    found.setdefault(got[0][1], got[0][0] / len(t))
+        return sorted((round(d, 6), c) for c, d in found.items())
 
     def code(self, value: str) -> str:
         """The nearest entry's code, or 'none'."""
@@ -256,16 +314,6 @@ class Mapper:
         return got
 
 
-    def candidates(self, value: str) -> list[tuple[int, str]]:
-        """(distance, code) of all entries within the allowed distance of any reading of the value, nearest first."""
-        found = {c: d for d, c in reversed(self.matches(value))}
-        for t in self._peel(plain(value)):
-            if len(t) <= self.longest + allowed(len(t)):
-                for d, c in self._search(t, allowed(len(t))):
-                    found[c] = min(d, found.get(c, d))
-        return sorted((d, c) for c, d in found.items())
-
-
 def near(text: str, phrase: str) -> bool:
     """Within the allowed distance of a phrase."""
     if text == phrase:
@@ -284,61 +332,73 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def mappers(entries: list[tuple[str, str, str]]) -> dict[str, Mapper]:
-    """By field, from (field, code, label)."""
-    return {f: Mapper([(c, t) for g, c, t in entries if g == f]) for f in sorted({f for f, _, _ in entries})}
+def mappers(entries: Iterable[tuple[str, str, str]], aliases: Iterable[tuple[str, str, str]] = ()) -> dict[str, Mapper]:
+    """By field, from (field, code, label) and (field, code, other wording)."""
+    entries, aliases = list(entries), list(aliases)
+    of = lambda rows, f: [(c, t) for g, c, t in rows if g == f]
+    return {f: Mapper(of(entries, f), of(aliases, f)) for f in sorted({f for f, _, _ in entries})}
 
 
 _held: dict[tuple, dict[str, Mapper]] = {}
 
 
-def _kernel(cols: dict[str, list], entries: tuple) -> Iterator[tuple]:
-    if entries not in _held:  # once a worker
+def _by_field(lists: tuple) -> dict[str, Mapper]:
+    if lists not in _held:  # once a worker
         _held.clear()
-        _held[entries] = mappers(list(entries))
-    by_field = _held[entries]
+        _held[lists] = mappers(*lists)
+    return _held[lists]
+
+
+def _kernel(cols: dict[str, list], lists: tuple) -> Iterator[tuple]:
+    by_field = _by_field(lists)
     for key, *values in zip(cols["cache_key"], *(cols[f] for f in by_field)):
         for (name, mapper), value in zip(by_field.items(), values):
             if value and not value.isspace():
-                exact = value in mapper.labels
-                yield name, key, value, mapper.code(value), exact
+                yield name, key, value, mapper.code(value), value in mapper.labels
 
 
-def reference_list(canonical: DataFrame, most: int = 100_000) -> tuple:
-    """The reference list on the driver: a fixed list that must fit there; a longer one than `most` is refused."""
-    rows = canonical.select("field", "code", "label").where("field is not null and code is not null and label is not null").distinct().limit(most + 1).collect()
+def reference_list(canonical: DataFrame, wording: str = "label", most: int = 100_000) -> tuple:
+    """(field, code, wording) on the driver: a fixed list that must fit there; a longer one than `most` is refused."""
+    rows = canonical.select("field", "code", wording).where(f"field is not null and code is not null and {wording} is not null").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the reference list has more than {most} entries")
     return tuple(sorted(tuple(r) for r in rows))
 
 
-def mapped_values(scored: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(field, cache_key, value, code, exact) of each value that isn't blank, for every field of the list."""
-    entries = reference_list(canonical)
-    fields = sorted({f for f, _, _ in entries})
+def _lists(canonical: DataFrame, aliases: DataFrame | None) -> tuple[tuple, tuple]:
+    return reference_list(canonical), () if aliases is None else reference_list(aliases, "alias")
+
+
+def mapped_values(scored: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(field, cache_key, value, code, exact) of each value that isn't blank, for every field of the list.
+
+    aliases: (field, code, alias), further wordings of entries, if there are any.
+    """
+    lists = _lists(canonical, aliases)
+    fields = sorted({f for f, _, _ in lists[0]})
     if not fields:
         return scored.sparkSession.createDataFrame([], "field string, cache_key string, value string, code string, exact boolean")
     df = scored.select("cache_key", *fields).where("cache_key is not null")
-    return map_rows(df, _kernel, "field string, cache_key string, value string, code string, exact boolean", entries)
+    return map_rows(df, _kernel, "field string, cache_key string, value string, code string, exact boolean", lists)
 
 
-def _candidates(cols: dict[str, list], entries: tuple) -> Iterator[tuple]:
-    by_field = mappers(list(entries))
+def _candidates(cols: dict[str, list], lists: tuple) -> Iterator[tuple]:
+    by_field = _by_field(lists)
     for field, value in zip(cols["field"], cols["value"]):
-        for d, code in by_field[field].candidates(value):
+        for d, code in by_field[field].matches(value):
             yield field, value, code, d
 
 
-def candidates(scored: DataFrame, canonical: DataFrame) -> DataFrame:
+def candidates(scored: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(field, value, code, distance): for each distinct value all entries within the allowed distance."""
-    entries = reference_list(canonical)
-    values = [scored.select(F.lit(f).alias("field"), F.col(f).alias("value")) for f in sorted({f for f, _, _ in entries})]
+    lists = _lists(canonical, aliases)
+    values = [scored.select(F.lit(f).alias("field"), F.col(f).alias("value")) for f in sorted({f for f, _, _ in lists[0]})]
     if not values:
-        return scored.sparkSession.createDataFrame([], "field string, value string, code string, distance long")
+        return scored.sparkSession.createDataFrame([], "field string, value string, code string, distance double")
     both = values[0]
     for v in values[1:]:
         both = both.unionByName(v)
-    return map_rows(both.where("value rlike '\\\\S'").distinct(), _candidates, "field string, value string, code string, distance long", entries)
+    return map_rows(both.where("value rlike '\\\\S'").distinct(), _candidates, "field string, value string, code string, distance double", lists)
 
 
 def unmatched(scored: DataFrame, canonical: DataFrame) -> DataFrame:
