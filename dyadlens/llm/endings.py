@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +15,9 @@ from .answers import ends_whole
 from .mapping import OPENERS, TRAILS, Trie, near, plain
 
 
+_DIGITS = re.compile(r"\d+")
+
+
 class Endings:
     """Last word pairs of values that end whole, and the words of all values.
 
@@ -78,7 +82,7 @@ class Endings:
             if ends_whole(value):
                 got = "."
             else:
-                w = _peel(plain(value).split())
+                w = _words(value)
                 last = w[-1] if w else ""
                 got = f"{self._known(' '.join(w[-2:])):d}{last in self.begun:d}{last in self.words:d}{any(x in OPENERS for x in w[2:]):d}"
             if len(self._signs) < 1 << 16:
@@ -96,7 +100,7 @@ class Endings:
     def _cut(self, value: str) -> bool:
         if not value.strip() or ends_whole(value) or not value[-1:].isascii():
             return False
-        w = _peel(plain(value).split())
+        w = _words(value)
         if len(w) < 2:
             return False
         known = self._known(" ".join(w[-2:]))
@@ -146,6 +150,11 @@ def _parts(cols: dict[str, list]) -> Iterator[tuple]:
             yield kind, item, n
 
 
+def _words(value: str) -> list[str]:
+    """The value's words without a courtesy at its end; all numbers count as one word."""
+    return _peel(_DIGITS.sub("0", plain(value)).split())
+
+
 def _peel(words: list[str]) -> list[str]:
     for t in TRAILS:
         n = len(t.split())
@@ -156,7 +165,7 @@ def _peel(words: list[str]) -> list[str]:
 
 def parts_of(value: str) -> Iterator[tuple[str, str]]:
     """(kind, item) to count of a value: its words, and its last pair as `marked` or `bare`."""
-    w = _peel(plain(value).split())
+    w = _words(value)
     if w:
         yield "marked" if value.rstrip()[-1] in ".!?" else "bare", " ".join(w[-2:])
         for x in w:
