@@ -219,7 +219,7 @@ OTHERS = [f"Read the account once more and judge. Every {a} the {b} violinist vo
     ],
 )
 def test_leaks(doc, hit):
-    items = leakage.Items([(1, ITEM), (2, OTHERS[0]), (3, OTHERS[1])], 12)
+    items = leakage.Items([(1, ITEM), (2, OTHERS[0]), (3, OTHERS[1])])
     rows = [r for r in leakage.explained([r for r in leakage.passages(doc or "", items) if r[3] >= 12]) if leakage.leaked(r)]
     assert [r[0] for r in rows] == ([1] if hit else [])
     if hit:
