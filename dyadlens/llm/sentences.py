@@ -12,7 +12,9 @@ no sentence. Texts are read whole, at any length; repeated rows repeat their res
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -37,7 +39,8 @@ _SPACED_AHEAD = re.compile(r"(?:z\.\s{0,3}B|d\.\s{0,3}h|u\.\s{0,3}a|o\.\s{0,3}ä
 _SPACED_BACK = re.compile(r"(?<![\w.])(?:z\.\s{1,3}B|d\.\s{1,3}h|u\.\s{1,3}a|o\.\s{1,3}ä|p\.\s{1,3}ej|[ap]\.\s{1,3}m)\.$")
 _WORD_START = re.compile(r"[^\W\d_]+$")
 #: Nouns that a single letter may follow as a label.
-_LABELLED = re.compile(r"\b(?:slot|coder|item|part|class|plan|vitamin|model|type|group|section|level|row|column|page|series|version|appendix|figure|variant|team|batch)$", re.I)
+_LABELS = "slot|coder|item|part|class|plan|vitamin|model|type|group|section|level|row|column|page|series|version|appendix|figure|variant|team|batch"
+_LABELLED = re.compile(rf"\b(?:{_LABELS})$", re.I)
 #: Month names that follow an ordinal number with a stop.
 ORDINAL_NEXT = re.compile(r"(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jh|Jahrhundert|Klasse|Mal|Stock|Tag|Woche)\b")
 #: Marks. Stops end a sentence where white space follows; full marks do anywhere.
@@ -53,15 +56,22 @@ SPEECH = re.compile(
     r"(?:says?|said|asks?|asked|repl(?:ied|ies)|whisper(?:ed|s)|shout(?:ed|s)|murmur(?:ed|s)|mutter(?:ed|s)|answer(?:ed|s)|add(?:ed|s)|cri(?:ed|es)|call(?:ed|s)|insist(?:ed|s)|snap(?:ped|s)|yell(?:ed|s)|laugh(?:ed|s)|sigh(?:ed|s)|wrote|writes|demanded|wondered|begged|admitted|explained|told|repeated|joked|hissed|remarked|noted|went on)\b"
 )
 SPEECH_CJK = re.compile(r"\s*(?:と|って|、|，|[^\s。！？」』”]{0,8}(?:说|問|问|道|喊|答|叫|笑|言|低语|回答))")
-#: Words that begin a sentence in small letters, in informal writing.
-STARTERS = re.compile(r"(?:so|tl;dr|honestly|lol|idk|imo|imho|btw|edit|update|anyone|anybody|we|i|my|you|he|she|they|it|this|that|there|also|ok|okay|yes|no|yeah|nope|thanks|please|what|why|how|who|when|where|is (?:it|this|that|he|she|there|anyone)|are (?:we|you|they|there)|am i|do (?:i|we|you|they)|does|did|has any\w*|have you|can (?:i|we|you|any\w*)|should (?:i|we)|would you|the|a|an|our|your|his|her|their|sorry|maybe|just|still|anyway|well|but|and then|[\w.-]+_\w+|\w+\.(?:csv|log|json|parquet|yaml|py|md|txt))(?![\w'’])", re.I)
+#: Fixed values, of informal writing, where sentences begin in small letters: words that open one by themselves, turned
+#: round questions, names of files and variables, and the words that may begin one where no abbreviation stands before.
+_DISCOURSE = r"tl;dr|lol|idk|imo|imho|btw|honestly|anyone (?:else|here)|anybody (?:else|here)|so (?:my|i|we|he|she|they)"
+_QUESTION = r"(?:is|are|am|was|were|do|does|did|has|have|can|could|should|would)\s(?:it|this|that|he|she|there|we|you|they|i|any\w*)"
+_FILE = r"[\w.-]+\.(?:csv|log|json|parquet|yaml|py|md|txt)"
+_PLAIN = r"so|edit|update|anyone|anybody|we|i|my|you|he|she|they|it|this|that|there|also|ok|okay|yes|no|yeah|nope|thanks|please|what|why|how|who|when|where|does|did|the|a|an|our|your|his|her|their|sorry|maybe|just|still|anyway|well|but|and then"
+STARTERS = re.compile(rf"(?:{_DISCOURSE}|{_QUESTION}|{_PLAIN}|[\w.-]+_\w+|{_FILE})(?![\w'’])", re.I)
 #: The same where an abbreviation that may end a sentence stands before: only what can't go on with one.
-PLAIN_STARTERS = re.compile(r"(?:[\w.-]+\.(?:csv|log|json|parquet|yaml|py|md|txt)\b|tl;dr|honestly\.|lol\b|slot\s[A-Z]\b|is\sit\s\w|so\smy\s\w|am\si\s\w|anyone\selse|has any\w*)", re.I)
+PLAIN_STARTERS = re.compile(rf"(?:{_FILE}\b|(?:{_DISCOURSE}|{_QUESTION})(?![\w'’])|(?:{_LABELS})\s[A-Z]\b)")
 _LIST = re.compile(r"[ \t]*(?:[-*•‣◦▪–—·+](?=[ \t])|\d{1,3}[.)](?=[ \t])|[A-Za-z]\)(?=[ \t])|\(\w{1,3}\)(?=[ \t])|[०-९]{1,2}[.)]|[٠-٩۰-۹]{1,2}[.)\-])[ \t]*")
 _MARKED = re.compile(r"[ \t]*#{1,6}[ \t]")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ]|$)")
 _THAI = re.compile(r"[฀-๿]")
 _SPACE = re.compile(r"\s+")
+_LETTER = re.compile(r"[^\W\d_]")
+_TOKEN = re.compile(r"\S+")
 _NEXT_WORD = re.compile(r"\s*[\"'“”„«»‹›(\[{¿¡—–\-*_`「『]*")
 
 
@@ -128,8 +138,11 @@ def _wrapped(text: str, begin: int, at: int, line: str) -> bool:
     if _LIST.match(text, begin):
         return False
     mark = line.lstrip()[:1]
-    before = text[begin:at].rstrip()
-    if before.endswith(".") and (abbreviation(text, begin, begin + len(before) - 1) or _WORD_START.search(before, len(before) - 2, len(before) - 1)):
+    end = at
+    while end > begin and text[end - 1].isspace():
+        end -= 1
+    before = text[max(begin, end - 8) : end]
+    if before.endswith(".") and (abbreviation(text, begin, end - 1) or _WORD_START.search(before, len(before) - 2, len(before) - 1)):
         return True
     if mark.isdigit() or mark in "-–—+" or mark.isalpha():
         return before[-1:] not in ".!?:;…。！？।۔؟\"'”)"
@@ -140,26 +153,32 @@ def _pairs(text: str, a: int, b: int) -> dict[int, int]:
     """opening -> closing place of quotations and brackets that close within the paragraph."""
     found: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    waits: Counter = Counter()  # how often each closing mark is waited for in the stack
+
+    def close(mark: str, at: int) -> None:
+        while True:  # what was opened in between stays open
+            c, opened = stack.pop()
+            waits[c] -= 1
+            if c == mark:
+                found[opened] = at
+                return
+
     for m in _PAIRED.finditer(text, a, b):
         i, c = m.start(), m.group()
-        if stack and c == stack[-1][0]:
-            found[stack.pop()[1]] = i
-        elif c == '"':
-            if any(s[0] == '"' for s in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                found[stack.pop()[1]] = i
-            else:
-                stack.append(('"', i))
-        elif c in OPEN:
-            stack.append((OPEN[c], i))
-        elif c in ")]}）】」』»”》〉›" and any(s[0] == c for s in stack):
-            while stack[-1][0] != c:
-                stack.pop()
-            found[stack.pop()[1]] = i
+        if waits[c]:
+            close(c, i)
+        elif c == '"' or c in OPEN:
+            want = OPEN.get(c, c)
+            stack.append((want, i))
+            waits[want] += 1
     return found
 
 
+def _words_up_to(text: str, start: int, stop: int, most: int) -> int:
+    """How many words stand between, counted no further than `most`."""
+    return sum(1 for _ in islice(_TOKEN.finditer(text, start, stop), most))
+
+
 def _ends_at_stop(text: str, start: int, stop: int, after: int, end: int, quoted: bool, led: bool = False) -> bool:
     """Whether the marks that end before `after` end the sentence begun at `start`; stop: place of the last mark.
 
@@ -190,7 +209,6 @@ def _ends_at_stop(text: str, start: int, stop: int, after: int, end: int, quoted
         kind = abbreviation(text, start, stop)
         digit = c.isdigit()
         upper = c.isupper()
-        words = len(text[start:stop].split())
         if kind in ("title", "never"):
             return False
         if (w := _WORD_START.search(text, max(start, stop - 12), stop)) and _SPACED_AHEAD.match(text, w.start()):
@@ -204,20 +222,21 @@ def _ends_at_stop(text: str, start: int, stop: int, after: int, end: int, quoted
         if kind == "number":
             return not (digit or small or c in "(§#" or re.match(r"[A-Z]?\d|[IVXLC]+\b", text[nxt : nxt + 8]))
         if kind == "month":
-            return not (digit or small) and words > 3
+            return not (digit or small) and _words_up_to(text, start, stop, 4) > 3
         if kind == "soft":
             if small and PLAIN_STARTERS.match(text, nxt):
                 return True
             if digit or small:
                 return False
             lead = text[start : start + 8].lstrip("\"'“ ")
-            return not (words <= 5 and re.match(r"(?:By|At|Around|Before|After|Since|Until|From)\b", lead))
-        before = text[start:stop]
+            return not (_words_up_to(text, start, stop, 6) <= 5 and re.match(r"(?:By|At|Around|Before|After|Since|Until|From)\b", lead))
+        near = max(start, stop - 64)  # what the following rules look at; a longer sentence has words before it
+        before = text[near:stop]
         last = before[-1:]
         if last.isdigit():
             if ORDINAL_NEXT.match(text, nxt):
                 return False
-            if before.lstrip().isdigit() and len(before.strip()) <= 3:
+            if near == start and before.lstrip().isdigit() and len(before.strip()) <= 3:
                 return False  # a list number
         if len(before) >= 1 and last.isalpha() and last.isupper() and (len(before) == 1 or not before[-2].isalnum()):
             lead = before[:-1].rstrip()
@@ -272,7 +291,7 @@ def _cut_paragraph(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
                     if after >= b or not SPEECH_CJK.match(text, after) and not text[after] in "，、,；;：:とって":
                         yield start, after
                         start = after
-                elif spaced and _ends_at_stop(text, start, i - 1, after, b, True, any(map(str.isalpha, text[start : closers[i]]))):
+                elif spaced and _ends_at_stop(text, start, i - 1, after, b, True, _LETTER.search(text, start, closers[i]) is not None):
                     yield start, after
                     start = after
                 i = after
@@ -318,7 +337,7 @@ def _thai_end(text: str, i: int, b: int) -> bool:
         return False
     before, after = text[i - 1], text[j]
     if not (_THAI.match(before) and _THAI.match(after)):
-        return bool(_THAI.match(before)) and after in '"“'  and False
+        return False
     return after not in "ๆฯ"
 
 
