@@ -3,8 +3,10 @@
 Ordered rules over each pair, every one that triggers is named: emptiness, unclosed delimiters, refusal phrases in
 several languages, copied prompt text, script or language mismatch, abrupt endings. `first` is the pair's kind.
 
-Null and blank responses are empty. A null prompt can't be copied from; a null finish_reason is no evidence. Responses
-of any length are read whole. Rows that repeat give the same verdict and count once by cache_key; null keys drop.
+The finish reason is evidence, never a verdict: `content_filter` makes an answer that judges nothing a refusal, `length`
+an unrated one without an end truncated; a whole judgement is none, whatever its reason. An answer in the language of a
+prompt that isn't English is no mismatch. Null and blank responses are empty. A null prompt can't be copied from; a null
+finish_reason is no evidence. Responses of any length are read whole. Rows that repeat give the same verdict and count once by cache_key; null keys drop.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def defects(prompt: str | None, response: str | None, finish: str | None, run_wo
     if a.open:
         found.append("truncated")
     o, strings = a.object, a.strings
-    rated = o is not None and any(is_number(o.get(k)) for k in RATINGS)
+    rated = o is not None and any(is_number(v) and not _of_prompt(v, prompt) for v in map(o.get, RATINGS))
     if a.open:
         strings, rated = _readable(response)
     boxed = o is not None or a.open
@@ -139,15 +141,23 @@ def defects(prompt: str | None, response: str | None, finish: str | None, run_wo
         found.append("copied")
     asked = any(k in (strings if a.open else o or ()) for k in VALUES)
     judgement = strings.get("recommended_action", "") if asked else said
-    if judgement and not_english(one_look(judgement)):
+    if judgement and not_english(one_look(judgement)) and not (prompt and not_english(one_look(prompt))):
         found.append("other_language")
-    if not a.open and _broken(a, prompt or "", endings):
+    if not a.open and (_broken(a, prompt or "", endings) or finish == "length" and said and not rated and not ends_whole(said)):
         found.append("truncated")
-    if o is not None and not rated and not asked and a.strings and not {"refusal", "copied", "other_language"} & set(found):
+    told = {"refusal", "copied", "other_language"} & set(found)
+    if o is not None and not rated and not asked and a.strings and not told:
         found.append("refusal")  # an object that speaks but gives none of the values asked for
+    elif finish == "content_filter" and said and not rated and not _RATED.search(low) and not found:
+        found.append("refusal")  # it was filtered and judges nothing, whatever it says
     return found
 
 
+def _of_prompt(value: object, prompt: str | None) -> bool:
+    """A rating typed as text that is the prompt's own wording: several words of it in a row."""
+    return isinstance(value, str) and bool(prompt) and len(value.split()) > 2 and value.strip().casefold() in prompt.casefold()
+
+
 def _readable(text: str) -> tuple[dict[str, str], bool]:
     """What an object left open still holds: its texts by key, the last one maybe in part, and whether it is rated."""
     rest = text[text.find("{") :]

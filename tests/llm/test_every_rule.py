@@ -23,3 +23,23 @@ from test_kernels import PROMPT, STORY, answer
 )
 def test_every_rule_is_named(text, kinds):
     assert pairs.defects(PROMPT, text, "stop") == kinds
+
+
+SPANISH = "Lee esta historia sobre una pareja y di con un número de 0 a 10 quién de los dos tiene la culpa de la pelea que hay en ella."
+
+
+@pytest.mark.parametrize(
+    ("prompt", "text", "finish", "kinds"),
+    [
+        # the instructions' own wording is no rating
+        (PROMPT + " fault: a whole number from 0 to 10. action: a single sentence with the next step.", '{"fault_scroller": "a whole number from 0 to 10", "recommended_action": "a single sentence with the next step."}', "stop", ["copied"]),
+        (PROMPT, '{"fault_scroller": "7 out of 10", "recommended_action": "Talk about it."}', "stop", []),
+        # the finish reason is evidence where nothing is judged, and none where something is
+        (PROMPT, "Perhaps a walk would be nice.", "content_filter", ["refusal"]), (PROMPT, "Perhaps a walk would be nice.", "stop", []), (PROMPT, answer(), "content_filter", []),
+        (PROMPT, '{"recommended_action": "Talk about it and"}', "length", ["truncated"]), (PROMPT, '{"recommended_action": "Talk about it and"}', "stop", []), (PROMPT, answer("Talk about it"), "length", []),
+        # an answer in the prompt's own language
+        (SPANISH, "La culpa es de los dos y deberían hablar con calma después de la cena.", "stop", []), (PROMPT, "La culpa es de los dos y deberían hablar con calma después de la cena.", "stop", ["other_language"]),
+    ],
+)
+def test_prompt_and_finish_reason(prompt, text, finish, kinds):
+    assert pairs.defects(prompt, text, finish) == kinds
