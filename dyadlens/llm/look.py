@@ -1,7 +1,9 @@
 """Problem 4: one consistent form of texts that look the same.
 
 A compiled longest-match transducer over grapheme clusters: one table, precomputed by rule and checked for conflicts,
-maps widths, spaces, ligatures, quotation marks, hyphens, combining accents and look-alike letters in one pass.
+maps widths, spaces, ligatures, quotation marks, hyphens, combining accents and look-alike letters. One pass goes over
+the text and stops at stretches that hold anything but ASCII; each is read cluster by cluster, the longest entry of the
+table first, and look-alike letters are told by the script of the other letters of their word.
 
 Null stays null, '' stays ''. Letter case, other accents, other words and the number of spaces are kept: they can be
 seen. Texts of any length are mapped whole. Repeated rows give repeated results; extra columns pass through.
@@ -9,6 +11,7 @@ seen. Texts of any length are mapped whole. Repeated rows give repeated results;
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from functools import lru_cache
@@ -21,13 +24,17 @@ from pyspark.sql.types import StringType
 INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︎️﻿"
 #: Fixed values. Typographic shapes of quotation marks, apostrophes and hyphens.
 SHAPES = {'"': "“”„‟″«»❝❞〝〞＂", "'": "‘’‚‛′ʼʹ´‹›＇", "-": "‐‑‒–—―−﹘﹣－"}
-#: Fixed values. Look-alike letters: Cyrillic and Greek ones beside the Latin ones they are mistaken for.
-CYRILLIC = dict(zip("АВЕЗІЈКМНОРСТУХЅаеосрухіјѕһԁԛԝ", "ABE3IJKMHOPCTYXSaeocpyxijshdqw"))
-del CYRILLIC["З"]
+#: Fixed values. Look-alike letters of other scripts beside the Latin ones they are mistaken for.
+CYRILLIC = dict(zip("АВЕІЈКМНОРСТУХЅаеосрухіјѕһԁԛԝ", "ABEIJKMHOPCTYXSaeocpyxijshdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυ", "ABEZHIKMNOPTYXaivopu"))
+ARMENIAN = dict(zip("ՍՕհոսցօ", "UOhnugo"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏔᏙᏚᏞᏟᏢᏦ", "DRTiYAJEWMHGZbRWVSLCPK"))
+COPTIC = dict(zip("ⲈⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "EHIKMNOoPpCcTYX"))
 LATIN_EXTRA = {"ı": "i", "ɑ": "a", "ɡ": "g"}
-#: Blocks whose compatibility forms differ in width or joining only: full and half width, ligatures, mathematical letters.
-BLOCKS = ((0xFF01, 0xFFEE), (0xFB00, 0xFB06), (0x1D400, 0x1D7FF))
+#: Blocks whose compatibility forms differ in width or joining only: full and half width, ligatures, Roman numerals,
+#: mathematical letters.
+BLOCKS = ((0xFF01, 0xFFEE), (0xFB00, 0xFB06), (0x2160, 0x217F), (0x1D400, 0x1D7FF))
+MARKS = "\u0300-\u036f"
 
 
 class Conflict(ValueError):
@@ -80,74 +87,63 @@ def _accented(forms: dict[str, str], lo: int, hi: int) -> dict[str, str]:
     return out
 
 
-def _in_word(c: str) -> bool:
-    return c.isalpha() or "̀" <= c <= "ͯ" or "ऀ" <= c <= "෿"
-
-
 class Transducer:
     """Longest match over clusters (a base with its marks), then look-alikes by the word's script."""
 
     def __init__(self) -> None:
         self.table = build_table()
-        self._scripts = {name: forms | _accented(forms, lo, hi) for name, forms, lo, hi in (("CYRILLIC", CYRILLIC, 0x0400, 0x0530), ("GREEK", GREEK, 0x0370, 0x0400))}
-        self._forms = {**self._scripts["CYRILLIC"], **self._scripts["GREEK"], **LATIN_EXTRA}
-        alike = [*self._forms]
-        if clash := set(alike) & set(self.table):
-            raise Conflict(f"both mapped and look-alikes: {clash}")
-        # classes of the basic plane alone compile to a table; one with other planes would be searched item by item
-        singles = "".join(re.escape(k) for k in self.table if len(k) == 1 and k <= "\uffff")
-        marks = "̀-ͯ"
-        drop = "[" + re.escape(INVISIBLE) + "]*"
-        # a base letter with its marks is taken before a single character, so the longest match wins
-        self._find = re.compile(rf"[^\W\d_]{drop}(?:[{marks}]{drop})+|[{singles}]")
-        self._high = re.compile("[\U0001d400-\U0001d7ff]")
-        self._single = re.compile(f"[{singles}]")
-        self._mark = re.compile(f"[{marks}]")
-        self._alike = re.compile("[" + "".join(map(re.escape, alike)) + "]")
+        accented = {"CYRILLIC": (CYRILLIC, 0x0400, 0x0530), "GREEK": (GREEK, 0x0370, 0x0400)}
+        self._scripts = {name: forms | _accented(forms, lo, hi) for name, (forms, lo, hi) in accented.items()}
+        self._scripts |= {"ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE, "COPTIC": COPTIC}
+        self._forms: dict[str, str] = {}
+        for forms in (*self._scripts.values(), LATIN_EXTRA):
+            for k, form in forms.items():
+                # one reading a letter, none that the table maps as well, and none whose form is mapped again
+                if k in self.table or self._forms.setdefault(k, form) != form or form in self.table:
+                    raise Conflict(f"look-alike {k!r}: {form!r}")
+        if again := [k for k, form in self._forms.items() if form in self._forms]:
+            raise Conflict(f"look-alikes whose form is one: {again}")
+        self._back = {script: {v: k for k, v in reversed(forms.items())} for script, forms in self._scripts.items()}
+        # a stretch begins with the ASCII letters before the first other character and ends before ASCII that is no letter
+        self._stretch = re.compile(r"(?<![0-9A-Za-z_])[0-9A-Za-z_]*+[^\x00-\x7f]+[0-9A-Za-z_]*+(?:[^\x00-\x7f]+[0-9A-Za-z_]*+)*")
+        self._base = re.compile(f"[^{MARKS}][{MARKS}{re.escape(INVISIBLE)}]*|[{MARKS}]+", re.DOTALL)
+        self._words = re.compile(rf"(?:[^\W\d_]|[{MARKS}\u0900-\u0dff])+")
+        self._alike = re.compile("[" + "".join(map(re.escape, self._forms)) + "]")
         self._one = str.maketrans({k: v for k, v in self.table.items() if len(k) == 1})
+        self._memo: dict[str, str] = {}
 
     def _cluster(self, m: re.Match) -> str:
         got = m.group()
-        if len(got) == 1:
-            return self.table.get(got, got)
-        return unicodedata.normalize("NFC", got.translate(self._one))
-
-    def _by_script(self, word: str) -> str:
+        if (form := self.table.get(got)) is not None:
+            return form
+        form = got.translate(self._one)
+        return unicodedata.normalize("NFC", form) if len(form) > 1 and form[0].isalpha() and len(got) > 1 else form
+
+    def _by_script(self, m: re.Match) -> str:
+        word = m.group()
+        if not self._alike.search(word):
+            return word
         for script, forms in self._scripts.items():
             own = [c for c in word if unicodedata.name(c, "").startswith(script)]
             if own and any(c not in forms for c in own):  # truly of that script: mend Latin letters in it instead
-                back = {v: k for k, v in reversed(forms.items())}
+                back = self._back[script]
                 return "".join(back.get(c, c) for c in word) if len(own) < len(word) else word
         return unicodedata.normalize("NFC", "".join(self._forms.get(c, c) for c in word))
 
+    def _form(self, stretch: str) -> str:
+        out = self._base.sub(self._cluster, stretch)
+        return self._words.sub(self._by_script, out) if self._alike.search(out) else out
+
+    def _mapped(self, m: re.Match) -> str:
+        got = m.group()
+        if (form := self._memo.get(got)) is None:
+            form = self._form(got)
+            if len(got) < 40 and len(self._memo) < 1 << 17:
+                self._memo[got] = form
+        return form
+
     def __call__(self, text: str | None) -> str | None:
-        if text is None or text.isascii():
-            return text
-        if self._high.search(text):
-            text = self._high.sub(lambda m: self.table.get(m.group(), m.group()), text)
-        # which of the passes a text needs is told by one search each; most need none
-        if self._mark.search(text):
-            out = self._find.sub(self._cluster, text)
-        elif self._single.search(text):
-            out = self._single.sub(lambda m: self.table[m.group()], text)
-        else:
-            out = text
-        return self._words_mended(out) if self._alike.search(out) else out
-
-    def _words_mended(self, text: str) -> str:
-        """The text with each word that holds a look-alike read by its script; other words aren't touched."""
-        done, at = [], 0
-        for m in self._alike.finditer(text):
-            a, b = m.span()
-            if a < at:
-                continue
-            while a > at and _in_word(text[a - 1]):
-                a -= 1
-            while b < len(text) and _in_word(text[b]):
-                b += 1
-            done += (text[at:a], self._by_script(text[a:b]))
-            at = b
-        return "".join(done) + text[at:]
+        return text if text is None or text.isascii() else self._stretch.sub(self._mapped, text)
 
 
 @lru_cache(1)
@@ -181,28 +177,34 @@ def renderings(vignettes: DataFrame) -> DataFrame:
     return long.where("r_text is not null").groupBy("r_id", "r_variant").agg(F.min("r_text").alias("r_text"))
 
 
-def hot_ids(df: DataFrame, column: str, share: float = 0.005) -> list:
-    """Values that hold more than `share` of the rows: at most 1 / share of them, whatever the input."""
-    counted = df.groupBy(column).agg(F.count("*").alias("n"))
+def hot_ids(df: DataFrame, column: str, share: float = 0.005) -> dict:
+    """value -> rows, of values that hold more than `share` of the rows: at most 1 / share of them, whatever the input."""
+    counted = df.groupBy(column).agg(F.count("*").alias("n")).where(F.col(column).isNotNull())
     total = df.count()
-    return [r[0] for r in counted.where(F.col("n") > share * total).collect() if r[0] is not None]
+    return {r[0]: r["n"] for r in counted.where(F.col("n") > share * total).collect()}
+
+
+def salts_of(hot: dict, total: int, partitions: int) -> dict:
+    """How many parts each hot value is split into: none is larger than half of an even share of the rows."""
+    part = max(1.0, total / (2 * max(1, partitions)))
+    return {v: -(-n // math.ceil(part)) for v, n in hot.items()}
 
 
-def same_look(df: DataFrame, text: str, key: str, vignettes: DataFrame, passage: bool, salts: int = 16) -> DataFrame:
+def same_look(df: DataFrame, text: str, key: str, vignettes: DataFrame, passage: bool) -> DataFrame:
     """Distinct `key` of rows whose `text` differs from its rendering (or any passage of it) yet has the same form.
 
-    Rows of hot items (200 at most) are salted, and only their renderings repeated per salt; nothing is broadcast by
-    hand, since renderings grow with the data. Python sees only texts that differ.
+    Rows of hot items (200 at most) are salted, the more the larger they are against a partition, and only their
+    renderings repeated per salt; nothing is broadcast by hand, since renderings grow with the data. Python sees only
+    texts that differ.
     """
     left = df.select(F.col(key).alias("k"), F.col("vignette_id").alias("i"), F.col("variant").alias("v"), F.col(text).alias("t"))
     left = left.where("t is not null and trim(t) <> '' and k is not null")
     right = renderings(vignettes)
     hot = hot_ids(df, "vignette_id")
-    salt, every = F.lit(0), F.array(F.lit(0))
-    if hot:
-        salt = F.when(F.col("i").isin(hot), F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int")).otherwise(salt)
-        every = F.when(F.col("r_id").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(every)
-    left, right = left.withColumn("s", salt), right.withColumn("r_s", F.explode(every))
+    salts = salts_of(hot, df.count() if hot else 0, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of = lambda column: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in salts.items() for x in pair)), F.col(column)), F.lit(1)) if salts else F.lit(1)
+    left = left.withColumn("s", F.pmod(F.xxhash64("k"), of("i")).cast("int"))
+    right = right.withColumn("r_s", F.explode(F.sequence(F.lit(0), of("r_id").cast("int") - 1)))
     differs = F.col("t") != F.col("r_text")
     if passage:
         differs &= ~F.col("r_text").contains(F.col("t")) & F.col("t").rlike(r"\p{L}|\p{N}")
@@ -214,5 +216,3 @@ def same_look(df: DataFrame, text: str, key: str, vignettes: DataFrame, passage:
 def forms_of(df: DataFrame, *columns: str) -> DataFrame:
     """df with `<column>_form` for each of the columns."""
     return df.withColumns({f"{c}_form": unify(c) for c in columns})
-
-
