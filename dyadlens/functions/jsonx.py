@@ -35,33 +35,32 @@ def _valid(text: str) -> bool:
     return True
 
 
-def balanced_end(text: str, start: int) -> int | None:
-    """The offset behind the brace that closes the one at `start`; braces inside strings don't count."""
-    depth, quoted = 0, False
-    for m in _MARKS.finditer(text, start):
+def spans(text: str) -> list[tuple[int, int]]:
+    """Balanced spans by their start, inner ones included, at most MAX_SPANS; braces inside a span's strings don't count.
+
+    One pass. What is inside a string depends on where a span starts: seen from a start, a brace counts if as many
+    quotation marks (but for an even number) lie before it as before the start. So braces of either parity are matched
+    among themselves. A brace behind a backslash starts a span, too, but closes none; it waits beside the one it stands in.
+    """
+    stacks: tuple[list, list] = ([], [])  # of (start, whether it counts)
+    ends: dict[int, int] = {}
+    parity = 0
+    for m in _MARKS.finditer(text):
         mark = m.group()
         if mark == '"':
-            quoted = not quoted
-        elif quoted or mark[0] == "\\":
-            continue
+            parity ^= 1
         elif mark == "{":
-            depth += 1
-        else:
-            depth -= 1
-            if depth == 0:
-                return m.end()
-    return None
-
-
-def spans(text: str) -> list[tuple[int, int]]:
-    """Balanced spans by their start, inner ones included, at most MAX_SPANS."""
-    found: list[tuple[int, int]] = []
-    at = text.find("{")
-    while at >= 0 and len(found) < MAX_SPANS:
-        if (end := balanced_end(text, at)) is not None:
-            found.append((at, end))
-        at = text.find("{", at + 1)
-    return found
+            stacks[parity].append((m.start(), True))
+        elif mark == "\\{":
+            stacks[parity].append((m.start() + 1, False))
+        elif mark == "}":
+            stack = stacks[parity]
+            while stack:
+                start, counts = stack.pop()
+                ends[start] = m.end()
+                if counts:
+                    break
+    return [(a, ends[a]) for a in sorted(ends)[:MAX_SPANS]]
 
 
 def repair(text: str) -> dict | None:

@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from dyadlens.functions.jsonx import extract_object
+from dyadlens.functions.jsonx import MAX_SPANS, extract_object, spans
 
 OBJ = '{"a": 1, "b": "x"}'
 
@@ -32,3 +35,39 @@ def test_nan_parses_and_long_text_ends():
     got, status = extract_object('{"a": NaN}')
     assert status == "clean" and got["a"] != got["a"]
     assert extract_object("{" * 3000)[1] == "unparseable"
+
+
+def plain_spans(text):
+    """Each opening brace walked for itself."""
+    found = []
+    for start in (i for i, c in enumerate(text) if c == "{"):
+        depth, quoted, i = 0, False, start
+        while i < len(text) and len(found) < MAX_SPANS:
+            c = text[i]
+            if c == "\\":
+                i += 1
+            elif c == '"':
+                quoted = not quoted
+            elif not quoted and c in "{}":
+                depth += 1 if c == "{" else -1
+                if depth == 0:
+                    found.append((start, i + 1))
+                    break
+            i += 1
+    return found
+
+
+def test_spans_equal_a_walk_from_each_brace():
+    rng = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rng.choice('{{}}"\\a') for _ in range(rng.randint(0, 24)))
+        assert spans(text) == plain_spans(text), text
+
+
+def test_spans_take_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        t = time.perf_counter()
+        assert extract_object('{"a": ' * n)[1] == "unparseable" and len(spans("{}" * n)) == MAX_SPANS
+        took.append(time.perf_counter() - t)
+    assert took[1] < 10 * took[0] + 0.2
