@@ -105,10 +105,27 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
     return compaction.same_record_pairs(table(s, d, "raw_files"))
 
 
-@query()
+_FIELDS = ("cache_key", "model_id", "run_index", "user_prompt", "response_text", "finish_reason", "attempts")
+_DIGEST = "sha256(concat_ws('|', " + ", ".join("coalesce(body->>'$." + c + "', '-')" for c in _FIELDS) + "))"
+_BOM = "regexp_replace(body, '^﻿', '')"
+_LAST = f"last AS (SELECT body->>'$.cache_key' AS k, arg_max(body, (modified_at, file_id)) AS body FROM (SELECT file_id, modified_at, {_BOM} AS body FROM raw_files WHERE json_valid({_BOM})) GROUP BY k)"
+
+
+@query(f"WITH {_LAST} SELECT k AS cache_key, {_DIGEST} AS content FROM last")
 def p2_compact(s: SparkSession, d: str) -> DataFrame:
-    """The compacted files, written below the shared folder."""
-    return compaction.compact(table(s, d, "raw_files"), shared_dir(s, "compacted"))
+    """The records of the compacted files, written below the shared folder, with a digest of what they hold."""
+    into = shared_dir(s, "compacted")
+    compaction.compact(table(s, d, "raw_files"), into)
+    fields = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _FIELDS))
+    return compaction.compacted(s, into).select("cache_key", F.sha2(fields, 256).alias("content"))
+
+
+@query(f"WITH {_HELD} SELECT file_id, k AS cache_key, min(file_id) OVER (PARTITION BY k) AS first_file, count(*) OVER (PARTITION BY k) AS n_files FROM held")
+def p2_groups(s: SparkSession, d: str) -> DataFrame:
+    """Each file with the first one that holds the same record: the groups that the pairs are made of."""
+    into = shared_dir(s, "compacted")
+    compaction.compact(table(s, d, "raw_files"), into)
+    return compaction.file_groups(s, into)
 
 
 @query(f"WITH {_HELD} SELECT k AS cache_key, count(*) AS n_files FROM held GROUP BY k")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +38,24 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests, a single machine) one in the local temporary folder is set.
+    Where the session names none, a single machine (a local master, as in tests) gets a temporary folder that goes with
+    the process; anywhere else it is an error, since each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "dyadlens-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="dyadlens-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def map_rows(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str, *args: object) -> DataFrame:
     """kernel(columns: dict[str, list], *args) -> rows, once per Arrow batch.
 
