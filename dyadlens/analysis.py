@@ -10,53 +10,80 @@ from .operators import scoring, stats
 from .schemas import CATEGORIES
 
 
+#: The two hypotheses: the contrast, and the two sides whose effect size goes with it.
+HYPOTHESES = {"H1": ("gap", "first", "second"), "H2": ("gap_frame_diff", "gap_a", "gap_b")}
+
+
 class Analysis:
-    """All frames of one scored table; good and cells are persisted once and shared by the tests."""
+    """All frames of one scored table. The cells, which all tests share, are kept until `close`; with `with` until its end.
 
-    def __init__(self, scored: DataFrame, design: C.Design = C.AUDIT, metric: str = "fault_scroller", seed: int = 20260914, resamples: int = 10_000) -> None:
+    Seeds are those of the protocol's order: every test of every slot draws its own numbers. Slots are few; more than
+    `most_slots` are refused.
+    """
+
+    def __init__(self, scored: DataFrame, design: C.Design = C.AUDIT, metric: str = "fault_scroller", seed: int = 20260914, resamples: int = 10_000, most_slots: int = 1_000) -> None:
         self.scored, self.design, self.metric, self.seed, self.resamples = scored, design, metric, seed, resamples
         self.good = scoring.analysable(scored)
         self.cells = C.cell_means(self.good, [metric, "fault_partner", "severity"], design, ("model_id",)).persist()
         self.gaps = C.paired_gaps(self.cells, metric, design)
         self.complete = C.complete_gaps(self.cells, metric, design)
+        found = self.cells.select(design.slot).where(F.col(design.slot).isNotNull()).distinct().limit(most_slots + 1).collect()
+        if len(found) > most_slots:
+            raise ValueError(f"more than {most_slots} slots")
+        self.slots = sorted(r[0] for r in found)
+
+    def __enter__(self) -> Analysis:
+        return self
 
-    def _tests(self, gaps: DataFrame) -> DataFrame:
-        by = [self.design.slot]
-        parts = []
-        for name, column, a, b in (("H1", "gap", "first", "second"), ("H2", "gap_frame_diff", "gap_a", "gap_b")):
-            t = stats.signed_rank_test(gaps, column, by).join(stats.cliffs_delta(gaps, a, b, by).select(*by, "delta"), by, "left")
-            ci = stats.bootstrap_ci(gaps, column, by, self.design.item, self.resamples, seed=self.seed + (name == "H2"))
-            parts.append(t.join(ci.select(*by, "ci_lo", "ci_hi"), by, "left").withColumn("hypothesis", F.lit(name)))
-        return parts[0].unionByName(parts[1])
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Let go of what is kept."""
+        self.cells.unpersist()
+
+    def _seeds(self, of) -> dict[tuple, int]:  # noqa: ANN001
+        """(slot, hypothesis) -> seed."""
+        return {(s, h): self.seed + of(i, k) for i, s in enumerate(self.slots) for k, h in enumerate(HYPOTHESES)}
+
+    def _tests(self, gaps: DataFrame, seeds: dict[tuple, int]) -> DataFrame:
+        by = [self.design.slot, "hypothesis"]
+        long = stats.stacked(gaps, HYPOTHESES, (self.design.slot, self.design.item))
+        t = stats.signed_rank_test(long, "value", by).join(stats.cliffs_delta(long, "a", "b", by).select(*by, "delta"), by, "left")
+        ci = stats.bootstrap_ci(long, "value", by, self.design.item, self.resamples, seed=self.seed, seeds=seeds)
+        return t.join(ci.select(*by, "ci_lo", "ci_hi"), by, "left")
 
     def primary(self) -> DataFrame:
-        """H1 and H2 of every slot, corrected as one family."""
-        return stats.holm(self._tests(self.gaps).withColumn("_f", F.lit(1)).withColumn("_t", F.concat(self.design.slot, "hypothesis")), "p", ["_f"], "_t").drop("_f", "_t")
+        """H1 and H2 of every slot, corrected as one family; a test's seed grows by its place among them."""
+        tests = self._tests(self.gaps, self._seeds(lambda i, k: len(HYPOTHESES) * i + k))
+        return stats.holm(tests.withColumn("_f", F.lit(1)).withColumn("_t", F.concat(self.design.slot, "hypothesis")), "p", ["_f"], "_t").drop("_f", "_t")
 
     def sensitivity(self) -> DataFrame:
         """The same over complete items, uncorrected, with the matched-pair signs."""
-        by = [self.design.slot]
-        tests = self._tests(self.complete)
-        signs = [stats.sign_statistic(self.complete, c, by).withColumn("hypothesis", F.lit(h)) for h, c in (("H1", "gap"), ("H2", "gap_frame_diff"))]
-        return tests.join(signs[0].unionByName(signs[1]), [*by, "hypothesis"], "left")
+        by = [self.design.slot, "hypothesis"]
+        signs = stats.sign_statistic(stats.stacked(self.complete, HYPOTHESES, (self.design.slot,)), "value", by)
+        return self._tests(self.complete, self._seeds(lambda i, k: 5000 * (i + 1) + k + 1)).join(signs, by, "left")
 
     def per_frame(self) -> DataFrame:
-        """T-E: the gap within each frame, uncorrected, and the third level's mean."""
-        by = [self.design.slot]
-        parts = []
-        for frame, column in ((self.design.frame_a, "gap_a"), (self.design.frame_b, "gap_b")):
-            ci = stats.bootstrap_ci(self.gaps, column, by, self.design.item, self.resamples, seed=self.seed).select(*by, "ci_lo", "ci_hi")
-            parts.append(stats.signed_rank_test(self.gaps, column, by).join(ci, by).withColumn("frame", F.lit(frame)))
-        third = self.gaps.groupBy(*by).agg(F.round(F.avg("third"), 9).alias("third_mean"))
-        return parts[0].unionByName(parts[1]).join(third, by)
+        """T-E: the gap within each frame, uncorrected, all with one seed, and the third level's mean."""
+        by = [self.design.slot, "frame"]
+        sides = {self.design.frame_a: ("gap_a", "gap_a", "gap_a"), self.design.frame_b: ("gap_b", "gap_b", "gap_b")}
+        long = stats.stacked(self.gaps, sides, (self.design.slot, self.design.item)).withColumnRenamed("hypothesis", "frame")
+        ci = stats.bootstrap_ci(long, "value", by, self.design.item, self.resamples, seed=self.seed).select(*by, "ci_lo", "ci_hi")
+        third = self.gaps.groupBy(self.design.slot).agg(F.round(F.avg("third"), 9).alias("third_mean"))
+        return stats.signed_rank_test(long, "value", by).join(ci, by).join(third, self.design.slot)
 
     def categories(self) -> DataFrame:
         """H3: chi-square of categories against frames."""
         return stats.chi_square_test(self.good.where(F.col("action_category").isin(*CATEGORIES)), "action_category", self.design.frame, [self.design.slot])
 
+    def _slot_seed(self, slot: str) -> int:
+        return self.seed + 1000 * (self.slots.index(slot) + 1)
+
     def category_permutation(self) -> DataFrame:
         """H3 sensitivity: the omnibus sign-flip test."""
-        return stats.permutation_test(self.category_diffs(), CATEGORIES, [self.design.slot], self.design.item, self.resamples, self.seed)
+        seeds = {(s,): self._slot_seed(s) + 500 for s in self.slots}
+        return stats.permutation_test(self.category_diffs(), CATEGORIES, [self.design.slot], self.design.item, self.resamples, self.seed, seeds)
 
     def category_diffs(self) -> DataFrame:
         """Category contrasts of complete items."""
@@ -64,13 +91,10 @@ class Analysis:
 
     def category_intervals(self) -> DataFrame:
         """The bootstrap interval of each category's mean contrast; each category has a seed of its own."""
-        diffs, by, parts = self.category_diffs(), [self.design.slot], []
-        for i, c in enumerate(CATEGORIES):
-            parts.append(stats.bootstrap_ci(diffs, f"diff_{c}", by, self.design.item, self.resamples, seed=self.seed + i).withColumn("action_category", F.lit(c)))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        slot = self.design.slot
+        long = stats.stacked(self.category_diffs(), {c: (f"diff_{c}",) * 3 for c in CATEGORIES}, (slot, self.design.item)).withColumnRenamed("hypothesis", "action_category")
+        seeds = {(s, c): self._slot_seed(s) + i for s in self.slots for i, c in enumerate(CATEGORIES)}
+        return stats.bootstrap_ci(long, "value", [slot, "action_category"], self.design.item, self.resamples, seed=self.seed, seeds=seeds)
 
     def flags(self) -> DataFrame:
         """H4: chi-square of the distress flag against the first factor, over items with a cue."""

@@ -94,8 +94,8 @@ def score_of(kind: Column, raw: Column) -> Column:
 
 
 def flag_of(kind: Column, raw: Column) -> Column:
-    """A truth value from booleans, numbers (any but 0 is true) and words."""
-    word = F.lower(F.trim(raw))
+    """A truth value from booleans, numbers (any but 0 is true) and words, whatever white space stands around them."""
+    word = F.lower(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""))
     return (
         F.when(kind == "boolean", word == "true")
         .when(kind == "number", F.coalesce(raw.try_cast("double") != 0, F.lit(True)))

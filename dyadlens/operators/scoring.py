@@ -7,6 +7,7 @@ columns of the input are left out; rows that repeat are scored each, so the resu
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +29,8 @@ def kind_of(value: object) -> tuple[str, str | None]:
     if isinstance(value, (int, float)):
         return "number", repr(value)
     if isinstance(value, str):
-        return "string", value
+        # digits of any script are digits of a number
+        return "string", value if value.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value)
     return ("null", None) if value is None else ("other", json.dumps(value))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Callable
 
@@ -187,7 +188,7 @@ def f1_score(s: SparkSession, d: str) -> DataFrame:
     return scoring.score(table(s, d, "raw"))
 
 
-_GIVEN = ("cache_key", "distress_cue", "parse_status", "parse_ok", "missing_keys", "fault_scroller", "fault_partner", "fault_total", "severity", "recommended_action", "evidence_quote", "quote_verbatim", "quote_match_mode", "distress_flagged", "response_chars")
+_GIVEN = ("cache_key", "model_slot", "model_id", "provider", "vignette_id", "gender", "culture", "variant", "run_index", "distress_cue", "parse_status", "parse_ok", "missing_keys", "fault_scroller", "fault_partner", "fault_total", "severity", "recommended_action", "evidence_quote", "quote_verbatim", "quote_match_mode", "distress_flagged", "response_chars")
 
 
 @query(f"SELECT DISTINCT {', '.join(_GIVEN)} FROM scored")
@@ -207,14 +208,46 @@ def j1_extract(s: SparkSession, d: str) -> DataFrame:
     return scoring.score_summary(scoring.extraction_status(df.select(ways.alias("t")), "t"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f]+', ' ', 'g')) AS normal FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x5f\\x61-\\x7f]*', 's')")
+def _values(table: dict[str, str]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(c)}, {quoted(m)})" for c, m in table.items())
+
+
+def _normal_sql(texts: str) -> str:
+    """CTEs that end in norm(t, normal): the normalised form of the texts `texts` selects as t.
+
+    Made of the Unicode database: each compatibility character's decomposition, composed again by nfc_normalize; then the
+    fold table, case folding and white space by character. DuckDB itself has neither NFKC nor case folding.
+    """
+    every = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    apart = {c: k for c in every if (k := unicodedata.normalize("NFKD", c)) != unicodedata.normalize("NFD", c)}
+    folded = {c: X.FOLD.get(c, c).casefold() for c in (*map(chr, range(0x80)), *every)}
+    folded |= {c: " " for c in (*map(chr, range(0x80)), *every) if c.isspace()}
+    folded = {c: m for c, m in folded.items() if c != m}
+    return (
+        f"texts AS (SELECT DISTINCT t FROM ({texts}) WHERE t <> ''), k(c, m) AS (VALUES {_values(apart)}), f(c, m) AS (VALUES {_values(folded)}), "
+        "u AS (SELECT t, unnest(string_split(t, '')) AS c, unnest(range(1, length(t) + 1)) AS i FROM texts), "
+        "composed AS (SELECT t, nfc_normalize(string_agg(coalesce(m, u.c), '' ORDER BY i)) AS n FROM u LEFT JOIN k ON u.c = k.c GROUP BY t), "
+        "w AS (SELECT t, unnest(string_split(n, '')) AS c, unnest(range(1, length(n) + 1)) AS i FROM composed), "
+        "norm AS (SELECT t, trim(regexp_replace(string_agg(coalesce(m, w.c), '' ORDER BY i), ' +', ' ', 'g')) AS normal FROM w LEFT JOIN f ON w.c = f.c GROUP BY t)"
+    )
+
+
+@query(f"WITH {_normal_sql('SELECT text AS t FROM documents')} SELECT doc_id, coalesce(normal, '') AS normal FROM documents LEFT JOIN norm ON text = t WHERE text IS NOT NULL")
 def x1_normalise(s: SparkSession, d: str) -> DataFrame:
-    """Normalised text of all documents; the SQL says it of those in ASCII without a backtick only."""
+    """Normalised text of all documents."""
     df = table(s, d, "documents", "doc_id", "text").where("text is not null")
     return df.select("doc_id", X.normalise("text").alias("normal"))
 
 
-@query()
+_TRIM = "trim({0}, '" + X.TRIMMED.replace("'", "''") + "')"
+
+
+@query(
+    f"WITH src AS (SELECT id, e.key AS variant, e.value AS source FROM (SELECT id, unnest(map_entries(variants)) AS e FROM vignettes)), {_normal_sql('SELECT evidence_quote AS t FROM scored UNION ALL SELECT source FROM src')}, "
+    "j AS (SELECT cache_key, evidence_quote AS q, coalesce(a.normal, '') AS nq, coalesce(b.normal, '') AS ns FROM scored s JOIN src ON src.id = s.vignette_id AND src.variant = s.variant LEFT JOIN norm a ON s.evidence_quote = a.t LEFT JOIN norm b ON src.source = b.t) "
+    f"SELECT cache_key, CASE WHEN q IS NULL OR trim(q) = '' OR nq = '' OR ns = '' THEN 'empty' WHEN contains(ns, nq) THEN 'exact' WHEN {_TRIM.format('nq')} <> '' AND contains(ns, {_TRIM.format('nq')}) THEN 'trimmed' ELSE 'none' END AS quote_match_mode FROM j"
+)
 def x2_check_quote(s: SparkSession, d: str) -> DataFrame:
     """How each quote of a scored row stands in its rendering."""
     v = table(s, d, "vignettes", "id", "variants").select(F.col("id").alias("vignette_id"), F.explode("variants").alias("variant", "source"))
@@ -223,12 +256,12 @@ def x2_check_quote(s: SparkSession, d: str) -> DataFrame:
     return j.select("cache_key", mode.alias("quote_match_mode"))
 
 
-_RULES_SQL = "CASE " + " ".join("WHEN regexp_matches(t, '" + "|".join(ps).replace("'", "''") + f"') THEN '{c}'" for c, ps in X.ACTION_RULES.items()) + " ELSE 'unclassified' END"
+_RULES_SQL = "CASE " + " ".join("WHEN regexp_matches(n, '" + "|".join(ps).replace("'", "''") + f"') THEN '{c}'" for c, ps in X.ACTION_RULES.items()) + " ELSE 'unclassified' END"
 
 
-@query(f"SELECT {_RULES_SQL} AS category, count(*) AS n FROM (SELECT lower(recommended_action) AS t FROM scored WHERE recommended_action IS NOT NULL AND regexp_full_match(recommended_action, '[\\x20-\\x5f\\x61-\\x7e]*') AND NOT contains(recommended_action, '  ')) GROUP BY ALL")
+@query(f"WITH {_normal_sql('SELECT recommended_action AS t FROM scored')} SELECT {_RULES_SQL} AS category, count(*) AS n FROM (SELECT coalesce(normal, '') AS n FROM scored LEFT JOIN norm ON recommended_action = t WHERE recommended_action IS NOT NULL) GROUP BY ALL")
 def x3_classify(s: SparkSession, d: str) -> DataFrame:
-    """Categories of all recommended actions; the SQL counts those in ASCII with single spaces only."""
+    """Categories of all recommended actions."""
     df = _scored(s, d).where("recommended_action is not null")
     return df.groupBy(X.classify(X.normalise("recommended_action")).alias("category")).agg(F.count("*").alias("n"))
 
@@ -266,20 +299,35 @@ def m1_cache_key(s: SparkSession, d: str) -> DataFrame:
     return df.select("cache_key", X.cache_key(*(F.col(c) for c in ("model_id", "reasoning_effort", "reasoning_format", "run_index", "system_prompt", "user_prompt"))).alias("computed"))
 
 
-@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 7.0 WHEN 3 THEN 5.0 WHEN 6 THEN 8.5 END::DOUBLE AS score FROM events")
+_TYPED = ("' ' || (event_id % 23 - 6)::VARCHAR || '/10'", "(event_id % 150 / 10.0)::DECIMAL(9, 1)::VARCHAR", "event_type || ' ' || (event_id % 13)::VARCHAR || '-' || (event_id % 7)::VARCHAR", "event_type")
+
+
+@query(
+    f"WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN {_TYPED[0]} WHEN 1 THEN {_TYPED[1]} WHEN 2 THEN {_TYPED[2]} ELSE {_TYPED[3]} END AS raw FROM events), "
+    "x AS (SELECT event_id, try_cast(nullif(regexp_extract(raw, '-?[0-9]+(?:[.][0-9]+)?'), '') AS DOUBLE) AS v FROM t) SELECT event_id, CASE WHEN v BETWEEN 0 AND 10 THEN v END AS score FROM x"
+)
 def c1_score(s: SparkSession, d: str) -> DataFrame:
-    """Ratings from texts."""
-    m = F.col("event_id") % 7
-    raw = F.when(m == 0, "7/10").when(m == 1, "-3").when(m == 2, "high").when(m == 3, "5-10").when(m == 4, "11").when(m == 6, "8.5")
-    return table(s, d, "events", "event_id").select("event_id", X.score_of(F.lit("string"), raw).alias("score"))
+    """Ratings from texts, typed in four ways."""
+    n, m, kind = F.col("event_id"), F.col("event_id") % 4, F.col("event_type")
+    text = lambda c: c.cast("string")
+    raw = F.when(m == 0, F.concat(F.lit(" "), text(n % 23 - 6), F.lit("/10"))).when(m == 1, text((n % 150 / 10.0).cast("decimal(9,1)"))).when(m == 2, F.concat(kind, F.lit(" "), text(n % 13), F.lit("-"), text(n % 7))).otherwise(kind)
+    return table(s, d, "events", "event_id", "event_type").select("event_id", X.score_of(F.lit("string"), raw).alias("score"))
+
 
+_WORDS = ("yes", "No", " TRUE", "false\n", "Y", "n\t", "1", "0 ", "maybe", "", "\u00a0yes\u2003", "truth")
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN NULL ELSE false END AS flag FROM events")
+
+@query(
+    "WITH w AS (SELECT event_id, event_id % 15 AS m, list_extract([" + ", ".join("'" + w.replace("'", "''") + "'" for w in _WORDS) + "], (event_id % 15)::INT + 1) AS t FROM events), "
+    "x AS (SELECT event_id, m, lower(regexp_replace(t, '^[\\s\\x{a0}\\x{2003}]+|[\\s\\x{a0}\\x{2003}]+$', '', 'g')) AS t FROM w) "
+    "SELECT event_id, CASE WHEN m = 12 THEN event_id % 2 <> 0 WHEN m = 13 THEN true WHEN m = 14 THEN event_id % 2 = 1 WHEN t IN ('true', 'yes', 'y', '1') THEN true WHEN t IN ('false', 'no', 'n', '0') THEN false END AS flag FROM x"
+)
 def c2_flag(s: SparkSession, d: str) -> DataFrame:
-    """Truth values from texts and numbers."""
-    m = F.col("event_id") % 5
-    kind = F.when(m == 2, "number").otherwise("string")
-    raw = F.when(m == 0, " Yes ").when(m == 1, "no").when(m == 2, "2").when(m == 3, "maybe").otherwise("0")
+    """Truth values from words, numbers and truth values; any white space around a word is taken off."""
+    n, m = F.col("event_id"), F.col("event_id") % 15
+    kind = F.when(m.isin(12, 13), "number").when(m == 14, "boolean").otherwise("string")
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), F.least(m, F.lit(len(_WORDS) - 1)).cast("int") + 1)
+    raw = F.when(m == 12, (n % 2).cast("string")).when(m == 13, "NaN").when(m == 14, (n % 2 == 1).cast("string")).otherwise(word)
     return table(s, d, "events", "event_id").select("event_id", X.flag_of(kind, raw).alias("flag"))
 
 
@@ -567,13 +615,37 @@ def a15_histogram(s: SparkSession, d: str) -> DataFrame:
     return stats.histogram(_gaps(s, d), "gap", ["model_slot"])
 
 
-@query()
+# both tails of the normal distribution by the series of erf; below 1e-8 beyond 6
+_NORMAL_P = "CASE WHEN abs(z) > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 140), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(greatest(abs(z) / sqrt(2), 1e-12)) - lgamma(i + 1)) / (2 * i + 1))) END"
+_BOTH = " UNION ALL ".join(f"SELECT *, '{h}' AS hypothesis FROM ({_signed_rank_sql(GAPS, 'gaps', v, 'model_slot')})" for h, v in (("H1", "gap"), ("H2", "gap_frame_diff")))
+_HOLM = "r AS (SELECT *, row_number() OVER (ORDER BY p, model_slot || hypothesis) AS k, count(p) OVER () AS m FROM t WHERE p IS NOT NULL), a AS (SELECT *, max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY k) AS p_holm FROM r)"
+
+
+@query(
+    f"WITH b AS ({_BOTH}), t AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN n_nonzero = 0 THEN 1.0 ELSE {_NORMAL_P} END AS p FROM b), {_HOLM} "
+    "SELECT t.model_slot, t.hypothesis, t.n, t.w, round(t.p, 6) AS p, round(a.p_holm, 6) AS p_holm, coalesce(a.p_holm < 0.05, false) AS reject FROM t LEFT JOIN a ON t.model_slot = a.model_slot AND t.hypothesis = a.hypothesis"
+)
 def tw_test(s: SparkSession, d: str) -> DataFrame:
     """The signed-rank test with p, corrected over both hypotheses and all slots."""
-    g = _gaps(s, d)
-    tests = [stats.signed_rank_test(g, c, ["model_slot"]).withColumn("hypothesis", F.lit(h)) for h, c in (("H1", "gap"), ("H2", "gap_frame_diff"))]
-    both = tests[0].unionByName(tests[1]).withColumn("test", F.concat("model_slot", "hypothesis")).withColumn("family", F.lit("primary"))
-    return stats.holm(both, "p", ["family"], "test")
+    long = stats.stacked(_gaps(s, d), {"H1": ("gap",) * 3, "H2": ("gap_frame_diff",) * 3}, ("model_slot",))
+    both = stats.signed_rank_test(long, "value", ["model_slot", "hypothesis"]).withColumn("test", F.concat("model_slot", "hypothesis")).withColumn("family", F.lit("primary"))
+    return stats.holm(both, "p", ["family"], "test").select("model_slot", "hypothesis", "n", "w", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "reject")
+
+
+_NATIONS = "g AS (SELECT n_regionkey AS region, c_nationkey AS nation, round(avg(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') - avg(c_acctbal) FILTER (WHERE c_mktsegment <> 'BUILDING'), 6) AS gap FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"
+
+
+@query(
+    f"WITH {_NATIONS}, r AS (SELECT region, gap, row_number() OVER (PARTITION BY region ORDER BY abs(gap)) AS r, count(*) OVER (PARTITION BY region) AS n FROM g), w AS (SELECT region, n, least(coalesce(sum(r) FILTER (WHERE gap > 0), 0), coalesce(sum(r) FILTER (WHERE gap < 0), 0)) AS w FROM r GROUP BY ALL), "
+    "masks AS (SELECT region, n, w, unnest(range(0, (1 << n::INT)::BIGINT)) AS mask FROM w), s AS (SELECT region, n, w, mask, list_sum(list_transform(range(1, n + 1), lambda i: ((mask >> (i - 1)::INT) & 1) * i)) AS plus FROM masks) "
+    "SELECT region, n, w::DOUBLE AS w, round(least(1.0, 2.0 * count(*) FILTER (WHERE plus <= w) / count(*)), 6) AS p FROM s GROUP BY region, n, w"
+)
+def tw_exact(s: SparkSession, d: str) -> DataFrame:
+    """The exact signed-rank p of small groups: nations by region, checked against all choices of signs."""
+    side = lambda cond: F.avg(F.when(cond, F.col("c_acctbal")))
+    g = table(s, d, "customer").join(table(s, d, "nation", "n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("region"), "c_nationkey")
+    g = g.agg(F.round(side(F.col("c_mktsegment") == "BUILDING") - side(F.col("c_mktsegment") != "BUILDING"), 6).alias("gap"))
+    return stats.signed_rank_test(g, "gap", ["region"]).select("region", "n", "w", F.round("p", 6).alias("p"))
 
 
 @query()
@@ -594,10 +666,16 @@ def tp_permutation(s: SparkSession, d: str) -> DataFrame:
     return stats.permutation_test(_diffs(s, d), CATEGORIES, ["model_slot"], "vignette_id", resamples=10_000)
 
 
-@query()
+# the upper tail of the chi-square distribution by the series of the lower one
+_CHI_P = "round(greatest(0.0, 1 - exp(dof / 2.0 * ln(greatest(chi2, 1e-300) / 2) - chi2 / 2 - lgamma(dof / 2.0 + 1)) * list_sum(list_transform(range(0, 400), lambda i: exp(i * ln(greatest(chi2, 1e-300) / 2) + lgamma(dof / 2.0 + 1) - lgamma(dof / 2.0 + i + 1))))), 6)"
+_ACTIONS = _chi_sql(GOOD + ", cl AS (SELECT * FROM good WHERE action_category IN ('" + "', '".join(CATEGORIES) + "')), ", "cl", "action_category", "culture", "model_slot", False)
+
+
+@query(f"SELECT *, {_CHI_P} AS p FROM ({_ACTIONS})")
 def tx_test(s: SparkSession, d: str) -> DataFrame:
     """The chi-square test of categories with p."""
-    return stats.chi_square_test(_good(s, d).where(F.col("action_category").isin(*CATEGORIES)), "action_category", "culture", ["model_slot"])
+    t = stats.chi_square_test(_good(s, d).where(F.col("action_category").isin(*CATEGORIES)), "action_category", "culture", ["model_slot"])
+    return t.withColumn("p", F.round("p", 6))
 
 
 @query("WITH a AS (SELECT model_slot, action_category, culture FROM scored WHERE model_slot IS NOT NULL) SELECT model_slot, action_category, count(*) FILTER (WHERE culture = 'north_american') AS north_american, count(*) FILTER (WHERE culture = 'south_asian') AS south_asian FROM a WHERE action_category IS NOT NULL AND culture IS NOT NULL GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Queries that SQL can say for a part of the rows only, over all rows against brute force."""
+"""Normalisation and classification over all rows against brute force, beside their SQL."""
 
 import re
 import unicodedata
