@@ -5,6 +5,7 @@ Null in, null out, unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -119,6 +120,16 @@ def blank_to_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def whole_object(c: Column) -> Column:
+    """A text is one JSON object and nothing else; null or false if not. Native parsers stop behind an object and take
+    what follows for granted, so the text's skeleton (its strings emptied, NaN and infinities as 0) is put into an object
+    of two keys."""
+    skeleton = F.regexp_replace(c, r'"(?:[^"\\]++|\\.)*+"', '""')
+    skeleton = F.regexp_replace(skeleton, r"-?\b(?:NaN|Infinity)\b", "0")
+    keys = F.json_object_keys(F.concat(F.lit('{"r":'), skeleton, F.lit(',"end":1}')))
+    return c.startswith("{") & (keys == F.array(F.lit("r"), F.lit("end")))
+
+
 def missing_keys(required: Sequence[str], present: Column) -> Column:
     """Required keys that are not there, in order, joined by '|'. present: array of keys, null if unparsed."""
     wanted = F.array(*map(F.lit, required))
@@ -188,3 +199,19 @@ def stage_of(cached: Column, target: Column, locked: Column) -> Column:
 def percent(cached: Column, target: Column) -> Column:
     """M9: percent complete, 0 without a target."""
     return F.when(target > 0, cached / target * 100.0).otherwise(F.lit(0.0))
+
+
+def register(spark) -> list[str]:  # noqa: ANN001
+    """The scalar functions that run in Python, by name, for SQL: normalise_text(text) and extract_json(text)."""
+    import pandas as pd
+
+    from .jsonx import extract_object
+
+    @F.pandas_udf("status string, object string")
+    def extract_json(texts):  # noqa: ANN001, ANN202
+        got = [extract_object(t) for t in texts]
+        return pd.DataFrame({"status": [s for _, s in got], "object": [None if o is None else json.dumps(o, ensure_ascii=False) for o, _ in got]})
+
+    spark.udf.register("normalise_text", _normalise)
+    spark.udf.register("extract_json", extract_json)
+    return ["normalise_text", "extract_json"]

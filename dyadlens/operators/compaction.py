@@ -21,6 +21,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import whole_object
 from ..schemas import RAW
 from ..session import shared_dir
 
@@ -37,20 +38,11 @@ class Mismatch(RuntimeError):
     """The written files do not hold the records read; nothing was swapped."""
 
 
-def _whole(body: Column) -> Column:
-    """The body is one JSON object and nothing else. Native parsers stop behind an object and take what follows for
-    granted, so the body's skeleton (its strings emptied, NaN and infinities as 0) is put into an object of two keys."""
-    skeleton = F.regexp_replace(body, r'"(?:[^"\\]++|\\.)*+"', '""')
-    skeleton = F.regexp_replace(skeleton, r"-?\b(?:NaN|Infinity)\b", "0")
-    keys = F.json_object_keys(F.concat(F.lit('{"r":'), skeleton, F.lit(',"end":1}')))
-    return body.startswith("{") & (keys == F.array(F.lit("r"), F.lit("end")))
-
-
 def complete_records(files: DataFrame) -> DataFrame:
     """(file_id, modified_at, cache_key, body) of each file that holds a complete record. No shuffle, no Python."""
     body = F.regexp_replace("body", "^[﻿\\s]+|\\s+$", "")
     key = F.from_json(body, "cache_key string")["cache_key"]
-    got = files.select("file_id", "modified_at", body.alias("body"), key.alias("cache_key"), _whole(body).alias("whole"))
+    got = files.select("file_id", "modified_at", body.alias("body"), key.alias("cache_key"), whole_object(body).alias("whole"))
     return got.where("whole and cache_key is not null and cache_key <> ''").select("file_id", "modified_at", "cache_key", "body")
 
 

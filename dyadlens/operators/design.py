@@ -40,6 +40,14 @@ def with_keys(plan: DataFrame, template: str, system: str, effort: Column | None
     return df.withColumn("cache_key", key)
 
 
+def of_slot(options: dict[str, str | None]) -> Column:
+    """A slot's own option; null where it has none."""
+    out = F.lit(None).cast("string")
+    for slot, value in options.items():
+        out = F.when(F.col("model_slot") == slot, F.lit(value).cast("string")).otherwise(out)
+    return out
+
+
 def pending(plan: DataFrame, cached: DataFrame, key: str | Sequence[str] = "cache_key") -> DataFrame:
     """Planned rows without a cached one; an anti join whose strategy is left to the optimiser."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -9,11 +9,13 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORIES
 
+_BLANKS = r"(?U)^\s+|\s+$"
+
 #: The one criterion a control may have, its threshold, and size and seed of the validation sample.
 CRITERION = "fault_scroller > fault_partner, and fault_scroller >= 7"
 THRESHOLD = 7
@@ -40,24 +42,41 @@ def control_summary(checks: DataFrame) -> DataFrame:
     return judged.rollup("model_slot").agg(F.count("*").alias("n"), F.round(F.avg(F.col("pass").cast("double")), 6).alias("pass_rate")).where("n > 0")
 
 
-def worksheet_problems(sheet: DataFrame, domain: Sequence[str] = CATEGORIES) -> DataFrame:
-    """(problem, sample_id, n): repeated ids, blank labels, labels outside the domain."""
-    label = F.trim(F.coalesce("action_category", F.lit("")))
+def _stripped(column: str) -> Column:
+    return F.regexp_replace(F.coalesce(column, F.lit("")), _BLANKS, "")
+
+
+def worksheet_problems(sheet: DataFrame, domain: Sequence[str] = CATEGORIES, rows: int | None = None) -> DataFrame:
+    """(problem, sample_id, n): repeated ids, blank labels, labels outside the domain; with `rows` another number of them."""
+    label = _stripped("action_category")
     repeats = sheet.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("problem"), "sample_id", "n")
     blank = sheet.where(label == "").groupBy("sample_id").agg(F.count("*").alias("n")).select(F.lit("blank").alias("problem"), "sample_id", "n")
     odd = sheet.where((label != "") & ~label.isin(*domain)).groupBy("sample_id").agg(F.count("*").alias("n")).select(F.lit("unknown").alias("problem"), "sample_id", "n")
-    return repeats.unionByName(blank).unionByName(odd)
+    out = repeats.unionByName(blank).unionByName(odd)
+    if rows is None:
+        return out
+    counted = sheet.agg(F.count("*").alias("n")).where(F.col("n") != rows)
+    return out.unionByName(counted.select(F.lit("rows").alias("problem"), F.lit(None).cast("string").alias("sample_id"), "n"))
 
 
 def sheet_labels(sheet: DataFrame, column: str, name: str) -> DataFrame:
-    """(sample_id, name) with the stripped label, one row a sample: of repeated rows the greatest label."""
-    return sheet.where("sample_id is not null").groupBy("sample_id").agg(F.max(F.trim(column)).alias(name))
+    """(sample_id, name) with the stripped label, one row a sample: of repeated rows the last, in the order of the scan."""
+    at = sheet.where("sample_id is not null").select("sample_id", _stripped(column).alias("_label"), F.monotonically_increasing_id().alias("_at"))
+    return at.groupBy("sample_id").agg(F.max_by("_label", "_at").alias(name))
 
 
-def matched_labels(a: DataFrame, b: DataFrame, key: DataFrame) -> DataFrame:
-    """(sample_id, coder_a, coder_b, automated) of samples that stand in all three tables."""
+def matched_labels(a: DataFrame, b: DataFrame, key: DataFrame, expected: int | None = None) -> DataFrame:
+    """(sample_id, coder_a, coder_b, automated) of samples in all three tables; another number than `expected` is an error."""
     parts = [sheet_labels(a, "action_category", "coder_a"), sheet_labels(b, "action_category", "coder_b"), sheet_labels(key, "automated_action_category", "automated")]
-    return parts[0].join(parts[1], "sample_id").join(parts[2], "sample_id")
+    matched = parts[0].join(parts[1], "sample_id").join(parts[2], "sample_id")
+    if expected is not None and (n := matched.count()) != expected:
+        raise ValueError(f"{n} samples stand in all three tables, not {expected}")
+    return matched
+
+
+def filled(sheet: DataFrame) -> bool:
+    """Q2: a label has been written into the worksheet, so it must not be written over."""
+    return not sheet.where(_stripped("action_category") != "").isEmpty()
 
 
 def quotas(slots: Sequence[str], total: int) -> dict[str, int]:
@@ -73,13 +92,17 @@ def hashed_sample(scored: DataFrame, total: int = SAMPLE, seed: int = SEED) -> D
     """
     slots = [r[0] for r in scored.where("model_slot is not null").select("model_slot").distinct().collect()]
     q = quotas(slots, total)
-    rows = scored.where("model_slot is not null").dropDuplicates(["model_slot", "cache_key"])
+    keys = scored.where("model_slot is not null").select("model_slot", "cache_key").distinct()
     h = F.sha2(F.concat(F.lit(str(seed)), F.col("cache_key")), 256)
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("model_slot").orderBy(h, "cache_key"))).where(F.col("_r") <= max(q.values(), default=0))
+    ranked = keys.withColumn("_r", F.row_number().over(Window.partitionBy("model_slot").orderBy(h, "cache_key"))).where(F.col("_r") <= max(q.values(), default=0))
     quota = F.coalesce(F.element_at(F.create_map(*(x for s, n in q.items() for x in (F.lit(s), F.lit(n)))), F.col("model_slot")), F.lit(0)) if q else F.lit(0)
     kept = ranked.where(F.col("_r") <= quota).drop("_r")
     number = F.row_number().over(Window.orderBy("model_slot", "cache_key"))  # at most `total` rows
-    return kept.withColumn("sample_id", F.format_string("MV%03d", number))
+    kept = F.broadcast(kept.withColumn("sample_id", F.format_string("MV%03d", number)))
+    # of copies of a row the first by its columns, so that the sample is the same in every run
+    whole = F.struct(*(c for c, kind in scored.dtypes if not kind.startswith("map") and c not in ("model_slot", "cache_key")))
+    rows = scored.join(kept, (scored["model_slot"] == kept["model_slot"]) & scored["cache_key"].eqNullSafe(kept["cache_key"])).select(scored["*"], kept["sample_id"], whole.alias("_w"))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id").orderBy("_w"))).where("_n = 1").drop("_n", "_w")
 
 
 def seeded_sample(scored: DataFrame, total: int = SAMPLE, seed: int = SEED, most_rows: int = 1_000_000) -> DataFrame:

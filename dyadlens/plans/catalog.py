@@ -692,7 +692,14 @@ def a6_distinct(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---- agreement, samples, log -----------------------------------------------------------------------------------------
-_ML = "a AS (SELECT sample_id, max(trim(action_category)) AS coder_a FROM manual_validation_50_coder_a WHERE sample_id IS NOT NULL GROUP BY 1), b AS (SELECT sample_id, max(trim(action_category)) AS coder_b FROM manual_validation_50_coder_b WHERE sample_id IS NOT NULL GROUP BY 1), k AS (SELECT sample_id, max(trim(automated_action_category)) AS automated FROM manual_validation_50_key WHERE sample_id IS NOT NULL GROUP BY 1), m AS (SELECT * FROM a JOIN b USING (sample_id) JOIN k USING (sample_id))"
+_STRIP = "regexp_replace(coalesce({0}, ''), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
+
+
+def _labels_sql(name: str, sheet: str, column: str) -> str:
+    return f"{name} AS (SELECT sample_id, arg_max({_STRIP.format(column)}, i) AS {name}_label FROM (SELECT *, row_number() OVER () AS i FROM manual_validation_50_{sheet}) WHERE sample_id IS NOT NULL GROUP BY 1)"
+
+
+_ML = ", ".join((_labels_sql("a", "coder_a", "action_category"), _labels_sql("b", "coder_b", "action_category"), _labels_sql("k", "key", "automated_action_category"))) + ", m AS (SELECT sample_id, a_label AS coder_a, b_label AS coder_b, k_label AS automated FROM a JOIN b USING (sample_id) JOIN k USING (sample_id))"
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
@@ -725,7 +732,7 @@ def tk_kappa_automated(s: SparkSession, d: str) -> DataFrame:
     return stats.kappa(_matched(s, d), "coder_a", "automated", CATEGORIES)
 
 
-_LAB = "trim(coalesce(action_category, ''))"
+_LAB = _STRIP.format("action_category")
 
 
 @query(f"SELECT 'repeated' AS problem, sample_id, count(*) AS n FROM manual_validation_50_coder_a GROUP BY sample_id HAVING count(*) > 1 UNION ALL SELECT 'blank', sample_id, count(*) FROM manual_validation_50_coder_a WHERE {_LAB} = '' GROUP BY sample_id UNION ALL SELECT 'unknown', sample_id, count(*) FROM manual_validation_50_coder_a WHERE {_LAB} <> '' AND {_LAB} NOT IN {_DOM} GROUP BY sample_id")

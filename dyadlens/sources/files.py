@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import whole_object
 from ..schemas import RAW, SCORED, VIGNETTES
 
 
@@ -26,10 +27,13 @@ def items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """S3: (records, unreadable files) of a folder of JSON documents; names other than *.json are passed over."""
-    text = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").load(folder).select(F.col("_metadata.file_path").alias("path"), "value")
-    parsed = text.withColumn("whole", F.try_parse_json("value").isNotNull())
-    rec = parsed.where("whole").select(F.from_json("value", RAW).alias("r"), "path").orderBy("path").select("r.*")
+    """S3: (records, unreadable files) of a folder of JSON documents; names other than *.json are passed over.
+
+    A document that isn't one whole object, and nothing else, is unreadable. `path` says where a record was read.
+    """
+    text = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").load(folder).select(F.col("_metadata.file_path").alias("path"), F.btrim("value", F.lit(" \n\r\t﻿")).alias("value"))
+    parsed = text.withColumn("whole", F.coalesce(whole_object(F.col("value")), F.lit(False)))
+    rec = parsed.where("whole").select(F.from_json("value", RAW).alias("r"), "path").select("r.*", "path")
     return rec, parsed.where("not whole").select("path")
 
 
@@ -59,13 +63,13 @@ def write_scored(df: DataFrame, folder: str, csv: bool = False) -> None:
     if not csv:
         df.write.mode("overwrite").partitionBy("model_slot").parquet(folder)
         return
-    ordered = df.orderBy("model_slot", "vignette_id", "variant", "run_index", "cache_key")
-    ordered.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+    # files in the order of their names: the range exchange of the sort stays as wide as it is
+    df.orderBy("model_slot", "vignette_id", "variant", "run_index", "cache_key").write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 
 
-def write_table(df: DataFrame, folder: str) -> None:
+def write_table(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """K3, K5: a small table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+    df.coalesce(1).write.mode(mode).option("header", True).csv(folder)
 
 
 def write_json(value: dict, path: str) -> None:
@@ -77,5 +81,5 @@ def write_json(value: dict, path: str) -> None:
 
 
 def write_manifest(manifest: DataFrame, folder: str) -> None:
-    """`digest  path` lines ordered by path."""
-    manifest.orderBy("path").select(F.concat_ws("  ", "sha256", "path")).coalesce(1).write.mode("overwrite").text(folder)
+    """`digest  path` lines ordered by path, over files in the order of their names."""
+    manifest.orderBy("path").select(F.concat_ws("  ", "sha256", "path")).write.mode("overwrite").text(folder)
