@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ HYPOTHESES = {"H1": ("gap", "first", "second"), "H2": ("gap_frame_diff", "gap_a"
 
 
 class Analysis:
-    """All frames of one scored table. The cells, which all tests share, are kept until `close`; with `with` until its end.
+    """All frames of one scored table. What several tests share (cells, contrasts) is kept until `close`; with `with` until its end.
 
     Seeds are those of the protocol's order: every test of every slot draws its own numbers. Slots are few; more than
     `most_slots` are refused.
@@ -25,8 +27,10 @@ class Analysis:
         self.scored, self.design, self.metric, self.seed, self.resamples = scored, design, metric, seed, resamples
         self.good = scoring.analysable(scored)
         self.cells = C.cell_means(self.good, [metric, "fault_partner", "severity"], design, ("model_id",)).persist()
-        self.gaps = C.paired_gaps(self.cells, metric, design)
-        self.complete = C.complete_gaps(self.cells, metric, design)
+        self.gaps = C.paired_gaps(self.cells, metric, design).persist()
+        self.complete = C.complete_gaps(self.cells, metric, design).persist()
+        shares = C.proportions(self.good, "action_category", CATEGORIES, design)
+        self.diffs = C.category_diffs(shares, CATEGORIES, design).persist()
         found = self.cells.select(design.slot).where(F.col(design.slot).isNotNull()).distinct().limit(most_slots + 1).collect()
         if len(found) > most_slots:
             raise ValueError(f"more than {most_slots} slots")
@@ -40,7 +44,8 @@ class Analysis:
 
     def close(self) -> None:
         """Let go of what is kept."""
-        self.cells.unpersist()
+        for df in (self.cells, self.gaps, self.complete, self.diffs):
+            df.unpersist()
 
     def _seeds(self, of) -> dict[tuple, int]:  # noqa: ANN001
         """(slot, hypothesis) -> seed."""
@@ -87,7 +92,7 @@ class Analysis:
 
     def category_diffs(self) -> DataFrame:
         """Category contrasts of complete items."""
-        return C.category_diffs(C.proportions(self.good, "action_category", CATEGORIES, self.design), CATEGORIES, self.design)
+        return self.diffs
 
     def category_intervals(self) -> DataFrame:
         """The bootstrap interval of each category's mean contrast; each category has a seed of its own."""
@@ -106,19 +111,19 @@ class Analysis:
         both = self.categories().withColumn("hypothesis", F.lit("H3")).unionByName(self.flags().withColumn("hypothesis", F.lit("H4")))
         return stats.holm(both.withColumn("_f", F.lit(1)).withColumn("_t", F.concat("hypothesis", self.design.slot)), "p", ["_f"], "_t").drop("_f", "_t")
 
-    def sections(self) -> list[tuple[str, DataFrame, list[str]]]:
-        """The report's sections."""
-        s = self.design.slot
+    def sections(self) -> list[tuple[str, Callable[[], DataFrame], list[str]]]:
+        """The report's sections: title, what makes the frame, and its order."""
+        s, d = self.design.slot, self.design
         return [
-            ("Quality", C.quality(self.good, self.cells, self.metric, self.design), [s]),
-            ("Quotes not found in the story", scoring.hallucination_report(self.scored), [s]),
-            ("Refusals", scoring.refusal_rate(self.scored), [s]),
-            ("Primary tests", self.primary(), ["hypothesis", s]),
-            ("Complete items", C.completeness(self.cells, self.design), [s]),
-            ("Complete-case sensitivity", self.sensitivity(), ["hypothesis", s]),
-            ("Within frames", self.per_frame(), ["frame", s]),
-            ("Secondary tests", self.secondary(), ["hypothesis", s]),
-            ("Category contrasts", self.category_intervals(), ["action_category", s]),
-            ("Category permutation test", self.category_permutation(), [s]),
-            ("Distress recall", C.recall(self.good, self.design), [s, self.design.factor]),
+            ("Quality", lambda: C.quality(self.good, self.cells, self.metric, d), [s]),
+            ("Quotes not found in the story", lambda: scoring.hallucination_report(self.scored), [s]),
+            ("Refusals", lambda: scoring.refusal_rate(self.scored), [s]),
+            ("Primary tests", self.primary, ["hypothesis", s]),
+            ("Complete items", lambda: C.completeness(self.cells, d), [s]),
+            ("Complete-case sensitivity", self.sensitivity, ["hypothesis", s]),
+            ("Within frames", self.per_frame, ["frame", s]),
+            ("Secondary tests", self.secondary, ["hypothesis", s]),
+            ("Category contrasts", self.category_intervals, ["action_category", s]),
+            ("Category permutation test", self.category_permutation, [s]),
+            ("Distress recall", lambda: C.recall(self.good, d), [s, d.factor]),
         ]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,12 +35,16 @@ def kind_of(value: object) -> tuple[str, str | None]:
     return ("null", None) if value is None else ("other", json.dumps(value))
 
 
+#: A story comes with every response to it, so its form is made once and kept; the bound is of a worker's memory.
+_story = lru_cache(1 << 13)(X.normalised)
+
+
 def _extract_one(text: str | None, source: str | None) -> tuple:
     got, status = extract_object(text)
     o = got or {}
     flat = [x for f in _FIELDS for x in kind_of(o.get(f))]
     action, quote = (v.strip() if isinstance(v := o.get(k), str) else "" for k in ("recommended_action", "evidence_quote"))
-    return status, list(o) if got is not None else None, *flat, action, quote, X.normalised(action), X.normalised(quote), X.normalised(source) if quote else ""
+    return status, list(o) if got is not None else None, *flat, action, quote, X.normalised(action), X.normalised(quote), _story(source) if quote else ""
 
 
 def extract_udf():  # noqa: ANN201

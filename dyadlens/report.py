@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -31,14 +32,16 @@ def table(headers: Sequence[str], rows: Sequence[Sequence[Any]]) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in cells)
 
 
-def section(title: str, df: DataFrame, order: Sequence[str], most_rows: int = 200) -> str:
+def section(title: str, df: DataFrame | Callable[[], DataFrame], order: Sequence[str], most_rows: int = 200) -> str:
     """A heading and a small result as a table; a result of more than `most_rows` rows is no report table and is refused."""
+    df = df() if callable(df) else df
     rows = df.orderBy(*order).limit(most_rows + 1).collect()
     if len(rows) > most_rows:
         raise ValueError(f"{title}: more than {most_rows} rows")
     return f"## {title}\n\n" + (table(df.columns, rows) if rows else "No rows.")
 
 
-def results(sections: Sequence[tuple[str, DataFrame, Sequence[str]]], title: str = "Results") -> str:
-    """K7: the report of all sections."""
-    return "\n\n".join([f"# {title}", *(section(*s) for s in sections)]) + "\n"
+def results(sections: Sequence[tuple[str, DataFrame | Callable[[], DataFrame], Sequence[str]]], title: str = "Results", at_once: int = 6) -> str:
+    """K7: the report of all sections, `at_once` of which are made beside one another."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return "\n\n".join([f"# {title}", *pool.map(lambda s: section(*s), sections)]) + "\n"
