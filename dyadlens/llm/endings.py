@@ -121,14 +121,15 @@ def endings_of(texts: DataFrame, often: int = 8, per: int = 20_000, distinct: in
 
     distinct: how many distinct responses there are, if that is known.
 
-    A pair or word must stand in `often` of `per` distinct responses (`often` at least), a pair with an end mark in one
-    of `per` (one at least); so what goes to the driver is bounded. Only hashes and values are shuffled.
+    A pair or word must stand in `often` of `per` distinct responses (three at least: once or twice may be the same cut),
+    a pair with an end mark in one of `per` (one at least), so the bounds mean the same at every size and what goes to
+    the driver is bounded. Only hashes and values are shuffled.
     """
     t = texts.toDF("t").where("t is not null").select(F.xxhash64("t").alias("h"), "t")
-    scale = max(1.0, (distinct_texts(texts) if distinct is None else distinct) / per)
+    scale = (distinct_texts(texts) if distinct is None else distinct) / per
     values = map_rows(t, _values, "h long, v string").distinct().groupBy("v").agg(F.count("*").alias("n"))
     seen = map_rows(values, _parts, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
-    bound = F.when(F.col("kind") == "marked", F.lit(scale)).otherwise(F.lit(often * scale))
+    bound = F.when(F.col("kind") == "marked", F.lit(max(1.0, scale))).otherwise(F.lit(max(3.0, often * scale)))
     return Endings.of((r["kind"], r["item"]) for r in seen.where(F.col("n") >= bound).select("kind", "item").collect())
 
 
