@@ -1,8 +1,8 @@
 """Problem 2: far too many small files, consolidated into fewer well-sized ones.
 
 One scan reads which complete record each file holds (strictly: a body that is empty, breaks off or goes on behind its
-object holds none; a byte order mark, any layout of the JSON, keys given twice and NaN are fine) and writes the ids,
-range-partitioned and sorted, as a membership table. A second scan keeps one copy per cache_key, range-partitions the
+object holds none; a byte order mark, any layout of the JSON, keys given twice and NaN are fine) and writes the ids as a
+membership table, without a shuffle. A second scan keeps one copy per cache_key, range-partitions the
 records by the clustering key at sampled boundaries so that each output file holds about `target_bytes` of text, sorts
 and writes them. Keys, files and contents are reconciled with the membership table before the folder is swapped in.
 
@@ -21,7 +21,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import whole_object
+from ..functions.expressions import object_keys
 from ..schemas import RAW
 from ..session import shared_dir
 
@@ -39,11 +39,11 @@ class Mismatch(RuntimeError):
 
 
 def complete_records(files: DataFrame) -> DataFrame:
-    """(file_id, modified_at, cache_key, body) of each file that holds a complete record. No shuffle, no Python."""
+    """(file_id, modified_at, cache_key, body, keys) of each file that holds a complete record. No shuffle, no Python."""
     body = F.regexp_replace("body", "^[﻿\\s]+|\\s+$", "")
-    key = F.from_json(body, "cache_key string")["cache_key"]
-    got = files.select("file_id", "modified_at", body.alias("body"), key.alias("cache_key"), whole_object(body).alias("whole"))
-    return got.where("whole and cache_key is not null and cache_key <> ''").select("file_id", "modified_at", "cache_key", "body")
+    got = files.select("file_id", "modified_at", body.alias("body")).withColumn("keys", object_keys(F.col("body")))
+    got = got.where("keys is not null").withColumn("cache_key", F.from_json("body", "cache_key string")["cache_key"])
+    return got.where("cache_key is not null and cache_key <> ''").select("file_id", "modified_at", "cache_key", "body", "keys")
 
 
 def _content(columns: list[Column]) -> Column:
@@ -53,8 +53,7 @@ def _content(columns: list[Column]) -> Column:
 def _parsed(df: DataFrame) -> DataFrame:
     """df with the declared columns of its `body`, the body itself where it holds others, and `content`, a hash of them."""
     names = df.sparkSession.createDataFrame([], RAW).columns
-    keys = F.json_object_keys("body")
-    beyond = keys.isNull() | (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) > 0)
+    beyond = F.size(F.array_except("keys", F.array(*map(F.lit, names)))) > 0
     got = df.withColumn("_r", F.from_json("body", RAW)).withColumn(OTHER, F.when(beyond, F.col("body")))
     got = got.select(*(c for c in df.columns if c not in names), *(F.col(f"_r.{n}").alias(n) for n in names), OTHER)
     return got.withColumn("content", _content([F.col(c) for c in (*names, OTHER)]))
@@ -67,9 +66,9 @@ def members(files: DataFrame) -> DataFrame:
 
 
 def distinct_records(files: DataFrame) -> DataFrame:
-    """(cache_key, file_id, body): the copy modified last of each record; partial maxima shrink hot keys before the shuffle."""
-    last = complete_records(files).groupBy("cache_key").agg(F.max(F.struct("modified_at", F.col("file_id").cast("long").alias("file_id"), "body")).alias("x"))
-    return last.select("cache_key", "x.file_id", "x.body")
+    """(cache_key, file_id, body, keys): the copy modified last of each record; partial maxima shrink hot keys before the shuffle."""
+    last = complete_records(files).groupBy("cache_key").agg(F.max(F.struct("modified_at", F.col("file_id").cast("long").alias("file_id"), "body", "keys")).alias("x"))
+    return last.select("cache_key", "x.file_id", "x.body", "x.keys")
 
 
 def compact(files: DataFrame, into: str, target_bytes: int = 128 << 20, cluster_by: tuple[str, ...] = ("cache_key",)) -> DataFrame:
@@ -80,12 +79,12 @@ def compact(files: DataFrame, into: str, target_bytes: int = 128 << 20, cluster_
     """
     spark, staging = files.sparkSession, f"{into}.staging"
     ids = files.select("file_id", "modified_at", "body")
-    members(ids).repartitionByRange("cache_key", "file_id").sortWithinPartitions("cache_key", "file_id").write.mode("overwrite").parquet(f"{staging}/{SOURCES}")
+    members(ids).write.mode("overwrite").parquet(f"{staging}/{SOURCES}")
     held = spark.read.schema(MEMBERS).parquet(f"{staging}/{SOURCES}")
     last = held.groupBy("cache_key").agg(F.max(F.struct("modified_at", "file_id", "content", "bytes")).alias("x"), F.count("*").alias("n"))
     facts = last.agg(F.count("*").alias("keys"), F.sum("n").alias("files"), F.sum("x.bytes").alias("bytes"), F.bit_xor("x.content").alias("content")).first()
     keys, size = facts["keys"], facts["bytes"] or 0
-    rec = _parsed(distinct_records(ids)).drop("file_id", "body", "content")
+    rec = _parsed(distinct_records(ids)).drop("file_id", "body", "keys", "content")
     # boundaries are sampled by the range exchange; cluster keys that tie are spread by the record key
     order = [*cluster_by, *(c for c in ("cache_key",) if c not in cluster_by)]
     written = rec.repartitionByRange(max(1, -(-size // target_bytes)), *order).sortWithinPartitions(*order)

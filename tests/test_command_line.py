@@ -109,6 +109,6 @@ def test_registered_functions(spark):
 
 
 def test_whole_documents_only(spark):
-    texts = ['{"a": 1}', '{"a": 1} x', "[1]", '{"a": "}"}', '{"a": NaN}', None, "", '{"a": {"b": [1, {"c": 2}]}}', '{"a": 1}}']
+    texts = ['{"a": 1}', '{"a": 1} x', "[1]", '{"a": "}"}', '{"a": NaN}', None, "", '{"a": {"b": [1, {"c": 2}]}}', '{"a": 1}}', "{}", "{ }", '{} {"a": 1}', '{"a": 1} {}', "{,}", '{"a": 1,}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [bool(r[0]) for r in df.select(F.coalesce(X.whole_object(F.col("t")), F.lit(False))).collect()] == [True, False, False, True, True, False, False, True, False]
+    assert [bool(r[0]) for r in df.select(F.coalesce(X.whole_object(F.col("t")), F.lit(False))).collect()] == [True, False, False, True, True, False, False, True, False, True, True, False, False, False, False]
