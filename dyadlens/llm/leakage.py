@@ -178,6 +178,8 @@ def passages(text: str, items: Items, least: int = 12) -> Iterator[tuple]:
     for end, (size, where) in items.automaton.iter(stream):
         at = bisect_right(begins, end - size + 1) - 1
         for item, k in where:
+            if len(done[item]) > 16:  # hits come in order: alignments that ended before this one are of no more use
+                done[item] = [x for x in done[item] if x[1] >= at - 2 * RUN]
             if any(a <= at <= b and abs(at - k - d) <= 6 for a, b, d in done[item]):
                 continue
             w, own, size = items.words[item], items.own[item], items.size[item]

@@ -177,11 +177,12 @@ def renderings(vignettes: DataFrame) -> DataFrame:
     return long.where("r_text is not null").groupBy("r_id", "r_variant").agg(F.min("r_text").alias("r_text"))
 
 
-def hot_ids(df: DataFrame, column: str, share: float = 0.005) -> dict:
-    """value -> rows, of values that hold more than `share` of the rows: at most 1 / share of them, whatever the input."""
-    counted = df.groupBy(column).agg(F.count("*").alias("n")).where(F.col(column).isNotNull())
+def hot_ids(df: DataFrame, column: str, share: float = 0.005) -> tuple[dict, int]:
+    """(value -> rows, all rows), of values that hold more than `share` of the rows: at most 1 / share of them, whatever
+    the input."""
+    counted = df.groupBy(column).agg(F.count("*").alias("n"))
     total = df.count()
-    return {r[0]: r["n"] for r in counted.where(F.col("n") > share * total).collect()}
+    return {r[0]: r["n"] for r in counted.where(F.col(column).isNotNull() & (F.col("n") > share * total)).collect()}, total
 
 
 def salts_of(hot: dict, total: int, partitions: int) -> dict:
@@ -200,8 +201,8 @@ def same_look(df: DataFrame, text: str, key: str, vignettes: DataFrame, passage:
     left = df.select(F.col(key).alias("k"), F.col("vignette_id").alias("i"), F.col("variant").alias("v"), F.col(text).alias("t"))
     left = left.where("t is not null and trim(t) <> '' and k is not null")
     right = renderings(vignettes)
-    hot = hot_ids(df, "vignette_id")
-    salts = salts_of(hot, df.count() if hot else 0, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot, total = hot_ids(df, "vignette_id")
+    salts = salts_of(hot, total, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     of = lambda column: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in salts.items() for x in pair)), F.col(column)), F.lit(1)) if salts else F.lit(1)
     left = left.withColumn("s", F.pmod(F.xxhash64("k"), of("i")).cast("int"))
     right = right.withColumn("r_s", F.explode(F.sequence(F.lit(0), of("r_id").cast("int") - 1)))

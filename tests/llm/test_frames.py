@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dyadlens.llm import consensus, cutoff, leakage, look, mapping, packing, pairs, queries, sentences
 from dyadlens.schemas import RAW
 
-STORY = "Dana packed lunch. Noël kept reading. A banner said 1,002 people were viewing the same page."
+STORY = "Dana tuned the cello. Noël kept reading. A banner said 1,002 people were viewing the same page."
 
 
 def raw(spark, rows):
@@ -18,14 +18,14 @@ def raw(spark, rows):
     return (df if rows else df.limit(0)).withColumn("k", F.lit("clash")).withColumn("t", F.lit(1)).withColumn("doc", F.lit(1))
 
 
-def whole(quote="Dana packed lunch."):
+def whole(quote="Dana tuned the cello."):
     return json.dumps({"fault_scroller": 7, "fault_partner": 2, "severity": 5, "recommended_action": "Talk about it.", "evidence_quote": quote, "distress_flagged": False})
 
 
 def test_pairs_and_cuts(spark):
     rows = [{"cache_key": "a", "response_text": whole()}, {"cache_key": "b", "response_text": whole()[:50]}, {"cache_key": "b", "response_text": whole()[:50], "usage": None}, {"cache_key": "c", "response_text": None}, {"cache_key": None, "response_text": ""}, {"cache_key": "d", "response_text": whole("A banner said 1,002 peo"), "finish_reason": "length"}]
     # intact ones to learn from
-    quotes = ("Dana packed lunch.", "Noël kept reading.", "A banner said 1,002 people were viewing the same page.")
+    quotes = ("Dana tuned the cello.", "Noël kept reading.", "A banner said 1,002 people were viewing the same page.")
     rows += [{"cache_key": f"w{i}", "response_text": whole(quotes[i % 3]) + ("\n\nThat is all." if i % 5 == 0 else ""), "finish_reason": (None, "stop", "length")[i % 2 + (i % 4 == 3)]} for i in range(24)]
     df = raw(spark, rows * 3)
     assert {tuple(r)[:2] for r in pairs.broken_pairs(df).collect()} == {("b", "truncated"), ("c", "empty"), ("d", "truncated")}

@@ -11,11 +11,11 @@ from dyadlens.llm import consensus, cutoff, leakage, look, mapping, packing, pai
 from dyadlens.llm.endings import Endings
 from dyadlens.llm.language import not_english
 
-STORY = 'Dana packed lunch. "One more page," Noël said, although Dana had asked him to stop. A banner said 1,002 people were viewing the same page.'
+STORY = 'Dana tuned the cello. "One more page," Noël said, although Dana had asked him to stop. A banner said 1,002 people were viewing the same page.'
 PROMPT = f"Here is a short story about two partners.\n\n<<<\n{STORY}\n>>>\n\nJudge it and answer with one JSON object that has these six keys and send the object only."
 
 
-def answer(action="Talk openly about unmet needs", quote="Dana packed lunch.", score=7):
+def answer(action="Talk openly about unmet needs", quote="Dana tuned the cello.", score=7):
     import json
 
     return json.dumps({"fault_scroller": score, "fault_partner": 2, "severity": 5, "recommended_action": action, "evidence_quote": quote, "distress_flagged": False}, ensure_ascii=False)
@@ -26,7 +26,7 @@ def answer(action="Talk openly about unmet needs", quote="Dana packed lunch.", s
     ("text", "kind"),
     [
         (answer(), None), ("```json\n" + answer() + "\n```", None), ("Sure, here you go:\n" + answer() + "\nTell me if another format suits you better.", None),
-        (answer(score="7/10"), None), (answer(quote="Dana packed lunch"), None), (answer(action="They can't solve this in one night, so they should talk."), None),
+        (answer(score="7/10"), None), (answer(quote="Dana tuned the cello"), None), (answer(action="They can't solve this in one night, so they should talk."), None),
         ("The partner on the phone carries about 7 of 10 points of blame. As a next step, talk openly.", None),
         (None, "empty"), ("", "empty"), (" \n", "empty"), ("{}", "empty"), ("null", "empty"), ("```json\n```", "empty"), ("<answer></answer>", "empty"), ("Answer:", "empty"), ("​", "empty"),
         ('{"fault_scroller": null, "recommended_action": "", "distress_flagged": true}', "empty"),
@@ -56,7 +56,7 @@ def test_language():
 def test_cut_classifier_held_out():
     rng = random.Random(5)
     acts = ["Talk openly about unmet needs", "Set a nightly phone curfew", "Read the articles together", "Buy a separate alarm clock"]
-    rows = [(answer(rng.choice(acts), rng.choice(["Dana packed lunch.", "A banner said 1,002 people were viewing the same page."]), rng.randint(0, 10)), "stop", 100, STORY) for _ in range(900)]
+    rows = [(answer(rng.choice(acts), rng.choice(["Dana tuned the cello.", "A banner said 1,002 people were viewing the same page."]), rng.randint(0, 10)), "stop", 100, STORY) for _ in range(900)]
     endings = Endings([a for a in acts for _ in range(20)])
     w, limits = cutoff.train([e for r in rows[:600] for e in cutoff.examples(*r, endings)])
     score = lambda k, t: sum(w[f] for f in cutoff.features(k, t, "stop<", endings, STORY))
@@ -79,8 +79,8 @@ def test_length_to_limit_is_a_feature():
 
 
 def test_places_of_quotes():
-    story = 'Dana packed lunch. Lou said "no" and left the room.'
-    for quote, place in (("Dana packed lunch.", "end"), ("Dana packed lunch", "mark"), ("Dana pack", "mid"), ("Dana packed", "word"), ("Somebody else went out.", "other"), ("Somebody else went ou", "open"), ("No way", "short"), ("", "none")):
+    story = 'Dana tuned the cello. Lou said "no" and left the room.'
+    for quote, place in (("Dana tuned the cello.", "end"), ("Dana tuned the cello", "mark"), ("Dana tun", "mid"), ("Dana tuned", "word"), ("Somebody else went out.", "other"), ("Somebody else went ou", "open"), ("No way", "short"), ("", "none")):
         assert pairs.quote_place(quote, story) == place
 
 

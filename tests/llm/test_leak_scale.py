@@ -62,3 +62,13 @@ def test_building_takes_linear_time():
         took.append(time.perf_counter() - t)
         assert all(len(w) == 40 for w in items.words.values())
     assert took[1] < 8 * took[0] + 0.3
+
+
+def test_an_item_many_times_in_one_document_takes_linear_time():
+    body = "seven painted lanterns hung above the crooked staircase while nobody remembered who had lit them before supper"
+    took = []
+    for n in (300, 1200):
+        t = time.perf_counter()
+        assert len(kernel((body + ". And once more: ") * n, [(1, body)])) == 1
+        took.append(time.perf_counter() - t)
+    assert took[1] < 9 * took[0] + 0.3
