@@ -837,7 +837,7 @@ def k4_worksheet_key(s: SparkSession, d: str) -> DataFrame:
     return validation.worksheets(validation.hashed_sample(scoring.scorable(_scored(s, d))))[1]
 
 
-@query("SELECT model_slot, strftime(collected_at, '%Y-%m-%d') AS day, count(*) AS n, sum(attempts)::BIGINT AS attempts FROM raw WHERE collected_at IS NOT NULL GROUP BY model_slot, strftime(collected_at, '%Y-%m-%d')")
+@query("SELECT model_slot, strftime(collected_at, '%Y-%m-%d') AS day, count(*) AS n, sum(attempts)::BIGINT AS attempts, sum(attempts) >= 175 AS capped FROM raw WHERE collected_at IS NOT NULL GROUP BY model_slot, strftime(collected_at, '%Y-%m-%d')")
 def st_daily_counts(s: SparkSession, d: str) -> DataFrame:
     """Daily counts by a stream that reads what is there and stops."""
     name = f"daily_{uuid.uuid4().hex}"

@@ -25,10 +25,10 @@ def once_by_key(stream: DataFrame, within: str = "30 days") -> DataFrame:
     return stream.withWatermark("collected_at", within).dropDuplicatesWithinWatermark(["cache_key"])
 
 
-def daily_counts(stream: DataFrame, within: str = "1 day") -> DataFrame:
-    """Attempts per slot and UTC day."""
+def daily_counts(stream: DataFrame, within: str = "1 day", cap: int = 175) -> DataFrame:
+    """Attempts per slot and UTC day, and whether they have reached the day's cap."""
     w = stream.withWatermark("collected_at", within).groupBy(F.window("collected_at", "1 day"), "model_slot")
-    return w.agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts")).select("model_slot", F.col("window.start").cast("date").alias("day"), "n", "attempts")
+    return w.agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts")).select("model_slot", F.col("window.start").cast("date").alias("day"), "n", "attempts", (F.col("attempts") >= cap).alias("capped"))
 
 
 def score_available(stream: DataFrame, into: str, checkpoint: str) -> StreamingQuery:
