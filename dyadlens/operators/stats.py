@@ -315,10 +315,14 @@ def scattered(items: np.ndarray, columns: int, seed: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def poisson_sums() -> list[float]:
+    """The chances of at most 0, 1, 2 ... of the Poisson distribution with mean 1."""
+    return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]).tolist()
+
+
 def poisson_weights(items: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     """items x resamples of Poisson(1) counts: uniform numbers looked up among the distribution's sums."""
-    sums = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
-    return np.searchsorted(sums, (scattered(items, resamples, seed) >> np.uint64(11)) * 2.0**-53).astype(float)
+    return np.searchsorted(poisson_sums(), (scattered(items, resamples, seed) >> np.uint64(11)) * 2.0**-53).astype(float)
 
 
 def flip_signs(items: np.ndarray, resamples: int, seed: int) -> np.ndarray:
@@ -352,7 +356,8 @@ def _partial_sums(df: DataFrame, by: list[str], item: str, values: list[str], re
         for at, s in held.items():
             yield pd.DataFrame({**{c: [k] * resamples for c, k in zip(by, at)}, "r": range(resamples), "w": s[0], **{f"x_{c}": s[1 + i] for i, c in enumerate(values)}})
 
-    whole = df.dropna("any", subset=values).select(*by, F.xxhash64(item).alias("_h"), *values)
+    number = F.conv(F.substring(F.sha2(F.col(item).cast("string"), 256), 1, 15), 16, 10).cast("long")  # a digest that any engine has
+    whole = df.dropna("any", subset=values).select(*by, F.coalesce(number, F.lit(0)).alias("_h"), *values)
     sums = ", ".join(f"x_{c} double" for c in values)
     drawn = whole.mapInPandas(run, f"{group}, r int, w double, {sums}")
     return drawn.groupBy(*by, "r").agg(F.sum("w").alias("w"), *(F.sum(f"x_{c}").alias(f"x_{c}") for c in values))

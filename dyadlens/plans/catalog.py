@@ -654,10 +654,28 @@ def tb_bootstrap(s: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap_ci(_gaps(s, d), "gap", ["model_slot"], "vignette_id", seed=validation.SEED)
 
 
-@query()
+def _mixed_sql(frame: str, keep: str, item: str, columns: int) -> str:
+    """CTEs that end in mixed(keep, c, z): the scattered 64-bit numbers of each item and column, at seed 0."""
+    times = lambda a, m: f"(((({a} & 4294967295)::HUGEINT * {m}) + ((({a} >> 32)::HUGEINT * {m}) % 4294967296) * 4294967296) % 18446744073709551616)::UBIGINT"
+    return (
+        f"m0 AS (SELECT {keep}, ('0x' || substring(sha256({item}::VARCHAR), 1, 15))::BIGINT AS h, unnest(range(0, {columns})) AS c FROM {frame}), "
+        f"m1 AS (SELECT {keep}, c, ((h::HUGEINT + (c + 1)::HUGEINT * {0x9E3779B97F4A7C15}) % 18446744073709551616)::UBIGINT AS z FROM m0), "
+        f"m2 AS (SELECT {keep}, c, xor(z, z >> 30) AS z FROM m1), m3 AS (SELECT {keep}, c, {times('z', 0xBF58476D1CE4E5B9)} AS z FROM m2), "
+        f"m4 AS (SELECT {keep}, c, xor(z, z >> 27) AS z FROM m3), m5 AS (SELECT {keep}, c, {times('z', 0x94D049BB133111EB)} AS z FROM m4), mixed AS (SELECT {keep}, c, xor(z, z >> 31) AS z FROM m5)"
+    )
+
+
+_POISSON = "[" + ", ".join(repr(x) for x in stats.poisson_sums()) + "]"
+
+
+@query(
+    f"WITH {GAPS}, v AS (SELECT model_slot, vignette_id, gap FROM gaps WHERE gap IS NOT NULL), {_mixed_sql('v', 'model_slot, gap', 'vignette_id', 10_000)}, "
+    f"w AS (SELECT model_slot, gap, c, len(list_filter({_POISSON}, lambda s: s < (z >> 11)::DOUBLE / 9007199254740992)) AS w FROM mixed), m AS (SELECT model_slot, c, sum(w * gap) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL) "
+    "SELECT model_slot, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM m GROUP BY ALL"
+)
 def tb_poisson(s: SparkSession, d: str) -> DataFrame:
     """The interval by Poisson resampling."""
-    return stats.poisson_ci(_gaps(s, d), "gap", ["model_slot"], "vignette_id", resamples=10_000)
+    return _round6(stats.poisson_ci(_gaps(s, d), "gap", ["model_slot"], "vignette_id", resamples=10_000), "model_slot")
 
 
 @query()
@@ -666,6 +684,23 @@ def tp_permutation(s: SparkSession, d: str) -> DataFrame:
     return stats.permutation_test(_diffs(s, d), CATEGORIES, ["model_slot"], "vignette_id", resamples=10_000)
 
 
+_STAT = " + ".join(f"avg(diff_{c}) * avg(diff_{c})" for c in CATEGORIES)
+_FLIPPED = " + ".join(f"avg(f * diff_{c}) * avg(f * diff_{c})" for c in CATEGORIES)
+_EACH = ", ".join(f"diff_{c}" for c in CATEGORIES)
+
+
+@query(
+    f"WITH {_DIFFS}, o AS (SELECT model_slot, count(*) AS n, {_STAT} AS statistic FROM diffs GROUP BY ALL), {_mixed_sql('diffs', f'model_slot, {_EACH}', 'vignette_id', -(-10_000 // 64))}, "
+    # of each number the bits byte by byte, the highest of a byte first
+    f"b AS (SELECT model_slot, {_EACH}, c * 64 + i AS r, CASE WHEN (z >> (8 * (i // 8) + 7 - i % 8)::UBIGINT) & 1 = 1 THEN 1.0 ELSE -1.0 END AS f FROM (SELECT *, unnest(range(0, 64)) AS i FROM mixed) WHERE c * 64 + i < 10000), "
+    f"p AS (SELECT model_slot, r, {_FLIPPED} AS s FROM b GROUP BY model_slot, r) SELECT model_slot, o.n, round(statistic, 9) AS statistic, round((1 + count(*) FILTER (WHERE s >= statistic - 1e-15)) / 10001.0, 6)::DOUBLE AS p FROM p JOIN o USING (model_slot) GROUP BY model_slot, o.n, statistic"
+)
+def tp_sign_flips(s: SparkSession, d: str) -> DataFrame:
+    """The same test with draws that depend on item and seed alone, for slots of any size."""
+    t = stats.sign_flip_test(_diffs(s, d), CATEGORIES, ["model_slot"], "vignette_id", resamples=10_000)
+    return t.select("model_slot", "n", F.round("statistic", 9).alias("statistic"), F.round("p", 6).alias("p"))
+
+
 # the upper tail of the chi-square distribution by the series of the lower one
 _CHI_P = "round(greatest(0.0, 1 - exp(dof / 2.0 * ln(greatest(chi2, 1e-300) / 2) - chi2 / 2 - lgamma(dof / 2.0 + 1)) * list_sum(list_transform(range(0, 400), lambda i: exp(i * ln(greatest(chi2, 1e-300) / 2) + lgamma(dof / 2.0 + 1) - lgamma(dof / 2.0 + i + 1))))), 6)"
 _ACTIONS = _chi_sql(GOOD + ", cl AS (SELECT * FROM good WHERE action_category IN ('" + "', '".join(CATEGORIES) + "')), ", "cl", "action_category", "culture", "model_slot", False)
