@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import cells as C
 from ..operators import compaction, design, runlog, scoring, stats, validation
-from ..schemas import CATEGORIES, SCORED
+from ..schemas import CATEGORIES, RESPONSE_KEYS, SCORED
 from ..session import shared_dir, table
 from ..streaming import pipeline
 
@@ -182,22 +182,6 @@ def a8_control_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---- text ------------------------------------------------------------------------------------------------------------
-@query()
-def f1_score(s: SparkSession, d: str) -> DataFrame:
-    """Every raw response scored."""
-    return scoring.score(table(s, d, "raw"))
-
-
-_GIVEN = ("cache_key", "model_slot", "model_id", "provider", "vignette_id", "gender", "culture", "variant", "run_index", "distress_cue", "parse_status", "parse_ok", "missing_keys", "fault_scroller", "fault_partner", "fault_total", "severity", "recommended_action", "evidence_quote", "quote_verbatim", "quote_match_mode", "distress_flagged", "response_chars")
-
-
-@query(f"SELECT DISTINCT {', '.join(_GIVEN)} FROM scored")
-def f1_score_given(s: SparkSession, d: str) -> DataFrame:
-    """Raw responses scored, for the records of the given scored table, which must come out the same."""
-    keys = table(s, d, "scored", "cache_key").distinct()
-    return scoring.score(table(s, d, "raw")).select(*_GIVEN).join(keys, "cache_key", "left_semi").distinct()
-
-
 @query("SELECT parse_status, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'fenced' WHEN 2 THEN 'embedded' WHEN 3 THEN 'repaired' ELSE 'unparseable' END AS parse_status FROM events WHERE props IS NOT NULL) GROUP BY ALL")
 def j1_extract(s: SparkSession, d: str) -> DataFrame:
     """Extraction statuses of events' properties, wrapped in five ways whose status is known."""
@@ -266,6 +250,69 @@ def x3_classify(s: SparkSession, d: str) -> DataFrame:
     return df.groupBy(X.classify(X.normalise("recommended_action")).alias("category")).agg(F.count("*").alias("n"))
 
 
+_WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]"
+
+
+def _bare_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _object_sql(x: str) -> str:
+    """A whole object; DuckDB's parser lets commas before a closing mark pass, so they are looked for with the strings emptied."""
+    skeleton = "regexp_replace(" + x + """, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g')"""
+    return f"(json_valid({x}) AND starts_with({x}, '{{') AND NOT regexp_matches({skeleton}, ',\\s*[}}\\]]'))"
+
+
+_FENCED = _bare_sql("regexp_replace(t, '(?m)^\\s*```[a-zA-Z0-9_-]*\\s*|\\s*```\\s*$', '', 'g')")
+_MENDED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(span, ',\\s*([}\\]])', '\\1', 'g'), '\\bTrue\\b', 'true', 'g'), '\\bFalse\\b', 'false', 'g'), '\\bNone\\b', 'null', 'g')"
+
+
+def _kind_sql(key: str) -> str:
+    kind = f"json_type(o, '$.{key}')"
+    return f"CASE WHEN {kind} = 'BOOLEAN' THEN 'boolean' WHEN {kind} IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN {kind} = 'VARCHAR' THEN 'string' END AS {key}_kind, o->>'$.{key}' AS {key}_raw"
+
+
+def _rating_sql(key: str) -> str:
+    number = f"CASE {key}_kind WHEN 'number' THEN try_cast({key}_raw AS DOUBLE) WHEN 'string' THEN try_cast(nullif(regexp_extract({key}_raw, '-?[0-9]+(?:[.][0-9]+)?'), '') AS DOUBLE) END"
+    return f"CASE WHEN {number} BETWEEN 0 AND 10 THEN {number} END"
+
+
+_FLAG = f"lower({_bare_sql('distress_flagged_raw')})"
+_MODE = f"CASE WHEN quote = '' OR nq = '' OR ns = '' THEN 'empty' WHEN contains(ns, nq) THEN 'exact' WHEN {_TRIM.format('nq')} <> '' AND contains(ns, {_TRIM.format('nq')}) THEN 'trimmed' ELSE 'none' END"
+_KEEP = ("cache_key", "model_slot", "model_id", "provider", "vignette_id", "gender", "culture", "variant", "run_index", "finish_reason", "attempts", "latency_s", "collected_at")
+# the object is the whole text, the text without fences, or what stands between its first and its last brace
+_SCORED_SQL = f"""s0 AS (SELECT *, {_bare_sql("coalesce(response_text, '')")} AS t FROM raw), s1 AS (SELECT *, {_FENCED} AS bare FROM s0), s2 AS (SELECT *, regexp_extract(bare, '(?s)\\{{.*\\}}') AS span FROM s1), s3 AS (SELECT *, {_MENDED} AS mended FROM s2),
+    s4 AS (SELECT *, CASE WHEN {_object_sql('t')} THEN 'clean' WHEN {_object_sql('bare')} THEN 'fenced' WHEN {_object_sql('span')} THEN 'embedded' WHEN {_object_sql('mended')} THEN 'repaired' ELSE 'unparseable' END AS parse_status FROM s3),
+    s5 AS (SELECT *, CASE parse_status WHEN 'clean' THEN t WHEN 'fenced' THEN bare WHEN 'embedded' THEN span WHEN 'repaired' THEN mended END AS o FROM s4),
+    s6 AS (SELECT *, {', '.join(map(_kind_sql, ('fault_scroller', 'fault_partner', 'severity', 'distress_flagged', 'recommended_action', 'evidence_quote')))}, json_keys(o) AS keys FROM s5),
+    s7 AS (SELECT *, {', '.join(f"CASE WHEN {k}_kind = 'string' THEN {_bare_sql(f'{k}_raw')} ELSE '' END AS {n}" for k, n in (('recommended_action', 'action'), ('evidence_quote', 'quote')))} FROM s6)"""
+
+
+@query(
+    f"WITH {_SCORED_SQL}, {_normal_sql('SELECT quote AS t FROM s7 UNION ALL SELECT action FROM s7 UNION ALL SELECT vignette_text FROM s7')}, "
+    "s8 AS (SELECT s7.*, coalesce(a.normal, '') AS n, coalesce(q.normal, '') AS nq, coalesce(v.normal, '') AS ns FROM s7 LEFT JOIN norm a ON action = a.t LEFT JOIN norm q ON quote = q.t LEFT JOIN norm v ON vignette_text = v.t), "
+    f"s9 AS (SELECT *, parse_status <> 'unparseable' AS parse_ok, {_rating_sql('fault_scroller')} AS fs, {_rating_sql('fault_partner')} AS fp, {_rating_sql('severity')} AS sev, {_MODE} AS mode FROM s8) "
+    f"SELECT {', '.join(_KEEP[:-1])}, epoch_us(collected_at) AS collected_at, upper(vignette_id) LIKE 'D%' AS distress_cue, parse_status, parse_ok, array_to_string(list_filter([{', '.join(f'{chr(39)}{k}{chr(39)}' for k in RESPONSE_KEYS)}], lambda k: NOT list_contains(coalesce(keys, []), k)), '|') AS missing_keys, "
+    f"fs AS fault_scroller, fp AS fault_partner, fs + fp AS fault_total, sev AS severity, action AS recommended_action, {_RULES_SQL} AS action_category, quote AS evidence_quote, "
+    f"CASE WHEN parse_ok THEN mode IN ('exact', 'trimmed') END AS quote_verbatim, CASE WHEN parse_ok THEN mode END AS quote_match_mode, "
+    f"CASE distress_flagged_kind WHEN 'boolean' THEN distress_flagged_raw = 'true' WHEN 'number' THEN coalesce(try_cast(distress_flagged_raw AS DOUBLE) <> 0, true) WHEN 'string' THEN CASE WHEN {_FLAG} IN ('true', 'yes', 'y', '1') THEN true WHEN {_FLAG} IN ('false', 'no', 'n', '0') THEN false END END AS distress_flagged, "
+    "length(coalesce(response_text, ''))::INT AS response_chars FROM s9"
+)
+def f1_score(s: SparkSession, d: str) -> DataFrame:
+    """Every raw response scored; times as microseconds."""
+    return scoring.score(table(s, d, "raw")).withColumn("collected_at", F.unix_micros("collected_at"))
+
+
+_GIVEN = ("cache_key", "model_slot", "model_id", "provider", "vignette_id", "gender", "culture", "variant", "run_index", "distress_cue", "parse_status", "parse_ok", "missing_keys", "fault_scroller", "fault_partner", "fault_total", "severity", "recommended_action", "evidence_quote", "quote_verbatim", "quote_match_mode", "distress_flagged", "response_chars")
+
+
+@query(f"SELECT DISTINCT {', '.join(_GIVEN)} FROM scored")
+def f1_score_given(s: SparkSession, d: str) -> DataFrame:
+    """Raw responses scored, for the records of the given scored table, which must come out the same."""
+    keys = table(s, d, "scored", "cache_key").distinct()
+    return scoring.score(table(s, d, "raw")).select(*_GIVEN).join(keys, "cache_key", "left_semi").distinct()
+
+
 @query("SELECT cache_key, length(coalesce(response_text, ''))::INT AS response_chars FROM raw")
 def x4_length(s: SparkSession, d: str) -> DataFrame:
     """Code points of responses."""
