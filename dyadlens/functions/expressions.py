@@ -130,8 +130,9 @@ def object_keys(c: Column) -> Column:
     closed = F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.lit(f',"{last}":1}}'))
     plain = F.regexp_replace(closed, r"([:\[,]\s*)-?(?:NaN|Infinity)(?=\s*[,}\]])", "$10")
     keys = F.coalesce(F.json_object_keys(closed), F.json_object_keys(plain))
-    ours = c.startswith("{") & c.endswith("}") & (F.try_element_at(keys, F.lit(-1)) == last)
-    return F.when(c.rlike(r"^\{\s*\}$"), F.array().cast("array<string>")).when(ours, F.slice(keys, 1, F.size(keys) - 1))
+    # bound to a name by the lambda, so that the text is parsed once
+    own = F.get(F.transform(F.array(keys), lambda k: F.when(F.try_element_at(k, F.lit(-1)) == last, F.slice(k, 1, F.size(k) - 1))), F.lit(0))
+    return F.when(c.rlike(r"^\{\s*\}$"), F.array().cast("array<string>")).when(c.startswith("{") & c.endswith("}"), own)
 
 
 def whole_object(c: Column) -> Column:

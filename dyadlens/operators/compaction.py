@@ -41,9 +41,11 @@ class Mismatch(RuntimeError):
 def complete_records(files: DataFrame) -> DataFrame:
     """(file_id, modified_at, cache_key, body, keys) of each file that holds a complete record. No shuffle, no Python."""
     body = F.regexp_replace("body", "^[﻿\\s]+|\\s+$", "")
-    got = files.select("file_id", "modified_at", body.alias("body")).withColumn("keys", object_keys(F.col("body")))
-    got = got.where("keys is not null").withColumn("cache_key", F.from_json("body", "cache_key string")["cache_key"])
-    return got.where("cache_key is not null and cache_key <> ''").select("file_id", "modified_at", "cache_key", "body", "keys")
+    read = F.struct(object_keys(F.col("body")).alias("keys"), F.from_json("body", "cache_key string")["cache_key"].alias("cache_key"))
+    # exploded, so that the filter can't be moved below and each body is parsed once for it, not again for the columns
+    held = F.filter(F.array(read), lambda r: r["keys"].isNotNull() & (F.coalesce(r["cache_key"], F.lit("")) != ""))
+    got = files.select("file_id", "modified_at", body.alias("body")).select("*", F.explode(held).alias("r"))
+    return got.select("file_id", "modified_at", "r.cache_key", "body", "r.keys")
 
 
 def _content(columns: list[Column]) -> Column:
