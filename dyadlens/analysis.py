@@ -19,11 +19,14 @@ HYPOTHESES = {"H1": ("gap", "first", "second"), "H2": ("gap_frame_diff", "gap_a"
 class Analysis:
     """All frames of one scored table. What several tests share (cells, contrasts) is kept until `close`; with `with` until its end.
 
-    Seeds are those of the protocol's order: every test of every slot draws its own numbers. Slots are few; more than
-    `most_slots` are refused.
+    Seeds are those of the protocol's order: every test of every slot draws its own numbers, as NumPy's generator gives
+    them. Where a slot has more than `most_items` items, which one task should not hold, all draws are scattered ones
+    (stats.poisson_ci, stats.sign_flip_test) instead. Slots are few; more than `most_slots` are refused.
     """
 
-    def __init__(self, scored: DataFrame, design: C.Design = C.AUDIT, metric: str = "fault_scroller", seed: int = 20260914, resamples: int = 10_000, most_slots: int = 1_000) -> None:
+    def __init__(
+        self, scored: DataFrame, design: C.Design = C.AUDIT, metric: str = "fault_scroller", seed: int = 20260914, resamples: int = 10_000, most_slots: int = 1_000, most_items: int = 100_000
+    ) -> None:
         self.scored, self.design, self.metric, self.seed, self.resamples = scored, design, metric, seed, resamples
         self.good = scoring.analysable(scored)
         self.cells = C.cell_means(self.good, [metric, "fault_partner", "severity"], design, ("model_id",)).persist()
@@ -31,10 +34,13 @@ class Analysis:
         self.complete = C.complete_gaps(self.cells, metric, design).persist()
         shares = C.proportions(self.good, "action_category", CATEGORIES, design)
         self.diffs = C.category_diffs(shares, CATEGORIES, design).persist()
-        found = self.cells.select(design.slot).where(F.col(design.slot).isNotNull()).distinct().limit(most_slots + 1).collect()
+        items = self.cells.where(F.col(design.slot).isNotNull()).groupBy(design.slot).agg(F.approx_count_distinct(design.item).alias("n"))
+        found = items.limit(most_slots + 1).collect()
         if len(found) > most_slots:
             raise ValueError(f"more than {most_slots} slots")
         self.slots = sorted(r[0] for r in found)
+        # the count is within a few per cent, hence the margin
+        self.scattered = max((r["n"] for r in found), default=0) > 0.8 * most_items
 
     def __enter__(self) -> Analysis:
         return self
@@ -51,11 +57,18 @@ class Analysis:
         """(slot, hypothesis) -> seed."""
         return {(s, h): self.seed + of(i, k) for i, s in enumerate(self.slots) for k, h in enumerate(HYPOTHESES)}
 
+    def _intervals(self, long: DataFrame, by: list[str], seeds: dict[tuple, int] | None = None) -> DataFrame:
+        """(by, n, mean, ci_lo, ci_hi) of the column `value`."""
+        if not self.scattered:
+            return stats.bootstrap_ci(long, "value", by, self.design.item, self.resamples, seed=self.seed, seeds=seeds)
+        basic = long.where("value is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+        return basic.join(stats.poisson_ci(long, "value", by, self.design.item, self.resamples, seed=self.seed), by, "left")
+
     def _tests(self, gaps: DataFrame, seeds: dict[tuple, int]) -> DataFrame:
         by = [self.design.slot, "hypothesis"]
         long = stats.stacked(gaps, HYPOTHESES, (self.design.slot, self.design.item))
         t = stats.signed_rank_test(long, "value", by).join(stats.cliffs_delta(long, "a", "b", by).select(*by, "delta"), by, "left")
-        ci = stats.bootstrap_ci(long, "value", by, self.design.item, self.resamples, seed=self.seed, seeds=seeds)
+        ci = self._intervals(long, by, seeds)
         return t.join(ci.select(*by, "ci_lo", "ci_hi"), by, "left")
 
     def primary(self) -> DataFrame:
@@ -74,7 +87,7 @@ class Analysis:
         by = [self.design.slot, "frame"]
         sides = {self.design.frame_a: ("gap_a", "gap_a", "gap_a"), self.design.frame_b: ("gap_b", "gap_b", "gap_b")}
         long = stats.stacked(self.gaps, sides, (self.design.slot, self.design.item)).withColumnRenamed("hypothesis", "frame")
-        ci = stats.bootstrap_ci(long, "value", by, self.design.item, self.resamples, seed=self.seed).select(*by, "ci_lo", "ci_hi")
+        ci = self._intervals(long, by).select(*by, "ci_lo", "ci_hi")
         third = self.gaps.groupBy(self.design.slot).agg(F.round(F.avg("third"), 9).alias("third_mean"))
         return stats.signed_rank_test(long, "value", by).join(ci, by).join(third, self.design.slot)
 
@@ -87,6 +100,8 @@ class Analysis:
 
     def category_permutation(self) -> DataFrame:
         """H3 sensitivity: the omnibus sign-flip test."""
+        if self.scattered:
+            return stats.sign_flip_test(self.category_diffs(), CATEGORIES, [self.design.slot], self.design.item, self.resamples, self.seed)
         seeds = {(s,): self._slot_seed(s) + 500 for s in self.slots}
         return stats.permutation_test(self.category_diffs(), CATEGORIES, [self.design.slot], self.design.item, self.resamples, self.seed, seeds)
 
@@ -99,7 +114,7 @@ class Analysis:
         slot = self.design.slot
         long = stats.stacked(self.category_diffs(), {c: (f"diff_{c}",) * 3 for c in CATEGORIES}, (slot, self.design.item)).withColumnRenamed("hypothesis", "action_category")
         seeds = {(s, c): self._slot_seed(s) + i for s in self.slots for i, c in enumerate(CATEGORIES)}
-        return stats.bootstrap_ci(long, "value", [slot, "action_category"], self.design.item, self.resamples, seed=self.seed, seeds=seeds)
+        return self._intervals(long, [slot, "action_category"], seeds)
 
     def flags(self) -> DataFrame:
         """H4: chi-square of the distress flag against the first factor, over items with a cue."""

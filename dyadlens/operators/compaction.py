@@ -121,7 +121,7 @@ def same_record_pairs(files: DataFrame, into: str | None = None, block: int = BL
     """
     into = into or shared_dir(files.sparkSession, "compacted")
     compact(files, into)
-    many = file_groups(files.sparkSession, into).where("n_files > 1").withColumn("blocks", F.ceil(F.col("n_files") / block).cast("int"))
+    many = file_groups(files.sparkSession, into).where("n_files > 1 and file_id is not null").withColumn("blocks", F.ceil(F.col("n_files") / block).cast("int"))
     many = many.withColumn("b", F.pmod(F.xxhash64("file_id"), F.col("blocks")).cast("int"))
     dealt = many.groupBy("cache_key", "blocks", "b").agg(F.sort_array(F.collect_list("file_id")).alias("ids"))
     other = dealt.select("cache_key", "b", "ids", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))

@@ -127,3 +127,8 @@ def test_report(spark):
     assert (h1.mean, h1.n, h1.ci_lo, h1.ci_hi) == (1.0, 6, 1.0, 1.0) and abs(h1.p_holm - min(1, 2 * h1.p)) < 1e-9
     text = report.results(a.sections())
     assert text.startswith("# Results") and "## Primary tests" in text and "No rows." in text
+    a.close()
+    with Analysis(df, resamples=400, most_items=2) as large:  # more items than one task should hold: scattered draws
+        h1 = large.primary().where("hypothesis = 'H1'").first()
+        assert (h1.mean, h1.n, round(h1.ci_lo, 9), round(h1.ci_hi, 9)) == (1.0, 6, 1.0, 1.0)
+        assert large.category_permutation().first().p == 1.0 and large.category_intervals().count() == 5
