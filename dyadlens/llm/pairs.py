@@ -26,14 +26,17 @@ from .look import one_look
 
 #: The kinds there are, in order of precedence; an abrupt ending comes last.
 KINDS = ("empty", "truncated", "refusal", "copied", "other_language")
-#: Phrases that decline, by language; matched in the lower-cased consistent form.
+#: Fixed values, of English: not to want, be able or be allowed to; what a judgement is made of; and what declines alone.
+#: A sentence with one of the first and one of the second declines.
+UNWILLING = (
+    r"can(?:'t|not| not)", r"(?:wo|would|should|could|do)n't", r"(?:will|would|should|could|must|do|am|are|is) not", r"unable", r"not (?:able|allowed|permitted|comfortable|appropriate|my place|mine|for me|something|going)", r"isn't (?:mine|for me|my place|right|fair)",
+    r"(?:rather|prefer|choose|chose|have|decided) not", r"declin(?:e|es|ed|ing)", r"refus(?:e|es|ed|ing|al)", r"abstain", r"refrain", r"pass on", r"keeps? me from", r"prevents? me", r"against my", r"(?:outside|beyond) (?:of )?(?:what|my)", r"does(?:n't| not) extend",
+    r"no (?:\w+ )?(?:way|ratings?|scores?|verdicts?|judge?ments?)", r"(?:would be|is|feels?) wrong", r"leave\b.{0,60}\b(?:undone|unanswered|blank|open|empty|out)",
+)
+JUDGING = r"judg\w*|rat(?:e|es|ed|ing|ings)|scor(?:e|es|ed|ing)|assess\w*|evaluat\w*|grad(?:e|es|ed|ing)|rank\w*|verdicts?|blame|guilt\w*|faults?|sides?|numbers?|answers?|keys?|requests?|assign\w*|assist\w*|comply|provide|opinions?"
+ALONE = r"\bi (?:\w+ )?(?:decline|refuse)\b|\b(?:have|must|need|ought|going) to (?:decline|refuse|pass)\b|\bmust (?:decline|pass|refuse)\b|\bi(?:'d| would) (?:rather|prefer) not\b|\bi (?:can't|cannot|won't|will not) (?:help|do) (?:with )?(?:this|that)\b"
+#: Phrases that decline in other languages; matched in the lower-cased consistent form.
 REFUSALS = {
-    "en": [
-        r"\b(?:can(?:'t|not| not)|won't|will not|unable to|am not able to|must not|don't|do not|could not|couldn't) (?:\w+ ){0,3}?(?:assign|judge|rate|score|assess|evaluate|rank|grade|blame|answer|help|assist|comply|provide|give|put|take sides|say who)",
-        r"\bi(?:'d| would) (?:rather|prefer) not\b", r"\b(?:have|must|need|ought|going) to (?:decline|refuse|pass)\b", r"\bmust (?:decline|pass|refuse)\b", r"\bi (?:decline|refuse|choose not)\b",
-        r"\bno (?:rating|score|verdict|judg\w+)s? will be given\b", r"\bisn't mine to give\b", r"\bnot mine to give\b", r"\bkeep me from\b", r"\boutside (?:of )?what i\b", r"\bdoes not extend to\b",
-        r"\bleave (?:it|all|them|these|this)\b.{0,30}\b(?:undone|unanswered|blank|open)\b", r"\bno fair way for me\b", r"\bnot (?:something )?(?:i'm |i am )?comfortable\b", r"\bnot something i\b", r"\bnot take sides\b", r"\b(?:would be|is) wrong\b.{0,20}\bi leave\b",
-    ],
     "es": [r"\bno (?:puedo|debo|quiero)\b", r"\blo siento\b", r"\bprefiero no\b"],
     "fr": [r"\bje ne (?:peux|veux|souhaite)\b", r"\bdésolée?\b", r"\bje préfère ne pas\b", r"\bje refuse\b"],
     "de": [r"\bich (?:kann|möchte|werde|darf)\b.{0,40}\bnicht\b", r"\btut mir leid\b", r"\blehne\b.{0,20}\bab\b"],
@@ -49,7 +52,9 @@ REFUSALS = {
     "th": [r"ขออภัย", r"ไม่สามารถ"],
     "ru": [r"не могу", r"извините", r"отказ"],
 }
-_REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps))
+_REFUSAL = re.compile("|".join([ALONE, *(p for ps in REFUSALS.values() for p in ps)]))
+_UNWILLING, _JUDGING = re.compile(r"\b(?:" + "|".join(UNWILLING) + r")\b"), re.compile(rf"\b(?:{JUDGING})\b")
+_SENTENCE = re.compile(r"[^.!?\n]+")
 _RATED = re.compile(r"\d+ (?:of|out of|/) ?\d+|\d+/10|\bnext step\b")
 _WORDS = re.compile(r"\w+")
 _ENTRY = re.compile(r'"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)', re.DOTALL)
@@ -66,6 +71,12 @@ def _said(value: object) -> bool:
     return value is not None
 
 
+def _declined(text: str) -> list[str]:
+    """Phrases and sentences of the lower-cased consistent form that decline to judge."""
+    found = [m.group() for m in _REFUSAL.finditer(text)]
+    return found + [w for m in _SENTENCE.finditer(text) if _UNWILLING.search(w := m.group().strip()) and _JUDGING.search(w)]
+
+
 def _empty(text: str, a: Answer) -> bool:
     if a.open:
         return False
@@ -122,9 +133,9 @@ def defects(prompt: str | None, response: str | None, finish: str | None, run_wo
         story = one_look(prompt or "").lower()
         quote = strings.get("evidence_quote", "") if boxed else ""
         rest = " ".join(v for k, v in strings.items() if k != "evidence_quote" and (not keys or k in keys)) if quote else said
-        declines = [] if judged else [m.group() for m in _REFUSAL.finditer(one_look(rest).lower())]
+        declines = [] if judged else _declined(one_look(rest).lower())
         if quote:  # the story's own phrases in a quote are no refusal
-            declines += [w for m in _REFUSAL.finditer(one_look(quote).lower()) if (w := m.group()) not in story]
+            declines += [w for w in _declined(one_look(quote).lower()) if w not in story]
         if declines and not echo:
             found.append("refusal")
         if prompt:
