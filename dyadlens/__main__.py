@@ -1,6 +1,7 @@
 """Command line: python -m dyadlens plan|score|analyze|control|sample|agreement|finalize|compact ... (see --help of each).
 
-Exit codes: 0 done (or nothing to do), 1 a check failed, 2 a missing file or an empty plan, 3 the protocol isn't locked.
+Exit codes: 0 done (or nothing to do), 1 a check failed, 2 a missing file or an empty plan, 3 the protocol isn't locked,
+4 a slot has no model.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> None:
         return
     if not p.locked and not a.allow_unlocked:
         raise Stop("the protocol is not locked; --allow-unlocked is for trials only", 3)
+    if open_slots := [x for x in p.unfilled() if x in {m[0] for m in models}]:
+        raise Stop(f"no model is named for slot {', '.join(open_slots)}", 4)
     if a.out:
         design.with_keys(first, p.template, p.system, design.of_slot(p.efforts), design.of_slot(p.forms)).write.mode("overwrite").parquet(a.out)
     else:

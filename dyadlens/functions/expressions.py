@@ -189,6 +189,12 @@ def cache_key(model: Column, effort: Column, form: Column, run: Column, system:
     return F.sha2(F.concat(*parts[1:]), 256)
 
 
+def backoff(attempt: Column, retry_after: Column, base: float = 2.0, cap: float = 120.0, jitter: Column | None = None) -> Column:
+    """M8: seconds to wait after an attempt: what the server asked for, else base ** attempt and a jitter; both up to a cap."""
+    own = F.least(F.pow(F.lit(base), attempt.cast("double")), F.lit(cap))
+    return F.coalesce(F.least(retry_after, F.lit(cap)), own if jitter is None else own + jitter)
+
+
 def magnitude(delta: Column) -> Column:
     """M4: the size of an effect; null and NaN give 'n/a'."""
     size = F.abs(delta)

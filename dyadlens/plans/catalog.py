@@ -378,6 +378,41 @@ def c2_flag(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events", "event_id").select("event_id", X.flag_of(kind, raw).alias("flag"))
 
 
+@query("SELECT event_id, try_cast(regexp_extract(props, '[^ :}]+[}]$') AS DOUBLE) AS a, try_cast(nullif(regexp_extract(props, '[0-9]+'), '') AS DOUBLE) AS b FROM events")
+def c3_number(s: SparkSession, d: str) -> DataFrame:
+    """Numbers of texts, null where the text is none."""
+    e = table(s, d, "events", "event_id", "props")
+    return e.select("event_id", X.number_of(F.regexp_extract("props", r"[^ :}]+[}]$", 0)).alias("a"), X.number_of(F.regexp_extract("props", r"[0-9]+", 0)).alias("b"))
+
+
+@query("SELECT cache_key, CASE WHEN distress_flagged THEN true WHEN NOT distress_flagged THEN false END AS typed, CASE WHEN finish_reason = 'True' THEN true WHEN finish_reason = 'False' THEN false END AS other, coalesce(missing_keys, '') AS missing FROM scored")
+def c4_strict_flags(s: SparkSession, d: str) -> DataFrame:
+    """Flags as a file of texts has them: only True and False count; missing keys without nulls."""
+    typed = F.initcap(F.col("distress_flagged").cast("string"))
+    return _scored(s, d).select("cache_key", X.strict_flag(typed).alias("typed"), X.strict_flag(F.col("finish_reason")).alias("other"), X.blank_to_empty(F.col("missing_keys")).alias("missing"))
+
+
+@query("SELECT cache_key, usage.total_tokens AS tokens, usage.completion_tokens_details.reasoning_tokens AS reasoning, usage.prompt_tokens_details.cached_tokens AS cached FROM raw")
+def j6_nested(s: SparkSession, d: str) -> DataFrame:
+    """Fields inside of fields; null where an outer one is missing."""
+    return table(s, d, "raw").select("cache_key", F.col("usage.total_tokens").alias("tokens"), F.col("usage.completion_tokens_details.reasoning_tokens").alias("reasoning"), F.col("usage.prompt_tokens_details.cached_tokens").alias("cached"))
+
+
+@query("SELECT doc_id, CASE WHEN ends_with(b, '/chat/completions') THEN b ELSE b || '/chat/completions' END AS url FROM (SELECT doc_id, regexp_replace('https://' || source || CASE doc_id % 3 WHEN 0 THEN '/v1' WHEN 1 THEN '/v1//' ELSE '/chat/completions/' END, '/+$', '') AS b FROM documents)")
+def x10_endpoint(s: SparkSession, d: str) -> DataFrame:
+    """Addresses with the suffix once."""
+    m = F.col("doc_id") % 3
+    tail = F.when(m == 0, "/v1").when(m == 1, "/v1//").otherwise("/chat/completions/")
+    return table(s, d, "documents", "doc_id", "source").select("doc_id", X.endpoint(F.concat(F.lit("https://"), "source", tail)).alias("url"))
+
+
+@query("SELECT cache_key, e.attempt AS attempt, coalesce(least(e.retry_after_s, 120.0), least(pow(2.0, e.attempt), 120.0)) AS wait_s FROM (SELECT cache_key, unnest(retry_events) AS e FROM raw)")
+def m8_backoff(s: SparkSession, d: str) -> DataFrame:
+    """How long each retry had to wait at least."""
+    e = table(s, d, "raw", "cache_key", "retry_events").select("cache_key", F.explode("retry_events").alias("e"))
+    return e.select("cache_key", "e.attempt", X.backoff(F.col("e.attempt"), F.col("e.retry_after_s")).alias("wait_s"))
+
+
 # ---- design ----------------------------------------------------------------------------------------------------------
 @query("SELECT v.id AS vignette_id, sl.slot AS model_slot, g.g AS gender, c.c AS culture, r.r::INT AS run_index, v.variants[g.g || '_' || c.c] AS vignette_text FROM vignettes v, (VALUES ('A'), ('B')) sl(slot), (VALUES ('male'), ('female'), ('neutral')) g(g), (VALUES ('north_american'), ('south_asian')) c(c), range(1, 6) r(r)")
 def n1_grid(s: SparkSession, d: str) -> DataFrame:
@@ -935,6 +970,15 @@ def st_score(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(SCORED).parquet(into).select(*_GIVEN).join(table(s, d, "scored", "cache_key").distinct(), "cache_key", "left_semi").distinct()
 
 
+@query("SELECT DISTINCT cache_key FROM raw WHERE collected_at IS NOT NULL")
+def st_once_by_key(s: SparkSession, d: str) -> DataFrame:
+    """The keys of a stream that gives each record once."""
+    into = shared_dir(s, "once")
+    stream = pipeline.raw_stream(s, f"{d}/raw.parque[t]", "parquet").where("collected_at is not null")
+    pipeline.once_by_key(stream).select("cache_key").writeStream.format("parquet").option("path", into).option("checkpointLocation", shared_dir(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("cache_key string").parquet(into)
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return dict(_QUERIES)

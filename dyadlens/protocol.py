@@ -32,6 +32,10 @@ class Protocol:
     daily_cap: int = 175
     paths: dict[str, str] = field(default_factory=dict)
 
+    def unfilled(self) -> list[str]:
+        """slots whose model is still to be named."""
+        return [slot for slot, model in self.models if not str(model or "").strip() or str(model).strip().upper() == "TBD"]
+
     @property
     def design(self) -> Design:
         """The paired design: the first two levels of the first factor are compared, within both levels of the second."""

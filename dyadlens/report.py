@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from html import escape
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -45,3 +46,13 @@ def results(sections: Sequence[tuple[str, DataFrame | Callable[[], DataFrame], S
     """K7: the report of all sections, `at_once` of which are made beside one another."""
     with ThreadPoolExecutor(at_once) as pool:
         return "\n\n".join([f"# {title}", *pool.map(lambda s: section(*s), sections)]) + "\n"
+
+
+def histogram_svg(bins: Sequence[tuple[float, float, int]], title: str, width: int = 480, height: int = 200) -> str:
+    """K9: bars of (lo, hi, n) as a drawing, empty bins as gaps and a line at zero."""
+    lo, hi = min((b[0] for b in bins), default=-1.0), max((b[1] for b in bins), default=1.0)
+    most = max((b[2] for b in bins), default=0) or 1
+    x = lambda v: round((v - lo) / ((hi - lo) or 1) * width, 2)
+    bars = [f'<rect x="{x(a)}" y="{round(height - n / most * height, 2)}" width="{round(x(b) - x(a), 2)}" height="{round(n / most * height, 2)}"/>' for a, b, n in bins]
+    line = f'<line x1="{x(0)}" x2="{x(0)}" y1="0" y2="{height}" stroke="red"/>' if lo <= 0 <= hi else ""
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}"><title>{escape(title)}</title>{"".join(bars)}{line}</svg>'

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadlens import __main__ as cli
-from dyadlens import protocol, release
+from dyadlens import protocol, release, report
 from dyadlens.functions import expressions as X
 from dyadlens.schemas import CATEGORIES
 
@@ -44,6 +44,9 @@ def test_plan(root, spark, capsys):
     assert cli.main([*args, "--cached", f"{root}/tasks", "--dry-run"]) == 0 and "5 cached, 19 pending" in capsys.readouterr().out
     assert cli.main([*args, "--model", "Z"]) == 2 and cli.main(["plan", "--config", f"{root}/none.yaml"]) == 2
     assert cli.main(["plan", "--config", f"{root}/open.yaml", "--items", f"{root}/items.jsonl"]) == 3
+    (root / "tbd.yaml").write_text((root / "p.yaml").read_text().replace("m/b", "TBD"))
+    tbd = ["plan", "--config", f"{root}/tbd.yaml", "--items", f"{root}/items.jsonl"]
+    assert cli.main(tbd) == 4 and cli.main([*tbd, "--model", "A"]) == 0
 
 
 def scored(spark, root):
@@ -112,3 +115,9 @@ def test_whole_documents_only(spark):
     texts = ['{"a": 1}', '{"a": 1} x', "[1]", '{"a": "}"}', '{"a": NaN}', None, "", '{"a": {"b": [1, {"c": 2}]}}', '{"a": 1}}', "{}", "{ }", '{} {"a": 1}', '{"a": 1} {}', "{,}", '{"a": 1,}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [bool(r[0]) for r in df.select(F.coalesce(X.whole_object(F.col("t")), F.lit(False))).collect()] == [True, False, False, True, True, False, False, True, False, True, True, False, False, False, False]
+
+
+def test_histogram_drawing():
+    svg = report.histogram_svg([(-1.0, 0.0, 2), (0.0, 1.0, 4)], "gaps & more")
+    assert svg.count("<rect") == 2 and 'height="100.0"' in svg and "gaps &amp; more" in svg and 'x1="240.0"' in svg
+    assert "<rect" not in report.histogram_svg([], "none")
