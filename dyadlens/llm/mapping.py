@@ -109,11 +109,11 @@ class Trie:
 class Words:
     """The trie of words: meanings by the letters that lead to them."""
 
-    def __init__(self, labels: Iterable[str]) -> None:
+    def __init__(self, labels: Iterable[str], groups: Iterable[str] = SAME) -> None:
         self.phrases: dict[str, list[tuple[tuple[str, ...], str]]] = {}
         self.same: dict[str, str] = {}
         surfaces = {w for label in labels for w in label.split()}
-        for group in SAME:
+        for group in groups:
             phrases = [plain(p).split() for p in group.split(",")]
             name = stem(phrases[0][0]) if len(phrases[0]) == 1 else "_".join(phrases[0])
             for words in phrases:
@@ -189,13 +189,16 @@ class Words:
 
 
 class Mapper:
-    """Entries of one field. entries: (code, label); aliases: (code, other wording), none by default."""
+    """Entries of one field. entries: (code, label); aliases: (code, other wording), none by default.
 
-    def __init__(self, entries: Iterable[tuple[str, str]], aliases: Iterable[tuple[str, str]] = ()) -> None:
+    groups: words and phrases that mean the same, a group a line, parted by commas.
+    """
+
+    def __init__(self, entries: Iterable[tuple[str, str]], aliases: Iterable[tuple[str, str]] = (), groups: Iterable[str] = SAME) -> None:
         entries = list(entries)
         self.labels = {label for _, label in entries}
         wordings = [(code, plain(t)) for code, t in (*entries, *aliases)]
-        self.words = Words(t for _, t in wordings)
+        self.words = Words((t for _, t in wordings), groups)
         self.whole: dict[str, set[str]] = {}
         for code, t in wordings:
             self.whole.setdefault(t, set()).add(code)
@@ -332,11 +335,11 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def mappers(entries: Iterable[tuple[str, str, str]], aliases: Iterable[tuple[str, str, str]] = ()) -> dict[str, Mapper]:
+def mappers(entries: Iterable[tuple[str, str, str]], aliases: Iterable[tuple[str, str, str]] = (), groups: Iterable[str] = SAME) -> dict[str, Mapper]:
     """By field, from (field, code, label) and (field, code, other wording)."""
     entries, aliases = list(entries), list(aliases)
     of = lambda rows, f: [(c, t) for g, c, t in rows if g == f]
-    return {f: Mapper(of(entries, f), of(aliases, f)) for f in sorted({f for f, _, _ in entries})}
+    return {f: Mapper(of(entries, f), of(aliases, f), groups) for f in sorted({f for f, _, _ in entries})}
 
 
 _held: dict[tuple, dict[str, Mapper]] = {}
@@ -365,16 +368,16 @@ def reference_list(canonical: DataFrame, wording: str = "label", most: int = 100
     return tuple(sorted(tuple(r) for r in rows))
 
 
-def _lists(canonical: DataFrame, aliases: DataFrame | None) -> tuple[tuple, tuple]:
-    return reference_list(canonical), () if aliases is None else reference_list(aliases, "alias")
+def _lists(canonical: DataFrame, aliases: DataFrame | None, groups: Iterable[str]) -> tuple[tuple, tuple, tuple]:
+    return reference_list(canonical), () if aliases is None else reference_list(aliases, "alias"), tuple(groups)
 
 
-def mapped_values(scored: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def mapped_values(scored: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None, groups: Iterable[str] = SAME) -> DataFrame:
     """(field, cache_key, value, code, exact) of each value that isn't blank, for every field of the list.
 
-    aliases: (field, code, alias), further wordings of entries, if there are any.
+    aliases: (field, code, alias), further wordings of entries, if there are any. groups: see Mapper.
     """
-    lists = _lists(canonical, aliases)
+    lists = _lists(canonical, aliases, groups)
     fields = sorted({f for f, _, _ in lists[0]})
     if not fields:
         return scored.sparkSession.createDataFrame([], "field string, cache_key string, value string, code string, exact boolean")
@@ -389,9 +392,9 @@ def _candidates(cols: dict[str, list], lists: tuple) -> Iterator[tuple]:
             yield field, value, code, d
 
 
-def candidates(scored: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def candidates(scored: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None, groups: Iterable[str] = SAME) -> DataFrame:
     """(field, value, code, distance): for each distinct value all entries within the allowed distance."""
-    lists = _lists(canonical, aliases)
+    lists = _lists(canonical, aliases, groups)
     values = [scored.select(F.lit(f).alias("field"), F.col(f).alias("value")) for f in sorted({f for f, _, _ in lists[0]})]
     if not values:
         return scored.sparkSession.createDataFrame([], "field string, value string, code string, distance double")
