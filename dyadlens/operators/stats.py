@@ -259,13 +259,13 @@ def omnibus(diffs: DataFrame, categories: Sequence[str], by: list[str]) -> DataF
     return diffs.dropna("any", subset=names).groupBy(*by).agg(F.count("*").alias("n"), F.round(total, 9).alias("statistic"))
 
 
-def histogram(df: DataFrame, value: str, by: list[str], bins: int = 24) -> DataFrame:
+def histogram(df: DataFrame, value: str, by: list[str], bins: int = 24, most_groups: int = 10_000) -> DataFrame:
     """(by, bin, lo, hi, n) over equal bins from -s to s, s = max(1, largest absolute value); the last bin is closed."""
     kept = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     span = kept.groupBy(*by).agg(F.greatest(F.lit(1.0), F.max(F.abs(value))).alias("_s"))
     width = 2 * F.col("_s") / bins
     at = F.least(F.floor((F.col(value) + F.col("_s")) / width), F.lit(bins - 1)).cast("int")
-    got = kept.join(F.broadcast(span), by).withColumn("bin", at)  # one row a group
+    got = kept.join(_few(span, by, "_s", most_groups), by).withColumn("bin", at)  # one row a group
     out = got.groupBy(*by, "bin", "_s").agg(F.count("*").alias("n"))
     return out.select(*by, "bin", F.round(F.col("bin") * width - F.col("_s"), 6).alias("lo"), F.round((F.col("bin") + 1) * width - F.col("_s"), 6).alias("hi"), "n")
 
