@@ -40,10 +40,10 @@ class Endings:
         return e
 
     def _take(self, counted: Iterable[tuple[str, str]]) -> None:
-        pairs, words = set(), set()
+        pairs, words, inner = set(), set(), set()
         for kind, item in counted:
-            (words if kind == "word" else pairs).add(item)
-        self.pairs, self.words = frozenset(pairs), frozenset(words)
+            (words if kind == "word" else inner if kind == "inner" else pairs).add(item)
+        self.pairs, self.words, self.inner = frozenset(pairs), frozenset(words), frozenset(inner)
         self.begun = frozenset(w[:i] for w in self.words for i in range(1, len(w))) - self.words
         self._trie: Trie | None = None
         self._nears: dict[str, list[str]] = {}
@@ -52,7 +52,7 @@ class Endings:
         self._signs: dict[str, str] = {}
 
     def __reduce__(self) -> tuple:
-        return _restored, (self.pairs, self.words, self.begun)
+        return _restored, (self.pairs, self.words, self.begun, self.inner)
 
     def _known(self, pair: str) -> bool:
         if pair in self.pairs:
@@ -77,14 +77,14 @@ class Endings:
 
     def sign(self, value: str) -> str:
         """How a value ends, for the classifier: "." for an end mark, else whether it ends in a known pair, in a word that
-        others begin with, in a known word, and whether a clause was joined to it."""
+        others begin with, in a known word, in a pair that elsewhere goes on, and whether a clause was joined to it."""
         if (got := self._signs.get(value)) is None:
             if ends_whole(value):
                 got = "."
             else:
                 w = _words(value)
                 last = w[-1] if w else ""
-                got = f"{self._known(' '.join(w[-2:])):d}{last in self.begun:d}{last in self.words:d}{any(x in OPENERS for x in w[2:]):d}"
+                got = f"{self._known(' '.join(w[-2:])):d}{last in self.begun:d}{last in self.words:d}{' '.join(w[-2:]) in self.inner:d}{any(x in OPENERS for x in w[2:]):d}"
             if len(self._signs) < 1 << 16:
                 self._signs[value] = got
         return got
@@ -110,9 +110,9 @@ class Endings:
         return begun and not known
 
 
-def _restored(pairs: frozenset, words: frozenset, begun: frozenset) -> Endings:
+def _restored(pairs: frozenset, words: frozenset, begun: frozenset, inner: frozenset) -> Endings:
     e = Endings(())
-    e.pairs, e.words, e.begun = pairs, words, begun
+    e.pairs, e.words, e.begun, e.inner = pairs, words, begun, inner
     return e
 
 
@@ -165,12 +165,14 @@ def _peel(words: list[str]) -> list[str]:
 
 
 def parts_of(value: str) -> Iterator[tuple[str, str]]:
-    """(kind, item) to count of a value: its words, and its last pair as `marked` or `bare`."""
+    """(kind, item) to count of a value: its words, its last pair as `marked` or `bare`, and the pairs that others follow."""
     w = _words(value)
     if w:
         yield "marked" if value.rstrip()[-1] in ".!?" else "bare", " ".join(w[-2:])
         for x in w:
             yield "word", x
+        for i in range(1, len(w) - 1):
+            yield "inner", f"{w[i - 1]} {w[i]}"
 
 
 def actions(texts: Iterable[str]) -> Iterable[str]:
