@@ -182,14 +182,22 @@ def a8_control_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---- text ------------------------------------------------------------------------------------------------------------
-@query("SELECT parse_status, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'fenced' WHEN 2 THEN 'embedded' WHEN 3 THEN 'repaired' ELSE 'unparseable' END AS parse_status FROM events WHERE props IS NOT NULL) GROUP BY ALL")
+#: How an object (here {}) may come in an answer, and how that is read.
+_SHAPES = (
+    ("{}", "clean"), ("  {}\n", "clean"), ("```json\n{}\n```", "fenced"), ("```\n{}```", "fenced"), ("Sure: {} as asked.", "embedded"), ("[{}]", "embedded"), ("{} and once more {}", "embedded"),
+    ('{"outer": oops, "inner": {}}', "embedded"), ('{"s": "a } brace \\" {", "o": {}}', "clean"), ("<{,}", "repaired"), ('{"a": True, "b": None, "o": {},}', "repaired"), ('So:\n```json\n{"a": False, "o": {}}\n``` Bye.', "repaired"),
+    ('{"k": 1, "o": {}', "embedded"), ("[1, 2]", "unparseable"), ('"{"', "unparseable"), ("7", "unparseable"), ("", "unparseable"),
+)
+
+
+@query("SELECT event_id, ['" + "', '".join(status for _, status in _SHAPES) + f"'][(event_id % {len(_SHAPES)})::INT + 1] AS parse_status FROM events WHERE props IS NOT NULL")
 def j1_extract(s: SparkSession, d: str) -> DataFrame:
-    """Extraction statuses of events' properties, wrapped in five ways whose status is known."""
-    p = F.col("props")
-    near = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(",}"))
-    ways = F.when(F.col("w") == 0, p).when(F.col("w") == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(F.col("w") == 2, F.concat(F.lit("Sure: "), p, F.lit(" as asked."))).when(F.col("w") == 3, near).otherwise(F.lit('{"k": 1'))
-    df = table(s, d, "events", "event_id", "props").where("props is not null").withColumn("w", F.col("event_id") % 5)
-    return scoring.score_summary(scoring.extraction_status(df.select(ways.alias("t")), "t"))
+    """Extraction statuses of events' properties, in shapes whose status is known."""
+    shape = F.element_at(F.array(*(F.lit(t) for t, _ in _SHAPES)), (F.col("event_id") % len(_SHAPES)).cast("int") + 1)
+    inner = F.expr("substring(props, 1, length(props) - 1)")
+    text = F.when(shape.startswith("<"), F.concat(inner, F.lit(",}"))).otherwise(F.replace(shape, F.lit("{}"), F.col("props")))
+    df = table(s, d, "events", "event_id", "props").where("props is not null").select("event_id", text.alias("t"))
+    return scoring.extraction_status(df, "t").select("event_id", "parse_status")
 
 
 def _values(table: dict[str, str]) -> str:
@@ -331,11 +339,18 @@ def x8_page_id(s: SparkSession, d: str) -> DataFrame:
     return _scored(s, d).where("cache_key is not null").select("cache_key", X.page_id(F.col("cache_key")).alias("page"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'Failed' WHEN event_id % 4 = 1 THEN 'Running' WHEN event_id % 4 = 2 THEN 'Partial' ELSE 'Success' END AS status FROM events")
+_RUNS, _SLOTS = ("failure", "in_progress", "success"), ("FAILURE", "PARTIAL_SUCCESS", "SUCCESS", "CAPPED_CLEAN")
+
+
+@query(
+    f"WITH n AS (SELECT event_id, {list(_RUNS)}[(event_id % 3)::INT + 1] AS r, {list(_SLOTS)}[(event_id // 3 % 4)::INT + 1] AS a, {list(_SLOTS)}[(event_id // 12 % 4)::INT + 1] AS b FROM events) "
+    "SELECT event_id, CASE WHEN r = 'failure' OR a = 'FAILURE' OR b = 'FAILURE' THEN 'Failed' WHEN r = 'in_progress' THEN 'Running' WHEN a = 'PARTIAL_SUCCESS' OR b = 'PARTIAL_SUCCESS' THEN 'Partial' ELSE 'Success' END AS status FROM n"
+)
 def x9_status(s: SparkSession, d: str) -> DataFrame:
-    """Status from notes, by precedence."""
-    m = F.col("event_id") % 4
-    note = F.when(m == 0, "day 3 (in_progress) slotA=PARTIAL_SUCCESS slotB=FAILURE").when(m == 1, "run (in_progress) slotB=PARTIAL_SUCCESS").when(m == 2, "slotA=PARTIAL_SUCCESS (success)").otherwise("slotA=SUCCESS (success)")
+    """Status from notes, by precedence: every run with every pair of slots."""
+    n = F.col("event_id")
+    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), i.cast("int") + 1)
+    note = F.format_string("day 3 (%s) slotA=%s slotB=%s", pick(_RUNS, n % 3), pick(_SLOTS, F.floor(n / 3) % 4), pick(_SLOTS, F.floor(n / 12) % 4))
     return table(s, d, "events", "event_id").select("event_id", X.note_status(note).alias("status"))
 
 
