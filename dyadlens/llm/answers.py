@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass, field
 
@@ -15,7 +14,6 @@ TERMINAL = ".!?…。！？｡．؟۔।॥։።᙮"
 CLOSERS = "\"'”’»›)]}）】」』〉》*_`"
 #: Scripts that end sentences without a mark.
 UNMARKED = re.compile(r"[฀-໿ក-៿က-႟]")
-_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"', re.DOTALL)
 
 
 @dataclass
@@ -71,14 +69,3 @@ def ends_whole(text: str) -> bool:
     """The text's last sentence is closed, or its script needs no mark."""
     t = text.rstrip().rstrip(CLOSERS).rstrip()
     return not t or t[-1] in TERMINAL or bool(UNMARKED.match(t[-1]))
-
-
-def loose_value(text: str, key: str) -> str | None:
-    """A key's string from text that does not parse."""
-    m = re.search(rf'"{re.escape(key)}"\s*:\s*', text)
-    if not m or not (s := _STRING.match(text, m.end())):
-        return None
-    try:
-        return json.loads(s.group())
-    except ValueError:
-        return s.group(1)

@@ -19,9 +19,9 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Endings:
-    """Last word pairs of values that end whole, and the words of all values.
+    """Last word pairs of values that end whole, the words of all values, and the pairs of words that others follow.
 
-    A pair counts if its value has an end mark, or if it stands `often` times: a value that is cut ends in a pair of
+    A last pair counts if its value has an end mark, or if it stands `often` times: a value that is cut ends in a pair of
     its own. Both bounds grow with the input (see endings_of).
     """
 
