@@ -26,15 +26,16 @@ def items(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("id", F.when(bad, F.raise_error(F.lit("an item lacks a required key"))).otherwise(F.col("id")))
 
 
-def responses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def responses(spark: SparkSession, folder: str, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """S3: (records, unreadable files) of a folder of JSON documents; names other than *.json are passed over.
 
-    A document that isn't one whole object, and nothing else, is unreadable. `path` says where a record was read.
+    A document that isn't one whole object, and nothing else, is unreadable. `path` says where a record was read;
+    `ordered` (O2) sorts by it, which nothing here needs.
     """
     text = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").load(folder).select(F.col("_metadata.file_path").alias("path"), F.btrim("value", F.lit(" \n\r\t﻿")).alias("value"))
     parsed = text.withColumn("whole", F.coalesce(whole_object(F.col("value")), F.lit(False)))
     rec = parsed.where("whole").select(F.from_json("value", RAW).alias("r"), "path").select("r.*", "path")
-    return rec, parsed.where("not whole").select("path")
+    return rec.orderBy("path") if ordered else rec, parsed.where("not whole").select("path")
 
 
 def scored_csv(spark: SparkSession, path: str) -> DataFrame:

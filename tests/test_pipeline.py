@@ -93,6 +93,9 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "raw/c.json.tmp").write_text("{}")
     rec, bad = files.responses(spark, str(tmp_path / "raw"))
     assert [r.cache_key for r in rec.collect()] == ["a"] and bad.count() == 1
+    (tmp_path / "raw/Z.json").write_text('{"cache_key": "z"}')
+    assert [r.cache_key for r in files.responses(spark, str(tmp_path / "raw"), ordered=True)[0].collect()] == ["z", "a"]
+    (tmp_path / "raw/Z.json").unlink()
     files.write_scored(scoring.score(rec), str(tmp_path / "s.csv"), csv=True)
     assert files.scored_csv(spark, str(tmp_path / "s.csv")).first().fault_scroller == 7.0
     m = validation.manifest(files.binary(spark, str(tmp_path / "raw")))
