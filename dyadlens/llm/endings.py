@@ -84,7 +84,7 @@ class Endings:
             else:
                 w = _words(value)
                 last = w[-1] if w else ""
-                got = f"{self._known(' '.join(w[-2:])):d}{last in self.begun:d}{last in self.words:d}{' '.join(w[-2:]) in self.inner:d}{any(x in OPENERS for x in w[2:]):d}"
+                got = f"{self._known(' '.join(w[-2:])):d}{last in self.begun:d}{last in self.words:d}{' '.join(w[-2:]) in self.inner:d}{_joined(w):d}"
             if len(self._signs) < 1 << 16:
                 self._signs[value] = got
         return got
@@ -105,7 +105,7 @@ class Endings:
             return False
         known = self._known(" ".join(w[-2:]))
         begun = w[-1] in self.begun
-        if any(x in OPENERS for x in w[2:]):
+        if _joined(w):
             return not known or begun
         return begun and not known
 
@@ -156,6 +156,12 @@ def _words(value: str) -> list[str]:
     return _peel(_DIGITS.sub("0", plain(value)).split())
 
 
+def _joined(words: list[str]) -> bool:
+    """A clause is joined to the advice, or the word that would join it is broken off at the end."""
+    last = words[-1] if len(words) > 2 else ""
+    return any(x in OPENERS for x in words[2:]) or len(last) > 2 and any(o.startswith(last) for o in OPENERS)
+
+
 def _peel(words: list[str]) -> list[str]:
     for t in TRAILS:
         n = len(t.split())
