@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORIES
+from ..session import shared_dir
 
 _BLANKS = r"(?U)^\s+|\s+$"
 
@@ -105,23 +106,37 @@ def hashed_sample(scored: DataFrame, total: int = SAMPLE, seed: int = SEED) -> D
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id").orderBy("_w"))).where("_n = 1").drop("_n", "_w")
 
 
-def seeded_sample(scored: DataFrame, total: int = SAMPLE, seed: int = SEED, most_rows: int = 1_000_000) -> DataFrame:
-    """Q1 as the reference draws it: one sequential generator over the slots' sorted keys, on the driver.
+def seeded_sample(scored: DataFrame, total: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """Q1 as the reference draws it, at any size: one sequential generator over the slots, each with its keys sorted.
 
-    Only (slot, key) pairs are collected; beyond `most_rows` of them it is refused, hashed_sample has no bound.
+    The generator only needs to know how many keys a slot has; it draws places in their order. The keys are written
+    sorted by ranges below the shared folder, the driver sees how many of a slot each file holds, and the keys at the
+    places drawn are read from the files that hold them.
     """
+    spark = scored.sparkSession
     pairs = scored.where("model_slot is not null and cache_key is not null").select("model_slot", "cache_key")
-    got = pairs.limit(most_rows + 1).collect()
-    if len(got) > most_rows:
-        raise ValueError(f"more than {most_rows} rows; use hashed_sample")
-    by: dict[str, list[str]] = {}
-    for s, k in got:
-        by.setdefault(s, []).append(k)
-    rng = random.Random(seed)
-    q = quotas(list(by), total)
-    picked = sorted((s, k) for s in sorted(by) for k in rng.sample(sorted(by[s]), min(q[s], len(by[s]))))
-    table = [(f"MV{i:03d}", s, k) for i, (s, k) in enumerate(picked, 1)]
-    return scored.sparkSession.createDataFrame(table, "sample_id string, model_slot string, cache_key string")
+    into = shared_dir(spark, "sorted")
+    pairs.repartitionByRange("model_slot", "cache_key").write.parquet(into)
+    rows = spark.read.schema("model_slot string, cache_key string").parquet(into).select("model_slot", "cache_key", F.col("_metadata.file_name").alias("file"))
+    # a few rows a file: ranges don't overlap, so files follow one another by their first key
+    held = rows.groupBy("model_slot", "file").agg(F.count("*").alias("n"), F.min("cache_key").alias("first")).collect()
+    by: dict[str, list[tuple[str, str, int]]] = {}
+    for r in held:
+        by.setdefault(r["model_slot"], []).append((r["first"], r["file"], r["n"]))
+    rng, q, places = random.Random(seed), quotas(list(by), total), []
+    for slot in sorted(by):
+        files = sorted(by[slot])
+        size = sum(n for *_, n in files)
+        for place in rng.sample(range(size), min(q[slot], size)):
+            for _, file, n in files:
+                if place < n:
+                    places.append((slot, file, place + 1))
+                    break
+                place -= n
+    drawn = F.broadcast(spark.createDataFrame(places, "s string, f string, p int"))  # at most `total` rows
+    ranked = rows.where(F.col("file").isin(sorted({f for _, f, _ in places}))).withColumn("p", F.row_number().over(Window.partitionBy("model_slot", "file").orderBy("cache_key")))
+    kept = ranked.join(drawn, (F.col("model_slot") == F.col("s")) & (F.col("file") == F.col("f")) & (ranked["p"] == drawn["p"])).select("model_slot", "cache_key")
+    return kept.select(F.format_string("MV%03d", F.row_number().over(Window.orderBy("model_slot", "cache_key"))).alias("sample_id"), "model_slot", "cache_key")
 
 
 def worksheets(sample: DataFrame) -> tuple[DataFrame, DataFrame]:

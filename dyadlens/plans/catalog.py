@@ -960,7 +960,7 @@ def o3_first_pending(s: SparkSession, d: str) -> DataFrame:
 @query()
 def q1_seeded_sample(s: SparkSession, d: str) -> DataFrame:
     """The stratified sample drawn by one sequential generator."""
-    return validation.seeded_sample(scoring.scorable(_scored(s, d)).dropDuplicates(["cache_key"]), most_rows=10_000_000)
+    return validation.seeded_sample(scoring.scorable(_scored(s, d)).dropDuplicates(["cache_key"]))
 
 
 @query(f"WITH ok AS (SELECT * FROM scored WHERE coalesce(parse_ok, false) AND coalesce(missing_keys, '') = ''), {_QUOTA}, r AS (SELECT model_slot, cache_key, row_number() OVER (PARTITION BY model_slot ORDER BY sha256('{validation.SEED}' || cache_key), cache_key) AS r FROM (SELECT DISTINCT model_slot, cache_key FROM ok WHERE model_slot IS NOT NULL)), p AS (SELECT printf('MV%03d', row_number() OVER (ORDER BY model_slot, cache_key)) AS sample_id, model_slot, cache_key FROM r JOIN q USING (model_slot) WHERE r <= quota) SELECT DISTINCT sample_id, p.cache_key, s.action_category AS automated_action_category FROM p JOIN ok s USING (model_slot, cache_key)")

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,7 +78,15 @@ def test_samples(spark):
     for sample in (validation.hashed_sample(df, 20, 1), validation.seeded_sample(df, 20, 1)):
         counts = {r.model_slot: r["count"] for r in sample.groupBy("model_slot").count().collect()}
         assert counts == {"A": 7, "B": 7, "C": 6} and sample.select("sample_id").distinct().count() == 20
-    assert validation.hashed_sample(df.limit(0), 20).count() == 0
+    assert validation.hashed_sample(df.limit(0), 20).count() == 0 and validation.seeded_sample(df.limit(0), 20).count() == 0
+    # the draw of one generator over the slots' sorted keys, however the rows are spread
+    many = [(s, f"{s}{i * 7919 % 1000:04d}") for s, n in (("B", 400), ("A", 5), ("C", 90)) for i in range(n)]
+    rng, want = random.Random(3), []
+    for s, quota in (("A", 12), ("B", 11), ("C", 11)):
+        keys = sorted(k for t, k in many if t == s)
+        want += [(s, k) for k in rng.sample(keys, min(quota, len(keys)))]
+    got = validation.seeded_sample(spark.createDataFrame([*many, (None, "x"), ("A", None)], "model_slot string, cache_key string").repartition(5), 34, 3)
+    assert [(r.model_slot, r.cache_key) for r in got.orderBy("sample_id").collect()] == sorted(want)
 
 
 def test_run_status(spark):
