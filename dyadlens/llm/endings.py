@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +111,7 @@ class Endings:
         return begun and not known
 
 
+@lru_cache(2)  # tasks of one worker share what was looked up
 def _restored(pairs: frozenset, words: frozenset, begun: frozenset, inner: frozenset) -> Endings:
     e = Endings(())
     e.pairs, e.words, e.begun, e.inner = pairs, words, begun, inner
